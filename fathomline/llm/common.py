@@ -57,3 +57,24 @@ def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_shipped: set[str] = set()
+
+
+def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package sent to the executors, wherever the driver found it."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        import shutil
+        import tempfile
+        from pathlib import Path
+
+        package = Path(__file__).resolve().parents[1]
+        with tempfile.TemporaryDirectory() as scratch:
+            bare = Path(scratch, "tree")
+            shutil.copytree(package, bare / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+            kept = Path(tempfile.mkdtemp(), package.name)  # the driver serves it as long as the application lives
+            context.addPyFile(shutil.make_archive(str(kept), "zip", bare))
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(fn, schema)

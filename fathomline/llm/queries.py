@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from .mixing import op5_mixing
+from .neardup import op6_near_duplicates
 from .quality import op7_quality
+from .sharding import op3_sharding
 from .tokenout import op1_token_output
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op3_sharding": op3_sharding,
+    "op5_mixing": op5_mixing,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_quality_rules": op7_quality,
 }
 
