@@ -139,7 +139,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     whole = F.when(F.col("_w") > 0, F.floor(F.col("_taken") / F.greatest(F.col("_w"), F.lit(1)))).otherwise(F.lit(0)).cast("int")
     rest = (F.col("_taken") - whole * F.col("_w")).cast("int")
     df = df.withColumn("_parts", F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))))
-    df = df.withColumn("_part", F.explode("_parts"))
+    df = df.withColumn("_part", F.explode_outer("_parts")).filter("_part is not null")
     text = F.when(F.col("_part") == 0, F.col("text")).otherwise(F.array_join(F.slice(words_of(F.col("text")), 1, F.greatest(F.col("_part"), F.lit(1))), " "))
     return df.withColumn("text", text).select(kept)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import op10_decontamination
 from .mixing import op5_mixing
 from .neardup import op6_near_duplicates
 from .quality import op7_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_quality_rules": op7_quality,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE: dict[str, str] = {}
