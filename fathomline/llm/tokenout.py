@@ -34,15 +34,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stored, table
+from .common import arrow_map, fresh_path, stored, table
 
 MAGIC = b"FLTOKEN1"
 HEADER = struct.Struct("<8sBxxxIqqqqq")
 END_ID = 2
 #: Text given to the tokenizer at once, in bytes.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 #: Words whose ids a worker remembers.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 250_000
 
 
 class EliasFano:
@@ -257,6 +257,7 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer_path: str, end_
                 parts.append(ids)
                 counts.append(n)
                 doc_ids += rows.column("doc_id").to_pylist()
+                pa.default_memory_pool().release_unused()
         if doc_ids:
             shard = TaskContext.get().partitionId()
             name = f"{shard:08d}-{uuid.uuid4().hex}.tok"
@@ -268,7 +269,7 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer_path: str, end_
             yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "n_docs": [len(doc_ids)], "n_tokens": [len(all_ids)]})
 
     dealt = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return stored(dealt.mapInArrow(write, "shard long, name string, n_docs long, n_tokens long"), "token-manifest")
+    return stored(arrow_map(dealt, write, "shard long, name string, n_docs long, n_tokens long"), "token-manifest")
 
 
 def read_token_files(spark: SparkSession, directory: str, manifest: DataFrame) -> DataFrame:
@@ -295,9 +296,8 @@ def read_token_files(spark: SparkSession, directory: str, manifest: DataFrame) -
                     at = to
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(directory)
-    found = files.select(F.substring_index("path", "/", -1).alias("name"), "content").mapInArrow(
-        read, "name string, doc_id long, local_start long, n_tokens long, ids binary"
-    )
+    named = files.select(F.substring_index("path", "/", -1).alias("name"), "content")
+    found = arrow_map(named, read, "name string, doc_id long, local_start long, n_tokens long, ids binary")
     # prefix sums over shards in two levels, so that no task holds more than a block of them
     block = Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.withColumn("block", F.floor(F.col("shard") / 512))
