@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import op10_decontamination
+from .hmm import op2_language_model
 from .mixing import op5_mixing
 from .neardup import op6_near_duplicates
 from .quality import op7_quality
@@ -11,6 +12,7 @@ from .tokenout import op1_token_output
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_language_model": op2_language_model,
     "op3_sharding": op3_sharding,
     "op5_mixing": op5_mixing,
     "op6_near_duplicates": op6_near_duplicates,
