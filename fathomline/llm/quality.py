@@ -130,6 +130,17 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, text
     return measures(docs, text).withColumn("failed_rules", compile_rules(rules)).withColumn("passes", F.size("failed_rules") == 0)
 
 
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, text: str = "text") -> DataFrame:
+    """The rows that break no rule.
+
+    The verdict goes through an outer explode, below which Spark does not move the filter: moved, it
+    would repeat the measures' expressions, inner functions included.
+    """
+    judged = measures(docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("text")))
+    kept = judged.select(F.explode_outer(F.when(F.size(compile_rules(rules)) == 0, F.array("_doc"))).alias("_doc"))
+    return kept.filter("_doc is not null").select("_doc.*")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
