@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathomline.plans import catalog, catalog_aggregates, catalog_kernels
+from fathomline.plans import catalog, catalog_aggregates, catalog_kernels, catalog_more
 
-QUERIES = catalog.QUERIES | catalog_aggregates.QUERIES | catalog_kernels.QUERIES
-ORACLE = catalog.ORACLE | catalog_aggregates.ORACLE | catalog_kernels.ORACLE
+QUERIES = catalog.QUERIES | catalog_aggregates.QUERIES | catalog_kernels.QUERIES | catalog_more.QUERIES
+ORACLE = catalog.ORACLE | catalog_aggregates.ORACLE | catalog_kernels.ORACLE | catalog_more.ORACLE
