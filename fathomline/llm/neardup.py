@@ -11,6 +11,8 @@
     member of another component asks one pivot, collisions are counted on the full signatures, and
     what passes is verified on the full sets.  Verified links join components.  Lists that lie within
     one component are done.
+    Shingles that no other class has are counted first: what is left of the smaller side bounds the
+    intersection, and pairs, or whole classes, that cannot reach the threshold are dropped by that bound.
 4.  After the rounds, lists that still hold several components are finished exactly: members outside
     the list's largest component against all members, in blocks, with no cap.
 
@@ -95,8 +97,8 @@ def _postings(classes: DataFrame, matches: int) -> DataFrame:
     return ranked.filter(F.col("r") <= F.col("m") - matches + 1).select("key", "cid")
 
 
-def _collisions(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in ``matches`` coordinates or more."""
+def _collisions(pairs: DataFrame, classes: DataFrame, matches: int, least: int, of: int) -> DataFrame:
+    """Pairs (a, b) that can be similar and whose signatures agree in ``matches`` coordinates or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,11 +106,31 @@ def _collisions(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame
                 sa, sb = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
                 yield batch.select(["a", "b"]).filter(pa.array((sa == sb).sum(axis=1) >= matches))
 
-    sig = classes.select("cid", "sig")
-    df = pairs.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"), F.col("free").alias(f"free_{x}"))
+    most = F.least("free_a", "free_b")
+    df = pairs.join(side("a"), "a").join(side("b"), "b").filter(of * most >= least * (F.col("n_a") + F.col("n_b") - most))
     return arrow_map(df.select("a", "b", "sig_a", "sig_b"), count, "a long, b long")
 
 
+def _shared_shingles(sets: DataFrame) -> DataFrame:
+    """sets (cid, set) -> cid, alone: how many of a class's shingles no other class has."""
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("set")]
+            h = np.concatenate(parts)
+            cid = np.repeat(batch.column("cid").to_numpy(), [len(x) for x in parts])
+            order = np.argsort(h, kind="stable")
+            h, cid = h[order], cid[order]
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.minimum.reduceat(cid, first)), pa.array(np.maximum.reduceat(cid, first))], ["h", "lo", "hi"])
+
+    found = arrow_map(sets.select("cid", "set"), spans, "h long, lo long, hi long").groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return found.filter("lo = hi").groupBy(F.col("lo").alias("cid")).agg(F.count("*").alias("alone"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: int, of: int) -> DataFrame:
     """Pairs whose full sets have of * intersection >= least * union."""
 
@@ -146,35 +168,47 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("cid", "text")
-    # a repeated document may give its class twice
-    return arrow_map(found, make, "cid long, set binary").dropDuplicates(["cid"])
+    # a repeated document gives its class twice, which repeats pairs and no more
+    return arrow_map(found, make, "cid long, set binary")
+
 
+def _rest(mixed: DataFrame, posts: DataFrame, classes: DataFrame, matches: int, least: int, of: int) -> DataFrame:
+    """mixed (key, cid, comp): candidate pairs of different components, by blocks, without a cap.
 
-def _rest(mixed: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
-    """mixed (key, cid, comp): candidate pairs of different components, by blocks, without a cap."""
+    A pair that meets in several lists is named by the first of them alone.
+    """
     size = mixed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.sum("n").alias("total"))
-    members = mixed.join(size, "key").join(classes.select("cid", "sig"), "cid")
+    keys = posts.groupBy("cid").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # a prefix at most
+    members = mixed.join(size, "key").join(classes.select("cid", "sig", "n", "free").join(keys, "cid"), "cid")
     members = members.withColumn("block", F.pmod(F.xxhash64("cid"), F.ceil(F.col("total") / BLOCK)))
-    row = F.struct("cid", "comp", "sig")
+    row = F.struct("cid", "comp", "sig", "n", "free", "keys")
     blocks = members.groupBy("key", "block").agg(F.collect_list(row).alias("all"))
     queries = members.filter("comp <> main").groupBy("key", "block").agg(F.collect_list(row).alias("some")).withColumnRenamed("block", "asked")
-    both = queries.join(blocks, "key").select("some", "all")
+    both = queries.join(blocks, "key").select("key", "some", "all")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts(x):
             v = x.values
             sig = v.field("sig").flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
-            return v.field("cid").to_numpy(), v.field("comp").to_numpy(), sig
+            lists = v.field("keys")
+            return *(v.field(c).to_numpy() for c in ("cid", "comp", "n", "free")), sig, lists.offsets.to_numpy(), lists.values.to_numpy()
 
         for batch in batches:
-            for x, y in zip(batch.column("some"), batch.column("all"), strict=True):
-                (ca, ga, sa), (cb, gb, sb) = parts(x), parts(y)
+            for key, x, y in zip(batch.column("key").to_pylist(), batch.column("some"), batch.column("all"), strict=True):
+                ca, ga, na, fa, sa, oa, ka = parts(x)
+                cb, gb, nb, fb, sb, ob, kb = parts(y)
                 a, b = [], []
                 for i in range(len(ca)):
-                    hit = ((sb == sa[i]).sum(axis=1) >= matches) & (gb != ga[i])
-                    b.append(cb[hit])
-                    a.append(np.full(int(hit.sum()), ca[i]))
-                a, b = np.concatenate(a), np.concatenate(b)
+                    most = np.minimum(fb, fa[i])
+                    hit = np.flatnonzero((gb != ga[i]) & (of * most >= least * (nb + na[i] - most)))
+                    hit = hit[(sb[hit] == sa[i]).sum(axis=1) >= matches]
+                    mine = ka[oa[i] : oa[i + 1]]
+                    mine = mine[mine < key]
+                    for j in hit:
+                        if not np.isin(mine, kb[ob[j] : ob[j + 1]], assume_unique=True).any():
+                            a.append(ca[i])
+                            b.append(cb[j])
+                a, b = np.array(a, np.int64), np.array(b, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return arrow_map(both, compare, "a long, b long").distinct()
@@ -184,13 +218,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, of: int =
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept for each row."""
     signed = stored(signatures(docs, width, coordinates), "dup-signed")
     named = signed.filter("doc_id is not null and n_shingles > 0")
-    classes = stored(named.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "dup-classes")
+    classes = stored(named.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "dup-classes")
     posts = stored(_postings(classes, matches), "dup-posts")
     lists = posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     posts = stored(posts.join(lists, "key"), "dup-lists")
-    family = stored(posts.select("cid").distinct().join(classes, "cid"), "dup-family")
-    sets = stored(_sets_of(docs, family, width), "dup-sets")
-    sigs = family.select("cid", "sig")
+    sharing = stored(posts.select("cid").distinct().join(classes, "cid"), "dup-family")
+    sets = stored(_sets_of(docs, sharing, width), "dup-sets")
+    # shingles that no other class has bound every intersection; some classes can match nothing
+    alone = _shared_shingles(sets)
+    family = sharing.join(alone, "cid", "left").withColumn("free", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    family = stored(family.filter(of * F.col("free") >= least * F.col("n")), "dup-bounded")
+    posts = stored(posts.join(family.select("cid"), "cid"), "dup-possible")
+    sigs = family.select("cid", "sig", "n", "free")
     comp = family.select("cid", F.col("cid").alias("comp"))
     links = None
     mixed = posts.withColumn("comp", F.col("cid"))
@@ -202,8 +241,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, of: int =
             asks = mixed.join(pivot, "key").filter(F.col("comp") != F.col("p.comp"))
             pairs = asks.groupBy("cid").agg(F.min(F.struct(F.xxhash64("p.cid", F.lit(k)).alias("o") if k else F.col("p.cid").alias("o"), F.col("p.cid").alias("b")))["b"].alias("b")).withColumnRenamed("cid", "a")
         else:
-            pairs = _rest(mixed, sigs, matches)
-        found = _verified(_collisions(pairs, sigs, matches), sets, least, of)
+            pairs = _rest(mixed, posts, sigs, matches, least, of)
+        found = _verified(_collisions(pairs, sigs, matches, least, of), sets, least, of)
         found = stored(found.select("a", "b"), "dup-links")
         links = found if links is None else links.unionByName(found)
         if k == ROUNDS:
