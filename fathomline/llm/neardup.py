@@ -1,9 +1,9 @@
 """MinHash near-duplicates by an inverted join on signature coordinates.
 
-1.  One pass makes each text's set of word shingles, its signature of ``coordinates`` minima, and a
-    128-bit digest of the set.  Texts with equal sets form a *class*; all that follows is on classes.
+1.  One pass makes each text's set of word shingles, its signature of ``coordinates`` values (each of
+    three minima, so that unrelated texts do not share them by chance), and a 128-bit digest of the set.  Texts with equal sets form a *class*; all that follows is on classes.
 2.  Classes are posted under every (coordinate, value).  Two sets of similarity s agree in about
-    s * coordinates of them; pairs with ``matches`` or more go on.  Such a pair has ``matches`` shared
+    s^3 * coordinates of them; pairs with ``matches`` or more go on.  Such a pair has ``matches`` shared
     postings on both sides, so a class with fewer shared postings than that is skipped outright, and
     of the others only the rarest ``shared - matches + 1`` postings (one order for all: list length,
     then key) are kept: two such prefixes of a wanted pair always meet.
@@ -16,7 +16,7 @@
 4.  After the rounds, lists that still hold several components are finished exactly: members outside
     the list's largest component against all members, in blocks, with no cap.
 
-The chance to lose a link of similarity 0.8 is that of fewer than 26 agreements in 48, about 4e-6.
+The chance to lose a link of similarity 0.8 is that of fewer than 9 agreements in 48, about 2e-6.
 Verification is exact up to collisions of 64-bit hashes.
 
 Defined cases: a null text is empty; a text without words has no shingles and is linked with
@@ -40,8 +40,10 @@ from .tokenout import text_slices
 from .words import min_hashes, shingle_sets
 
 COORDINATES = 48
-MATCHES = 26
-ROUNDS = 4
+#: Minima in a coordinate: one alone is shared by chance with someone in any large corpus.
+MINIMA = 3
+MATCHES = 9
+ROUNDS = 3
 BLOCK = 512
 #: Ids that are broadcast to pick documents, at most; beyond it they are joined.
 BROADCAST_IDS = 2_000_000
@@ -58,7 +60,7 @@ def signatures(docs: DataFrame, width: int, coordinates: int = COORDINATES) -> D
         for batch in batches:
             for rows in text_slices(batch, "text", 3 << 20):
                 sets = shingle_sets(rows.column("text"), width)
-                sig = min_hashes(sets, coordinates)
+                sig = min_hashes(sets, coordinates, MINIMA)
                 n = np.array([len(s) for s in sets], np.int64)
                 cid = np.array([int.from_bytes(_digest(s)[:8], "little", signed=True) for s in sets], np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * coordinates), pa.array(sig.ravel()))
@@ -68,21 +70,17 @@ def signatures(docs: DataFrame, width: int, coordinates: int = COORDINATES) -> D
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (a, b) -> (node, comp): the smallest node reachable.  Hooking and pointer jumping."""
+    """links (a, b) -> (node, comp): the smallest node reachable.  Least neighbour and pointer jumping."""
     edges = links.select("a", "b").filter("a <> b")
     edges = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = stored(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "cc-labels")
     while True:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        seen = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("best"))
-        root = seen.groupBy("comp").agg(F.min("best").alias("best")).withColumnRenamed("comp", "node")  # a component's root learns from all its nodes
-        hooked = seen.join(root.withColumnRenamed("node", "comp").withColumnRenamed("best", "to"), "comp").select("node", F.least("best", "to").alias("comp"))
-        jump = hooked.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        after = hooked.join(jump, "comp", "left").select("node", F.least("comp", F.coalesce("up", "comp")).alias("comp"))
-        after = stored(after, "cc-labels")
-        changed = after.join(labels.withColumnRenamed("comp", "was"), "node").filter("comp <> was").isEmpty()
-        labels = after
-        if changed:
+        seen = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
+        jump = seen.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+        after = stored(seen.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("up", "comp")).alias("comp")), "cc-labels")
+        labels = after.select("node", "comp")
+        if after.filter("comp <> was").isEmpty():
             return labels
 
 

@@ -65,10 +65,10 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def min_hashes(sets: list[np.ndarray], coordinates: int, seed: int = 1) -> np.ndarray:
-    """Signatures, one row a set; rows of empty sets are undefined."""
+def min_hashes(sets: list[np.ndarray], coordinates: int, minima: int = 1, seed: int = 1) -> np.ndarray:
+    """Signatures, one row a set; a coordinate's value stands for ``minima`` minima.  Rows of empty sets are undefined."""
     rng = np.random.default_rng(seed)
-    salts = rng.integers(0, 1 << 63, coordinates, dtype=np.uint64)
+    salts = rng.integers(0, 1 << 63, (coordinates, minima), dtype=np.uint64)
     out = np.zeros((len(sets), coordinates), np.int32)
     todo = [k for k, s in enumerate(sets) if len(s)]
     while todo:
@@ -80,10 +80,12 @@ def min_hashes(sets: list[np.ndarray], coordinates: int, seed: int = 1) -> np.nd
         flat = np.concatenate([sets[k] for k in mine])
         starts = np.cumsum([0, *[len(sets[k]) for k in mine[:-1]]])
         for j in range(coordinates):
-            v = flat ^ salts[j]
-            v *= _MUL
-            v ^= v >> np.uint64(29)
-            v *= np.uint64(0xBF58476D1CE4E5B9)
-            v >>= np.uint64(33)
-            out[mine, j] = np.minimum.reduceat(v, starts)
+            value = np.zeros(len(mine), np.uint64)
+            for salt in salts[j]:
+                v = flat ^ salt
+                v *= _MUL
+                v ^= v >> np.uint64(29)
+                v *= np.uint64(0xBF58476D1CE4E5B9)
+                value = mixed((value << np.uint64(1)) ^ np.minimum.reduceat(v, starts))
+            out[mine, j] = value >> np.uint64(33)
     return out
