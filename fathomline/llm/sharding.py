@@ -48,7 +48,7 @@ def _lookup(values: list[int], key: Column) -> Column:
     return F.get(F.array(*[F.lit(int(v)).cast("long") for v in values]), key.cast("int"))
 
 
-def propagate(nodes: DataFrame, total: int, shards: int = SHARDS, rounds: int = 4, slack: float = 0.02) -> DataFrame:
+def propagate(nodes: DataFrame, total: int, shards: int = SHARDS, rounds: int = 8, slack: float = 0.05) -> DataFrame:
     """nodes (rid, hub) -> (rid, hub, linked, shard); the shards of rows with one hub drawn together."""
     spark = nodes.sparkSession
     part = max(1, -(-total // (4 * shards)))
