@@ -37,6 +37,10 @@ def checkpoint_root(spark: SparkSession) -> str:
 
         root = "file://" + os.path.join(tempfile.gettempdir(), "fathomline-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
+    if "://" not in root:  # a path alone is one of the cluster's default file system
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        root = root.replace("file:/", "file:///", 1) if not root.startswith("file://") else root
     return root.rstrip("/")
 
 
