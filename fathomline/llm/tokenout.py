@@ -40,9 +40,9 @@ MAGIC = b"FLTOKEN1"
 HEADER = struct.Struct("<8sBxxxIqqqqq")
 END_ID = 2
 #: Text given to the tokenizer at once, in bytes.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 #: Words whose ids a worker remembers.
-MEMORY_WORDS = 250_000
+MEMORY_WORDS = 300_000
 
 
 class EliasFano:
