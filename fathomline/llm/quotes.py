@@ -89,17 +89,31 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     # a link out of the conversation begins a thread; a link inside points back, so depth is well defined
     up = F.when(found & (F.col("to_name") == F.col("_conv")), F.col("to_position")).when(~found & (F.col("position") > 0), F.col("position") - 1)
     df = stored(df.withColumn("_up", up), "quote-parents")
-    # runs of plain answers are one step: a message's jump is to the start of its run
     return _with_depth(df).select("conv_id", "turn", "role", "position", "parent_conv", "parent_position", "depth", "quote_levels", "text")
 
 
 def _with_depth(df: DataFrame) -> DataFrame:
-    """Depth in the reply tree by pointer doubling: as many joins as the depth has binary digits."""
-    state = stored(df.select("_conv", "position", F.col("_up").alias("up"), F.when(F.col("_up").isNotNull(), 1).otherwise(0).cast("long").alias("depth")), "quote-depth")
+    """Depth in the reply tree.
+
+    A run of messages that each answer the one before is counted by position; only the starts of runs
+    (messages that answer something else) are followed up the tree, by pointer doubling.
+    """
+    starts = F.col("_up").isNull() | (F.col("_up") != F.col("position") - 1)
+    broken = stored(df.filter(starts & (F.col("position") > 0)).select("_conv").distinct(), "quote-broken")
+    plain = df.join(broken, "_conv", "left_anti").withColumn("depth", F.col("position"))
+    if broken.isEmpty():
+        return plain
+    run = Window.partitionBy("_conv").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    hard = df.join(broken, "_conv", "left_semi").withColumn("_start", F.max(F.when(starts, F.col("position"))).over(run))
+    hard = stored(hard, "quote-runs")
+    to = hard.select("_conv", F.col("position").alias("_up"), F.col("_start").alias("up"), (F.col("position") - F.col("_start") + 1).alias("more"))
+    state = hard.filter("position = _start").select("_conv", "_start", "_up").join(to, ["_conv", "_up"], "left").select("_conv", "_start", "up", F.coalesce("more", F.lit(0)).cast("long").alias("base"))
+    state = stored(state, "quote-depth")
     while not state.filter("up is not null").isEmpty():
-        above = state.select("_conv", F.col("position").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        state = stored(state.join(above, ["_conv", "up"], "left").select("_conv", "position", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "quote-depth")
-    return df.join(state.select("_conv", "position", "depth"), ["_conv", "position"])
+        above = state.select("_conv", F.col("_start").alias("up"), F.col("up").alias("next"), F.col("base").alias("more"))
+        state = stored(state.join(above, ["_conv", "up"], "left").select("_conv", "_start", F.col("next").alias("up"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base")), "quote-depth")
+    hard = hard.join(state.select("_conv", "_start", "base"), ["_conv", "_start"]).withColumn("depth", F.col("base") + F.col("position") - F.col("_start"))
+    return plain.unionByName(hard.select(plain.columns))
 
 
 def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
