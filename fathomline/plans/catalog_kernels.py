@@ -40,7 +40,7 @@ def join17(spark, d):
 
 @query("agg13b_water_plane")
 def agg13b(spark, d):
-    p = view(spark, d, "pts").filter("kf < 20").select(F.lit(0).cast("long").alias("key"), F.col("kf").alias("frame"), F.col("kf").cast("double").alias("ts"), "x", "y", (F.col("z") * 0.02).alias("z"))
+    p = view(spark, d, "pts").select(F.lit(0).cast("long").alias("key"), F.col("kf").alias("frame"), F.col("kf").cast("double").alias("ts"), "x", "y", (F.col("z") * 0.02).alias("z"))
     return kernels.remove_water(p, clearance=0.005, neighbours=0, least=50).groupBy("frame").agg(F.count("*").alias("kept"))
 
 
