@@ -3,8 +3,10 @@
 The graph has an edge from a page's host to every other host its absolute links name, weighted by the
 number of links.  Trust is a personalised PageRank from the hosts whose pages are allowed by rule, along
 links; distrust is one from the hosts whose pages are blocked, against links (who links to the bad is
-bad).  A host is blocked where its distrust is over ``ratio`` times its trust and over ``least`` of the
-largest distrust.  Scores are a table by host, and each iteration is a join with the edges and a sum by
+bad).  A host is blocked where its distrust is over ``ratio`` times its trust and its exposure is over
+``floor``.  Exposure is the chance that a walk along the host's links, which goes on with the damping at
+each step, meets a blocked host: it is normalised by the host's own links, so neither the number of other
+hosts that link to the same blocked one nor any other host's score moves it.  Scores are a table by host, and each iteration is a join with the edges and a sum by
 host; the edges are summed per pair of hosts first, so a host of many pages is one row per neighbour.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is
@@ -80,7 +82,23 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPI
     return scores
 
 
-def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, ratio: float = 1.0, least: float = 0.5) -> DataFrame:
+def exposure(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
+    """edges (a, b, links), seeds (host, seed) -> host, exposure: the damped chance to meet a seed along links."""
+    out_weight = edges.groupBy("a").agg(F.sum("links").alias("whole"))
+    shares = stored(edges.join(out_weight, "a").select("a", "b", (F.col("links") / F.col("whole")).alias("share")), "url-shares")
+    seeds = stored(seeds.filter("seed > 0").select("host", "seed"), "url-seeds")
+    met = seeds.select("host", F.col("seed").alias("exposure"))
+    if seeds.isEmpty() or shares.isEmpty():
+        return met
+    for _ in range(steps):
+        moved = met.join(shares, met["host"] == shares["b"]).groupBy("a").agg(F.sum(F.col("exposure") * F.col("share") * damping).alias("got")).withColumnRenamed("a", "host")
+        # a seed of a part of the pages leaves the rest to the links
+        met = moved.join(seeds, "host", "full_outer").select("host", (F.coalesce("seed", F.lit(0.0)) + (1 - F.coalesce("seed", F.lit(0.0))) * F.coalesce("got", F.lit(0.0))).alias("exposure"))
+        met = stored(met, "url-exposure")
+    return met
+
+
+def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, ratio: float = 1.0, floor: float = 0.05) -> DataFrame:
     """pages (page_id, url, html) -> page_id, host, path, rule, verdict, trust, distrust."""
     df = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     df = df.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
@@ -94,11 +112,11 @@ def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, ratio: floa
     # a host's seed is the share of its pages that the rules decide
     trust = personalised_rank(edges, hosts.select("host", (F.col("allowed") / F.col("pages")).alias("seed"))).withColumnRenamed("score", "trust")
     turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "links")
-    distrust = personalised_rank(turned, hosts.select("host", (F.col("blocked") / F.col("pages")).alias("seed"))).withColumnRenamed("score", "distrust")
-    scores = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    scores = stored(scores, "url-judged")
-    top = scores.agg(F.max("distrust")).first()[0] or 0.0
-    bad = (F.col("distrust") > ratio * F.col("trust")) & (F.col("distrust") > least * top)
+    blocked = hosts.select("host", (F.col("blocked") / F.col("pages")).alias("seed"))
+    distrust = personalised_rank(turned, blocked).withColumnRenamed("score", "distrust")
+    scores = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").join(exposure(edges, blocked), "host", "left")
+    scores = stored(scores.na.fill(0.0, ["trust", "distrust", "exposure"]), "url-judged")
+    bad = (F.col("distrust") > ratio * F.col("trust")) & (F.col("exposure") > floor)
     scores = scores.withColumn("by_links", F.when(bad, "block").otherwise("allow"))
     out = df.drop("html").join(scores, "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", "by_links", F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -1,0 +1,17 @@
+"""Cases in which the text operators once did less than the whole job."""
+
+from fathomline.llm import urlfilter
+
+
+def test_all_who_link_to_a_blocked_host_are_blocked(spark):
+    spam = '<a href="http://spam.net/x">'
+    pages = [("http://spam.net/x", None), ("http://top.net/", None), ("http://lone.com/", '<a href="http://top.net/">')]
+    pages += [(f"http://farm{k}.com/", spam) for k in range(100)]
+    # a hub with one such link of a hundred, one with trust, and one two steps away
+    pages += [("http://hub.com/", spam + "".join(f'<a href="http://site{k}.com/">' for k in range(99))), ("http://far.com/", '<a href="http://farm0.com/">')]
+    pages += [("http://good.org/fr/", '<a href="http://known.com/">'), ("http://known.com/", spam)]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["host"]: r["verdict"] for r in urlfilter.judge_urls(df).collect()}
+    assert all(got[f"farm{k}.com"] == "block" for k in range(100))
+    assert got["lone.com"] == "block" and got["far.com"] == "block"
+    assert got["hub.com"] == "allow" and got["known.com"] == "allow" and got["good.org"] == "allow"
