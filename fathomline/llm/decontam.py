@@ -3,8 +3,8 @@
 1.  Words are runs of letters and digits, lower-cased; shingles are five words (an item of fewer words
     is one shingle of its own length).  Any window of weighted similarity s or more with an item holds
     all but (1 - s) of the item's shingle weight, so every such window contains one of any
-    floor((1 - s) * shingles) + 1 of them.  These are looked up in all documents, and each hit places an
-    item-sized window: no other window can reach s.
+    floor((1 - s) * shingles) + 1 of them.  These are looked up in all documents, and each hit places every
+    item-sized window that contains it, wherever in the window it stands: no other window can reach s.
 2.  Equal windows are fingerprinted once: 64-bit SimHash of the weighted shingles.
 3.  A fingerprint within ``radius`` of another agrees with it in at least one of radius + 1 blocks;
     windows and items of one length meet in an equality join on (length, block, value), and the
@@ -92,7 +92,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, simila
     items = items.withColumn("length", F.size("words")).withColumn("width", F.least(F.lit(width), F.col("length")))
     items = stored(items, "leak-items")
     item_features = stored(_features(items, "iid"), "leak-item-features")
-    placed = items.withColumn("hashes", _shingles(F.col("words"), F.col("width"))).select("iid", "length", "width", F.posexplode_outer("hashes").alias("at", "h")).filter("h is not null")
+    placed = items.withColumn("hashes", _shingles(F.col("words"), F.col("width"))).select("iid", "length", "width", F.explode_outer("hashes").alias("h")).filter("h is not null").distinct()
     # the looked-up part of each item: whole groups of equal shingles, in the order of their hashes
     total = items.select("iid", (F.col("length") - F.col("width") + 1).alias("total"))
     from pyspark.sql import Window
@@ -106,15 +106,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, simila
     hits = None
     for r in probes.select("width").distinct().orderBy("width").collect():  # five numbers at most
         w = r["width"]
-        own = _small(probes.filter(F.col("width") == w).select("iid", "length", "width", "at", "h"))
+        own = _small(probes.filter(F.col("width") == w).select("length", "h").distinct().withColumn("width", F.lit(w)))
         spread = base.withColumn("hashes", _shingles(F.col("words"), w)).select("doc_id", "row_key", F.size("words").alias("n"), F.posexplode_outer("hashes").alias("pos", "h"))
         found = spread.join(own, "h")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         hits = base.select("doc_id", "row_key", F.lit(0).alias("n"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h")).limit(0).join(probes, "h")
     size = F.least("length", "n")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("length")))
-    windows = stored(hits.select("doc_id", "row_key", "length", "width", start.alias("start"), size.alias("n_words")).distinct(), "leak-windows")
+    # all starts whose window contains the hit; equal hits of items of one length are one
+    last = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n") - F.col("length")))
+    first = F.greatest(F.lit(0), F.col("pos") - F.col("length") + F.col("width"))
+    hits = hits.select("doc_id", "row_key", "length", "width", "pos", size.alias("n_words"), first.alias("first"), last.alias("last")).distinct()
+    windows = hits.select("doc_id", "row_key", "length", "width", F.explode(F.sequence("first", "last")).alias("start"), "n_words").distinct()
+    windows = stored(windows, "leak-windows")
     asked = windows.select("row_key", "length", "width", "start", "n_words")
     # back to the words: only the documents that were hit
     texts = base.drop("doc_id").join(_small(asked.select("row_key").distinct()), "row_key").dropDuplicates(["row_key"])

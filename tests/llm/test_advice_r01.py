@@ -1,6 +1,6 @@
 """Cases in which the text operators once did less than the whole job."""
 
-from fathomline.llm import urlfilter
+from fathomline.llm import decontam, urlfilter
 
 
 def test_all_who_link_to_a_blocked_host_are_blocked(spark):
@@ -15,3 +15,14 @@ def test_all_who_link_to_a_blocked_host_are_blocked(spark):
     assert all(got[f"farm{k}.com"] == "block" for k in range(100))
     assert got["lone.com"] == "block" and got["far.com"] == "block"
     assert got["hub.com"] == "allow" and got["known.com"] == "allow" and got["good.org"] == "allow"
+
+
+def test_items_with_swapped_halves_are_found(spark):
+    item = [f"w{k}" for k in range(56)]
+    swapped = item[28:] + item[:28]
+    text = [f"a{k}" for k in range(40)] + swapped + [f"b{k}" for k in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(swapped)), (3, " ".join(text[:60]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.find_leaks(docs, bench).collect()}
+    assert set(got) == {1, 2} and got[1]["start"] == 40 and abs(got[1]["similarity"] - 48 / 56) < 1e-9
+    assert [r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()] == [3]
