@@ -3,8 +3,8 @@
 Every template is a sequence of words with key phrases that must stand whole.  Over the corpus the
 document frequency of the templates' words is counted; each template is then looked up by its one or
 two words of highest inverse document frequency.  In a text, the positions of those words less their
-offsets in the template are possible starts; the starts of both words are intersected, the key phrases
-verified there, and the share of the template's weight (by inverse document frequency) that stands in
+offsets in the template are possible starts; the starts of both words are intersected (a start may lie
+before the text, whose missing words then only lower the score), the key phrases verified there, and the share of the template's weight (by inverse document frequency) that stands in
 its place is the score of the match.  All of this happens inside the row: a text is a positional index
 of its own rare words, so nothing is shuffled but the counts of a fixed list of words.
 
@@ -107,9 +107,9 @@ def _starts(template: Template, idf: dict[str, float], rare: int) -> tuple[Colum
 
 def _verified(starts: Column, template: Template) -> Column:
     def holds(s: Column) -> Column:
-        out = (s >= 0) & (s + len(template.words) >= 0)
+        out = F.lit(True)
         for o, k in template.key_offsets():
-            out = out & (F.slice("words", F.greatest(s, F.lit(0)) + (o + 1), len(k)) == F.array(*[F.lit(w) for w in k]))
+            out = out & (s + o >= 0) & (F.slice("words", F.greatest(s + o, F.lit(0)) + 1, len(k)) == F.array(*[F.lit(w) for w in k]))
         return out
 
     return F.filter(starts, holds)

@@ -1,6 +1,6 @@
 """Cases in which the text operators once did less than the whole job."""
 
-from fathomline.llm import decontam, urlfilter
+from fathomline.llm import decontam, license, urlfilter
 
 
 def test_all_who_link_to_a_blocked_host_are_blocked(spark):
@@ -26,3 +26,14 @@ def test_items_with_swapped_halves_are_found(spark):
     got = {r["doc_id"]: r for r in decontam.find_leaks(docs, bench).collect()}
     assert set(got) == {1, 2} and got[1]["start"] == 40 and abs(got[1]["similarity"] - 48 / 56) < 1e-9
     assert [r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()] == [3]
+
+
+def test_key_phrases_at_the_beginning_of_the_text(spark):
+    heads = {
+        "MIT License": "mit", "Apache License Version 2.0": "apache-2.0", "GNU General Public License version 3": "gpl-3.0", "CC BY-NC 4.0": "cc-by-nc",
+        "License Version 2.0": None, "MIT": None,
+    }
+    df = spark.createDataFrame([(k, t) for k, h in enumerate(heads) for t in (h, f"{h} and more words", f"one two three {h}")], "doc_id long, text string")
+    for r in license.scan_licenses(df).collect():
+        label = list(heads.values())[r["doc_id"]]
+        assert (label in r["labels"] and 0 < r["score"] <= 1) if label else (r["labels"] == [] and r["score"] == 0)
