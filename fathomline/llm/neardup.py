@@ -1,7 +1,8 @@
 """MinHash near-duplicates by an inverted join on signature coordinates.
 
 1.  One pass makes each text's set of word shingles, its signature of ``coordinates`` values (each of
-    three minima, so that unrelated texts do not share them by chance), and a 128-bit digest of the set.  Texts with equal sets form a *class*; all that follows is on classes.
+    three minima, so that unrelated texts do not share them by chance), and a 128-bit digest of the set.
+    Texts with equal sets form a *class*, which gets a number; all that follows is on classes.
 2.  Classes are posted under every (coordinate, value).  Two sets of similarity s agree in about
     s^3 * coordinates of them; pairs with ``matches`` or more go on.  Such a pair has ``matches`` shared
     postings on both sides, so a class with fewer shared postings than that is skipped outright, and
@@ -10,11 +11,15 @@
 3.  Members of a list are not paired with each other.  In each round a list names a pivot; every
     member of another component asks one pivot, collisions are counted on the full signatures, and
     what passes is verified on the full sets.  Verified links join components.  Lists that lie within
-    one component are done.
+    one component are done.  The first pivot is the list's most central member, the one whose postings
+    have the longest lists: a member of a group of copies that is linked with anyone is mostly linked with it.
     Shingles that no other class has are counted first: what is left of the smaller side bounds the
     intersection, and pairs, or whole classes, that cannot reach the threshold are dropped by that bound.
-4.  After the rounds, lists that still hold several components are finished exactly: members outside
-    the list's largest component against all members, in blocks, with no cap.
+4.  After the rounds, lists that still hold several components are finished exactly, with no cap: those
+    of one most central member are merged, so that a group of copies is compared once and not once a
+    coordinate; members outside the largest component are compared with all members, block by block
+    (blocks are bounded in rows and bytes), collisions counted and sets intersected in place.  Only
+    links leave a task, at most one from a member to a component in a block.
 
 The chance to lose a link of similarity 0.8 is that of fewer than 9 agreements in 48, about 2e-6.
 Verification is exact up to collisions of 64-bit hashes.
@@ -22,7 +27,7 @@ Verification is exact up to collisions of 64-bit hashes.
 Defined cases: a null text is empty; a text without words has no shingles and is linked with
 nothing; a row without doc_id is linked with nothing, its component is null and it is kept; rows that
 repeat a doc_id count as one document whose component is shared; extra columns are dropped; an
-empty table gives an empty result.
+empty table gives an empty result; a doc_id that is not an integer is refused.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 from .common import arrow_map, stored, table
 from .tokenout import text_slices
@@ -43,18 +49,28 @@ COORDINATES = 48
 #: Minima in a coordinate: one alone is shared by chance with someone in any large corpus.
 MINIMA = 3
 MATCHES = 9
-ROUNDS = 3
-BLOCK = 512
+ROUNDS = 2
+#: Rows and bytes of sets in a block of the exact finish.
+BLOCK = 256
+BLOCK_BYTES = 1 << 21
 #: Ids that are broadcast to pick documents, at most; beyond it they are joined.
 BROADCAST_IDS = 2_000_000
 
 
-def _digest(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    found = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(found[:8], "little", signed=True), int.from_bytes(found[8:], "little", signed=True)
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType | NullType):
+        raise TypeError(f"doc_id must be an integer, not {kind.simpleString()}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def signatures(docs: DataFrame, width: int, coordinates: int = COORDINATES) -> DataFrame:
-    """doc_id, n_shingles, cid (of the set), signature."""
+    """doc_id, n_shingles, d1 and d2 (the set's digest), sig."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,11 +78,11 @@ def signatures(docs: DataFrame, width: int, coordinates: int = COORDINATES) -> D
                 sets = shingle_sets(rows.column("text"), width)
                 sig = min_hashes(sets, coordinates, MINIMA)
                 n = np.array([len(s) for s in sets], np.int64)
-                cid = np.array([int.from_bytes(_digest(s)[:8], "little", signed=True) for s in sets], np.int64)
+                names = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * coordinates), pa.array(sig.ravel()))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(cid), flat], ["doc_id", "n_shingles", "cid", "sig"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), flat], ["doc_id", "n_shingles", "d1", "d2", "sig"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sign, "doc_id long, n_shingles long, cid long, sig array<int>")
+    return arrow_map(_documents(docs), sign, "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -85,14 +101,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _postings(classes: DataFrame, matches: int) -> DataFrame:
-    """key, cid: the prefixes of the classes that share enough postings."""
-    posts = classes.select("cid", F.posexplode("sig").alias("at", "value")).select("cid", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value")).alias("key"))
+    """key, cid, weight: the prefixes of the classes that share enough postings; weight: the lengths of all lists of a class."""
+    posts = classes.select("cid", F.posexplode("sig").alias("at", "value")).select("cid", F.xxhash64("at", "value").alias("key"))
     lists = posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = posts.join(lists, "key")
     own = Window.partitionBy("cid")
     ranked = shared.withColumn("m", F.count("*").over(own)).filter(F.col("m") >= matches)
-    ranked = ranked.withColumn("r", F.row_number().over(own.orderBy("n", "key")))
-    return ranked.filter(F.col("r") <= F.col("m") - matches + 1).select("key", "cid")
+    ranked = ranked.withColumn("r", F.row_number().over(own.orderBy("n", "key"))).withColumn("weight", F.sum("n").over(own))
+    return ranked.filter(F.col("r") <= F.col("m") - matches + 1).select("key", "cid", "weight")
 
 
 def _collisions(pairs: DataFrame, classes: DataFrame, matches: int, least: int, of: int) -> DataFrame:
@@ -150,64 +166,78 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: int, of: int) -> DataFra
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """cid, set for wanted (cid, rep), from the text of document ``rep``."""
+    """cid, set for wanted (cid, rep, d1, d2), from the text of document ``rep``."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in text_slices(batch, "text", 3 << 20):
                 cid, blobs = [], []
-                for want, s in zip(rows.column("cid").to_pylist(), shingle_sets(rows.column("text"), width), strict=True):
-                    if want == int.from_bytes(_digest(s)[:8], "little", signed=True):
-                        cid.append(want)
+                want = zip(*(rows.column(c).to_pylist() for c in ("cid", "d1", "d2")), strict=True)
+                for (c, *name), s in zip(want, shingle_sets(rows.column("text"), width), strict=True):
+                    if tuple(name) == _digest(s):
+                        cid.append(c)
                         blobs.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(blobs, pa.binary())], ["cid", "set"])
 
-    wanted = wanted.select("cid", F.col("rep").alias("doc_id"))
+    wanted = wanted.select("cid", "d1", "d2", F.col("rep").alias("doc_id"))
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("cid", "text")
+    found = _documents(docs).join(wanted, "doc_id").select("cid", "d1", "d2", "text")
     # a repeated document gives its class twice, which repeats pairs and no more
     return arrow_map(found, make, "cid long, set binary")
 
 
-def _rest(mixed: DataFrame, posts: DataFrame, classes: DataFrame, matches: int, least: int, of: int) -> DataFrame:
-    """mixed (key, cid, comp): candidate pairs of different components, by blocks, without a cap.
+def _pivots(mixed: DataFrame) -> DataFrame:
+    """key, pivot: a list's most central member."""
+    return mixed.groupBy("key").agg(F.max(F.struct("weight", "cid"))["cid"].alias("pivot"))
+
 
-    A pair that meets in several lists is named by the first of them alone.
-    """
-    size = mixed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.sum("n").alias("total"))
-    keys = posts.groupBy("cid").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # a prefix at most
-    members = mixed.join(size, "key").join(classes.select("cid", "sig", "n", "free").join(keys, "cid"), "cid")
-    members = members.withColumn("block", F.pmod(F.xxhash64("cid"), F.ceil(F.col("total") / BLOCK)))
-    row = F.struct("cid", "comp", "sig", "n", "free", "keys")
-    blocks = members.groupBy("key", "block").agg(F.collect_list(row).alias("all"))
-    queries = members.filter("comp <> main").groupBy("key", "block").agg(F.collect_list(row).alias("some")).withColumnRenamed("block", "asked")
-    both = queries.join(blocks, "key").select("key", "some", "all")
+def _rest(mixed: DataFrame, classes: DataFrame, sets: DataFrame, matches: int, least: int, of: int) -> DataFrame:
+    """mixed (key, cid, weight, comp): the links of different components, by blocks, without a cap."""
+    merged = stored(mixed.join(_pivots(mixed), "key").groupBy("pivot", "cid").agg(F.first("comp").alias("comp")), "dup-merged")
+    size = merged.groupBy("pivot", "comp").agg(F.count("*").alias("n")).groupBy("pivot").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.sum("n").alias("total"), F.count("*").alias("comps"))
+    size = size.filter("comps > 1")
+    once = sets.groupBy("cid").agg(F.first("set").alias("set"))
+    members = merged.join(size.select("pivot", "main"), "pivot").join(classes.select("cid", "sig", "n", "free"), "cid")
+    weighed = members.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).alias("blocks"))
+    members = members.join(weighed, "pivot").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))).join(once, "cid")
+    members = stored(members, "dup-members")
+    row = F.struct("cid", "comp", "sig", "n", "free", "set")
+    everyone = members.groupBy("pivot", "block").agg(F.collect_list(row).alias("all"))
+    queries = members.filter("comp <> main").groupBy("pivot", "block").agg(F.collect_list(row).alias("some")).withColumnRenamed("block", "asked")
+    both = queries.join(everyone, "pivot").select("some", "all")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts(x):
             v = x.values
-            sig = v.field("sig").flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
-            lists = v.field("keys")
-            return *(v.field(c).to_numpy() for c in ("cid", "comp", "n", "free")), sig, lists.offsets.to_numpy(), lists.values.to_numpy()
+            sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in v.field("set")]
+            return *(v.field(c).to_numpy() for c in ("cid", "comp", "n", "free")), v.field("sig").flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1), sets
 
         for batch in batches:
-            for key, x, y in zip(batch.column("key").to_pylist(), batch.column("some"), batch.column("all"), strict=True):
-                ca, ga, na, fa, sa, oa, ka = parts(x)
-                cb, gb, nb, fb, sb, ob, kb = parts(y)
-                a, b = [], []
+            a, b = [], []
+            for x, y in zip(batch.column("some"), batch.column("all"), strict=True):
+                ca, ga, na, fa, sa, ta = parts(x)
+                cb, gb, nb, fb, sb, tb = parts(y)
+                known, codes = np.unique(np.concatenate(tb), return_inverse=True)
+                starts = np.cumsum([0, *[len(t) for t in tb[:-1]]])
+                mark = np.zeros(len(known) + 1, np.int32)
                 for i in range(len(ca)):
                     most = np.minimum(fb, fa[i])
-                    hit = np.flatnonzero((gb != ga[i]) & (of * most >= least * (nb + na[i] - most)))
-                    hit = hit[(sb[hit] == sa[i]).sum(axis=1) >= matches]
-                    mine = ka[oa[i] : oa[i + 1]]
-                    mine = mine[mine < key]
-                    for j in hit:
-                        if not np.isin(mine, kb[ob[j] : ob[j + 1]], assume_unique=True).any():
-                            a.append(ca[i])
-                            b.append(cb[j])
-                a, b = np.array(a, np.int64), np.array(b, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                    may = (gb != ga[i]) & (of * most >= least * (nb + na[i] - most))
+                    may[may] = (sb[may] == sa[i]).sum(axis=1) >= matches
+                    if not may.any():
+                        continue
+                    at = np.searchsorted(known, ta[i])
+                    at = at[known[np.minimum(at, len(known) - 1)] == ta[i]]
+                    mark[at] = 1
+                    common = np.add.reduceat(mark[codes], starts)
+                    mark[at] = 0
+                    hit = np.flatnonzero(may & (of * common >= least * (nb + na[i] - common)))
+                    hit = hit[np.unique(gb[hit], return_index=True)[1]]  # one link to a component joins all of it
+                    a.extend([ca[i]] * len(hit))
+                    b.extend(cb[hit])
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return arrow_map(both, compare, "a long, b long").distinct()
 
@@ -216,7 +246,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, of: int =
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept for each row."""
     signed = stored(signatures(docs, width, coordinates), "dup-signed")
     named = signed.filter("doc_id is not null and n_shingles > 0")
-    classes = stored(named.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "dup-classes")
+    classes = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "dup-classes")  # numbers are fixed as they are written
     posts = stored(_postings(classes, matches), "dup-posts")
     lists = posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     posts = stored(posts.join(lists, "key"), "dup-lists")
@@ -234,13 +265,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, of: int =
     for k in range(ROUNDS + 1):
         if k < ROUNDS:
             # every list names a pivot, every member outside its component asks one of them
-            order = F.col("cid") if k == 0 else F.xxhash64("key", "cid", F.lit(k))
-            pivot = mixed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "cid", "comp")).alias("p"))
+            order = F.struct("weight", "cid") if k == 0 else F.struct(F.xxhash64("key", "cid", F.lit(k)).alias("o"), "cid")
+            pivot = mixed.groupBy("key").agg(F.max(F.struct(order.alias("o"), "cid", "comp")).alias("p"))
             asks = mixed.join(pivot, "key").filter(F.col("comp") != F.col("p.comp"))
-            pairs = asks.groupBy("cid").agg(F.min(F.struct(F.xxhash64("p.cid", F.lit(k)).alias("o") if k else F.col("p.cid").alias("o"), F.col("p.cid").alias("b")))["b"].alias("b")).withColumnRenamed("cid", "a")
+            choice = F.struct(F.col("p.o").alias("o"), F.col("p.cid").alias("b"))
+            pairs = asks.groupBy("cid").agg(F.max(choice)["b"].alias("b")).withColumnRenamed("cid", "a")
+            found = _verified(_collisions(pairs, sigs, matches, least, of), sets, least, of)
         else:
-            pairs = _rest(mixed, posts, sigs, matches, least, of)
-        found = _verified(_collisions(pairs, sigs, matches, least, of), sets, least, of)
+            found = _rest(mixed, sigs, sets, matches, least, of)
         found = stored(found.select("a", "b"), "dup-links")
         links = found if links is None else links.unionByName(found)
         if k == ROUNDS:
@@ -248,21 +280,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, of: int =
         if not found.isEmpty():
             merged = components(links)
             comp = stored(family.select("cid").join(merged.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp")), "dup-comp")
-        mixed = posts.join(comp, "cid").select("key", "cid", "comp")
+        mixed = posts.join(comp, "cid").select("key", "cid", "weight", "comp")
         several = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
         mixed = stored(mixed.join(several, "key"), "dup-mixed")
         if mixed.isEmpty():
             break
     # from classes back to documents: a document's rows with several texts tie their classes together
-    repeats = named.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).filter("a <> z").select("doc_id", "a")
-    tied = named.join(repeats, "doc_id").select("a", F.col("cid").alias("b"))
+    repeats = named.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y")).filter("x <> y").select("doc_id")
+    several = named.select("doc_id", "d1", "d2").join(repeats, "doc_id").join(classes.select("d1", "d2", "cid"), ["d1", "d2"])
+    tied = several.join(several.groupBy("doc_id").agg(F.min("cid").alias("a")), "doc_id").select("a", F.col("cid").alias("b"))
     merged = components(links.unionByName(tied))
-    least_id = classes.select("cid", "rep").join(merged.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    least_id = classes.select("cid", "d1", "d2", "rep").join(merged.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     named_comp = least_id.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    by_class = least_id.join(named_comp, "comp").select("cid", "component_id")
+    by_class = least_id.join(named_comp, "comp").select("d1", "d2", "component_id")
     # one row a document and class: the large classes are already folded, so that no key is hot but the
     # classes of exact copies, which Spark splits as it joins
-    out = signed.select("doc_id", "n_shingles", "cid").join(by_class, "cid", "left")
+    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(by_class, ["d1", "d2"], "left")
     named_row = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     component = F.when(named_row, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

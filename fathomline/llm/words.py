@@ -69,7 +69,7 @@ def min_hashes(sets: list[np.ndarray], coordinates: int, minima: int = 1, seed:
     """Signatures, one row a set; a coordinate's value stands for ``minima`` minima.  Rows of empty sets are undefined."""
     rng = np.random.default_rng(seed)
     salts = rng.integers(0, 1 << 63, (coordinates, minima), dtype=np.uint64)
-    out = np.zeros((len(sets), coordinates), np.int32)
+    out = np.zeros((len(sets), coordinates), np.int64)
     todo = [k for k, s in enumerate(sets) if len(s)]
     while todo:
         take, size = 0, 0
@@ -87,5 +87,5 @@ def min_hashes(sets: list[np.ndarray], coordinates: int, minima: int = 1, seed:
                 v ^= v >> np.uint64(29)
                 v *= np.uint64(0xBF58476D1CE4E5B9)
                 value = mixed((value << np.uint64(1)) ^ np.minimum.reduceat(v, starts))
-            out[mine, j] = value >> np.uint64(33)
+            out[mine, j] = value.view(np.int64)
     return out
