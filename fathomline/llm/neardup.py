@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NullType
 
@@ -53,8 +53,9 @@ ROUNDS = 2
 #: Rows and bytes of sets in a block of the exact finish.
 BLOCK = 256
 BLOCK_BYTES = 1 << 21
-#: Ids that are broadcast to pick documents, at most; beyond it they are joined.
+#: Ids that are broadcast to pick documents, and rows of two numbers that are broadcast at all, at most; beyond it they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -85,45 +86,37 @@ def signatures(docs: DataFrame, width: int, coordinates: int = COORDINATES) -> D
     return arrow_map(_documents(docs), sign, "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>")
 
 
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """Broadcast a stored table of few rows, which are counted; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (node, comp): the smallest node reachable.  Least neighbour and pointer jumping."""
     edges = links.select("a", "b").filter("a <> b")
     edges = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
+    few = edges.count() <= BROADCAST_ROWS  # labels and neighbours have no more rows than edges
+    side = F.broadcast if few else (lambda df: df)
     labels = stored(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "cc-labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        seen = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        jump = seen.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        after = stored(seen.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("up", "comp")).alias("comp")), "cc-labels")
+        near = edges.join(side(labels.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        seen = near.join(side(labels), "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
+        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+        after = stored(seen.join(side(jump), "comp", "left").select("node", "was", F.least("comp", F.coalesce("up", "comp")).alias("comp")), "cc-labels")
         labels = after.select("node", "comp")
         if after.filter("comp <> was").isEmpty():
             return labels
 
 
 def _postings(classes: DataFrame, matches: int) -> DataFrame:
-    """key, cid, weight: the prefixes of the classes that share enough postings; weight: the lengths of all lists of a class."""
+    """key, cid, weight, first: the prefixes of the classes that share enough postings; weight: the lengths of all lists of a class."""
     posts = classes.select("cid", F.posexplode("sig").alias("at", "value")).select("cid", F.xxhash64("at", "value").alias("key"))
     lists = posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = posts.join(lists, "key")
     own = Window.partitionBy("cid")
     ranked = shared.withColumn("m", F.count("*").over(own)).filter(F.col("m") >= matches)
     ranked = ranked.withColumn("r", F.row_number().over(own.orderBy("n", "key"))).withColumn("weight", F.sum("n").over(own))
-    return ranked.filter(F.col("r") <= F.col("m") - matches + 1).select("key", "cid", "weight")
-
-
-def _collisions(pairs: DataFrame, classes: DataFrame, matches: int, least: int, of: int) -> DataFrame:
-    """Pairs (a, b) that can be similar and whose signatures agree in ``matches`` coordinates or more."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                sa, sb = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-                yield batch.select(["a", "b"]).filter(pa.array((sa == sb).sum(axis=1) >= matches))
-
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"), F.col("free").alias(f"free_{x}"))
-    most = F.least("free_a", "free_b")
-    df = pairs.join(side("a"), "a").join(side("b"), "b").filter(of * most >= least * (F.col("n_a") + F.col("n_b") - most))
-    return arrow_map(df.select("a", "b", "sig_a", "sig_b"), count, "a long, b long")
+    return ranked.filter(F.col("r") <= F.col("m") - matches + 1).select("key", "cid", "weight", (F.col("r") == 1).alias("first"))
 
 
 def _shared_shingles(sets: DataFrame) -> DataFrame:
@@ -145,63 +138,66 @@ def _shared_shingles(sets: DataFrame) -> DataFrame:
     return found.filter("lo = hi").groupBy(F.col("lo").alias("cid")).agg(F.count("*").alias("alone"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: int, of: int) -> DataFrame:
-    """Pairs whose full sets have of * intersection >= least * union."""
+def _verified(pairs: DataFrame, family: DataFrame, matches: int, least: int, of: int) -> DataFrame:
+    """Pairs (a, b) whose signatures agree in ``matches`` coordinates or more and whose full sets have of * intersection >= least * union."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                if of * min(len(x), len(y)) < least * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
+            if not batch.num_rows:
+                continue
+            sa, sb = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
+            keep = (sa == sb).sum(axis=1) >= matches
+            for k in np.flatnonzero(keep):
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in ("set_a", "set_b"))
                 at = np.searchsorted(x, y)
                 common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(of * common >= least * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                keep[k] = of * common >= least * (len(x) + len(y) - common)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    df = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
-    return arrow_map(df.select("a", "b", "set_a", "set_b"), verify, "a long, b long")
+    side = lambda x: family.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "free", "sig", "set")])
+    most = F.least("free_a", "free_b")
+    df = pairs.join(side("a"), "a").join(side("b"), "b").filter(of * most >= least * (F.col("n_a") + F.col("n_b") - most))
+    return arrow_map(df.select("a", "b", "sig_a", "sig_b", "set_a", "set_b"), verify, "a long, b long")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """cid, set for wanted (cid, rep, d1, d2), from the text of document ``rep``."""
+def _family(docs: DataFrame, wanted: DataFrame, width: int, coordinates: int) -> DataFrame:
+    """cid, n, sig, set for wanted (cid, rep, d1, d2), from the text of document ``rep``."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in text_slices(batch, "text", 3 << 20):
-                cid, blobs = [], []
                 want = zip(*(rows.column(c).to_pylist() for c in ("cid", "d1", "d2")), strict=True)
-                for (c, *name), s in zip(want, shingle_sets(rows.column("text"), width), strict=True):
-                    if tuple(name) == _digest(s):
-                        cid.append(c)
-                        blobs.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(blobs, pa.binary())], ["cid", "set"])
-
-    wanted = wanted.select("cid", "d1", "d2", F.col("rep").alias("doc_id"))
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+                # a repeated document may have other texts
+                found = [(c, s) for (c, *name), s in zip(want, shingle_sets(rows.column("text"), width), strict=True) if tuple(name) == _digest(s)]
+                sets = [s for _, s in found]
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * coordinates), pa.array(min_hashes(sets, coordinates, MINIMA).ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c for c, _ in found], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), flat, pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "n", "sig", "set"]
+                )
+
+    wanted = _small(wanted.select("cid", "d1", "d2", F.col("rep").alias("doc_id")), BROADCAST_IDS)
     found = _documents(docs).join(wanted, "doc_id").select("cid", "d1", "d2", "text")
-    # a repeated document gives its class twice, which repeats pairs and no more
-    return arrow_map(found, make, "cid long, set binary")
-
-
-def _pivots(mixed: DataFrame) -> DataFrame:
-    """key, pivot: a list's most central member."""
-    return mixed.groupBy("key").agg(F.max(F.struct("weight", "cid"))["cid"].alias("pivot"))
-
-
-def _rest(mixed: DataFrame, classes: DataFrame, sets: DataFrame, matches: int, least: int, of: int) -> DataFrame:
-    """mixed (key, cid, weight, comp): the links of different components, by blocks, without a cap."""
-    merged = stored(mixed.join(_pivots(mixed), "key").groupBy("pivot", "cid").agg(F.first("comp").alias("comp")), "dup-merged")
-    size = merged.groupBy("pivot", "comp").agg(F.count("*").alias("n")).groupBy("pivot").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.sum("n").alias("total"), F.count("*").alias("comps"))
-    size = size.filter("comps > 1")
-    once = sets.groupBy("cid").agg(F.first("set").alias("set"))
-    members = merged.join(size.select("pivot", "main"), "pivot").join(classes.select("cid", "sig", "n", "free"), "cid")
-    weighed = members.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).alias("blocks"))
-    members = members.join(weighed, "pivot").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))).join(once, "cid")
-    members = stored(members, "dup-members")
+    return arrow_map(found, make, "cid long, n long, sig array<long>, set binary")
+
+
+def _mixed(posts: DataFrame, merged: DataFrame | None, order: Column) -> DataFrame:
+    """key, cid, comp and the pivot p (o, cid, comp) of the lists that hold several components."""
+    posts = posts.withColumn("comp", F.col("cid")) if merged is None else posts.join(_small(merged.withColumnRenamed("node", "cid"), BROADCAST_ROWS), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    lists = posts.groupBy("key").agg(F.max(F.struct(order.alias("o"), "cid", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    return posts.join(lists.select("key", "p"), "key")
+
+
+def _rest(posts: DataFrame, merged: DataFrame | None, family: DataFrame, matches: int, least: int, of: int) -> DataFrame:
+    """The links of different components that lists still hold, by blocks, without a cap."""
+    lists = _mixed(posts, merged, F.col("weight")).groupBy(F.col("p.cid").alias("pivot"), "cid").agg(F.first("comp").alias("comp"))
+    lists = stored(lists, "dup-merged")
+    if lists.isEmpty():
+        return lists.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+    members = stored(lists.join(family, "cid"), "dup-members")
+    by_comp = members.groupBy("pivot", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    size = by_comp.groupBy("pivot").agg(F.max(F.struct("rows", "comp"))["comp"].alias("main"), F.greatest(F.ceil(F.sum("rows") / BLOCK), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).alias("blocks"), F.count("*").alias("comps"))
+    size = _small(stored(size.filter("comps > 1").drop("comps"), "dup-size"), BROADCAST_ROWS)
+    members = members.join(size, "pivot").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     row = F.struct("cid", "comp", "sig", "n", "free", "set")
     everyone = members.groupBy("pivot", "block").agg(F.collect_list(row).alias("all"))
     queries = members.filter("comp <> main").groupBy("pivot", "block").agg(F.collect_list(row).alias("some")).withColumnRenamed("block", "asked")
@@ -246,55 +242,49 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, of: int =
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept for each row."""
     signed = stored(signatures(docs, width, coordinates), "dup-signed")
     named = signed.filter("doc_id is not null and n_shingles > 0")
-    classes = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "dup-classes")  # numbers are fixed as they are written
     posts = stored(_postings(classes, matches), "dup-posts")
-    lists = posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    posts = stored(posts.join(lists, "key"), "dup-lists")
-    sharing = stored(posts.select("cid").distinct().join(classes, "cid"), "dup-family")
-    sets = stored(_sets_of(docs, sharing, width), "dup-sets")
+    sharing = classes.select("cid", "rep", "d1", "d2").join(_small(posts.filter("first").select("cid"), BROADCAST_IDS), "cid")
+    sharing = stored(sharing, "dup-sharing")
+    family = stored(_family(docs, sharing, width, coordinates), "dup-sets")
     # shingles that no other class has bound every intersection; some classes can match nothing
-    alone = _shared_shingles(sets)
-    family = sharing.join(alone, "cid", "left").withColumn("free", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-    family = stored(family.filter(of * F.col("free") >= least * F.col("n")), "dup-bounded")
-    posts = stored(posts.join(family.select("cid"), "cid"), "dup-possible")
-    sigs = family.select("cid", "sig", "n", "free")
-    comp = family.select("cid", F.col("cid").alias("comp"))
-    links = None
-    mixed = posts.withColumn("comp", F.col("cid"))
+    alone = _small(stored(_shared_shingles(family), "dup-alone"), BROADCAST_IDS)
+    family = family.join(alone, "cid", "left").withColumn("free", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    family = family.filter(of * F.col("free") >= least * F.col("n"))
+    # a document that is repeated gives its class more than once
+    if not sharing.groupBy("rep").count().filter("count > 1").isEmpty() or family.count() > sharing.count():
+        family = family.dropDuplicates(["cid"])
+    family = stored(family, "dup-family")
+    posts = stored(posts.select("key", "cid", "weight").join(_small(family.select("cid"), BROADCAST_IDS), "cid"), "dup-possible")
+    links, merged = None, None
     for k in range(ROUNDS + 1):
         if k < ROUNDS:
             # every list names a pivot, every member outside its component asks one of them
-            order = F.struct("weight", "cid") if k == 0 else F.struct(F.xxhash64("key", "cid", F.lit(k)).alias("o"), "cid")
-            pivot = mixed.groupBy("key").agg(F.max(F.struct(order.alias("o"), "cid", "comp")).alias("p"))
-            asks = mixed.join(pivot, "key").filter(F.col("comp") != F.col("p.comp"))
-            choice = F.struct(F.col("p.o").alias("o"), F.col("p.cid").alias("b"))
-            pairs = asks.groupBy("cid").agg(F.max(choice)["b"].alias("b")).withColumnRenamed("cid", "a")
-            found = _verified(_collisions(pairs, sigs, matches, least, of), sets, least, of)
+            order = F.col("weight") if k == 0 else F.xxhash64("key", "cid", F.lit(k))
+            asks = _mixed(posts, merged, order).filter(F.col("comp") != F.col("p.comp"))
+            pairs = asks.groupBy("cid").agg(F.max(F.struct("p.o", "p.cid"))["cid"].alias("b")).withColumnRenamed("cid", "a")
+            found = _verified(pairs, family, matches, least, of)
         else:
-            found = _rest(mixed, sigs, sets, matches, least, of)
+            found = _rest(posts, merged, family, matches, least, of)
         found = stored(found.select("a", "b"), "dup-links")
+        if found.isEmpty() and k:
+            continue
         links = found if links is None else links.unionByName(found)
-        if k == ROUNDS:
-            break
-        if not found.isEmpty():
-            merged = components(links)
-            comp = stored(family.select("cid").join(merged.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp")), "dup-comp")
-        mixed = posts.join(comp, "cid").select("key", "cid", "weight", "comp")
-        several = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        mixed = stored(mixed.join(several, "key"), "dup-mixed")
-        if mixed.isEmpty():
-            break
+        merged = components(links)
     # from classes back to documents: a document's rows with several texts tie their classes together
     repeats = named.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y")).filter("x <> y").select("doc_id")
-    several = named.select("doc_id", "d1", "d2").join(repeats, "doc_id").join(classes.select("d1", "d2", "cid"), ["d1", "d2"])
-    tied = several.join(several.groupBy("doc_id").agg(F.min("cid").alias("a")), "doc_id").select("a", F.col("cid").alias("b"))
-    merged = components(links.unionByName(tied))
-    least_id = classes.select("cid", "d1", "d2", "rep").join(merged.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    named_comp = least_id.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    by_class = least_id.join(named_comp, "comp").select("d1", "d2", "component_id")
-    # one row a document and class: the large classes are already folded, so that no key is hot but the
-    # classes of exact copies, which Spark splits as it joins
+    repeats = stored(repeats, "dup-repeats")
+    if not repeats.isEmpty():
+        several = named.select("doc_id", "d1", "d2").join(_small(repeats, BROADCAST_IDS), "doc_id").join(classes.select("d1", "d2", "cid"), ["d1", "d2"])
+        tied = several.join(several.groupBy("doc_id").agg(F.min("cid").alias("a")), "doc_id").select("a", F.col("cid").alias("b"))
+        merged = components(links.unionByName(tied))
+    # a class that is linked with none has its own first document; the others the first of their component
+    linked = classes.select("cid", "rep").join(_small(merged.withColumnRenamed("node", "cid"), BROADCAST_ROWS), "cid")
+    first = linked.groupBy("comp").agg(F.min("rep").alias("first"))
+    first = stored(first.join(merged, "comp").select(F.col("node").alias("cid"), "first"), "dup-first")
+    by_class = classes.select("cid", "d1", "d2", "rep").join(_small(first, BROADCAST_ROWS), "cid", "left").select("d1", "d2", F.coalesce("first", "rep").alias("component_id"))
+    # the classes of exact copies are the only hot keys here, and Spark splits those as it joins
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(by_class, ["d1", "d2"], "left")
     named_row = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     component = F.when(named_row, F.col("component_id")).otherwise(F.col("doc_id"))
