@@ -3,12 +3,14 @@
 1.  Words are runs of letters and digits, lower-cased; shingles are five words (an item of fewer words
     is one shingle of its own length).  Any window of weighted similarity s or more with an item holds
     all but (1 - s) of the item's shingle weight, so every such window contains one of any
-    floor((1 - s) * shingles) + 1 of them.  These are looked up in all documents, and each hit places every
-    item-sized window that contains it, wherever in the window it stands: no other window can reach s.
+    floor((1 - s) * shingles) + 1 of them.  Those that fewest items have are looked up in all documents,
+    and each hit places every window of the item's size that contains it, wherever in the window it
+    stands: no other window can reach s with that item.
 2.  Equal windows are fingerprinted once: 64-bit SimHash of the weighted shingles.
 3.  A fingerprint within ``radius`` of another agrees with it in at least one of radius + 1 blocks;
-    windows and items of one length meet in an equality join on (length, block, value), and the
-    Hamming distance is taken exactly.
+    windows and items meet in an equality join on (item, block, value), the item being one whose shingle the
+    window holds: blocks as short as such a radius asks for tell hardly any two fingerprints apart, so
+    alone they would pair each window with most items of its length.  The Hamming distance is taken exactly.
 4.  Candidates are verified by their exact weighted similarity, sum of minima over sum of maxima.
 
 At similarity 0.8 the expected distance is 9.7 bits with a deviation of 2.9; the radius of 18 loses
@@ -18,13 +20,13 @@ The items' looked-up shingles are broadcast where they are at most ``BROADCAST_R
 checked, and joined by shuffle beyond it.
 
 Defined cases: null texts are empty; items and documents without words match nothing; a null doc_id or
-item_id is carried as such; repeated rows are found row by row but reported once; extra columns are
-ignored; with an empty table on either side the result is empty.
+item_id is carried as such; repeated rows are reported once; extra columns are ignored by ``find_leaks``
+and kept by ``decontaminate``, whatever their names; with an empty table on either side nothing is found.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, stored, table
@@ -49,9 +51,9 @@ def _shingles(words: Column, width: Column | int) -> Column:
     return F.when(n >= width, F.transform(F.sequence(F.lit(1), n - F.lit(width) + 1 if isinstance(width, int) else n - width + 1), lambda i: F.xxhash64(F.slice(words, i, width))))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast what is small, which is counted; otherwise leave the join to a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Broadcast what is small, which is counted (in ``rows`` where df holds them in lists); otherwise leave the join to a shuffle."""
+    return F.broadcast(df) if (df if rows is None else rows).count() <= BROADCAST_ROWS else df
 
 
 def _features(df: DataFrame, key: str) -> DataFrame:
@@ -76,6 +78,11 @@ def _fingerprints(features: DataFrame, key: str) -> DataFrame:
     return df.select(key, "weight", out.alias("print"))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A 128-bit name of a row's doc_id and text."""
+    return F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+
+
 def _blocks(print_: Column, radius: int) -> Column:
     """The fingerprint's radius + 1 blocks as (block, value)."""
     count = radius + 1
@@ -92,55 +99,53 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, simila
     items = items.withColumn("length", F.size("words")).withColumn("width", F.least(F.lit(width), F.col("length")))
     items = stored(items, "leak-items")
     item_features = stored(_features(items, "iid"), "leak-item-features")
-    placed = items.withColumn("hashes", _shingles(F.col("words"), F.col("width"))).select("iid", "length", "width", F.explode_outer("hashes").alias("h")).filter("h is not null").distinct()
-    # the looked-up part of each item: whole groups of equal shingles, in the order of their hashes
-    total = items.select("iid", (F.col("length") - F.col("width") + 1).alias("total"))
-    from pyspark.sql import Window
-
-    run = Window.partitionBy("iid").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = item_features.withColumn("before", F.coalesce(F.sum("tf").over(run), F.lit(0))).join(total, "iid")
-    chosen = chosen.filter(F.col("before") <= F.floor((1 - F.lit(similarity)) * F.col("total") + 1e-9)).select("iid", "h")
-    probes = stored(placed.join(chosen, ["iid", "h"]), "leak-probes")
-
-    base = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), token_words(F.col("text")).alias("words"))
+    total = items.select("iid", "length", "width", (F.col("length") - F.col("width") + 1).alias("total"))
+    # the looked-up part of each item: whole groups of equal shingles, first those that fewest items have
+    shared = item_features.groupBy("h").agg(F.count("*").alias("items"))
+    run = Window.partitionBy("iid").orderBy("items", "h").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = item_features.join(shared, "h").withColumn("before", F.coalesce(F.sum("tf").over(run), F.lit(0))).join(total, "iid")
+    chosen = chosen.filter(F.col("before") <= F.floor((1 - F.lit(similarity)) * F.col("total") + 1e-9))
+    probes = stored(chosen.select("iid", "h", "length", "width"), "leak-probes")
+
+    base = docs.select("doc_id", row_key(docs).alias("row_key"), token_words(F.col("text")).alias("words"))
     hits = None
     for r in probes.select("width").distinct().orderBy("width").collect():  # five numbers at most
         w = r["width"]
-        own = _small(probes.filter(F.col("width") == w).select("length", "h").distinct().withColumn("width", F.lit(w)))
+        own = probes.filter(F.col("width") == w)
+        own = _small(own.groupBy("h").agg(F.collect_list(F.struct("iid", "length")).alias("items")), own)
         spread = base.withColumn("hashes", _shingles(F.col("words"), w)).select("doc_id", "row_key", F.size("words").alias("n"), F.posexplode_outer("hashes").alias("pos", "h"))
-        found = spread.join(own, "h")
+        found = spread.join(own, "h").select("doc_id", "row_key", "n", "pos", F.lit(w).alias("width"), F.explode("items").alias("item"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        hits = base.select("doc_id", "row_key", F.lit(0).alias("n"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h")).limit(0).join(probes, "h")
+        none = F.lit(0)
+        hits = base.select("doc_id", "row_key", none.alias("n"), none.alias("pos"), none.alias("width"), F.struct(none.cast("long").alias("iid"), none.alias("length")).alias("item")).limit(0)
+    hits = hits.select("doc_id", "row_key", "n", "pos", "width", "item.iid", "item.length")
     size = F.least("length", "n")
     # all starts whose window contains the hit; equal hits of items of one length are one
     last = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n") - F.col("length")))
     first = F.greatest(F.lit(0), F.col("pos") - F.col("length") + F.col("width"))
-    hits = hits.select("doc_id", "row_key", "length", "width", "pos", size.alias("n_words"), first.alias("first"), last.alias("last")).distinct()
-    windows = hits.select("doc_id", "row_key", "length", "width", F.explode(F.sequence("first", "last")).alias("start"), "n_words").distinct()
-    windows = stored(windows, "leak-windows")
-    asked = windows.select("row_key", "length", "width", "start", "n_words")
+    hits = stored(hits.select("doc_id", "row_key", "iid", "length", "width", size.alias("n_words"), first.alias("first"), last.alias("last")).distinct(), "leak-hits")
+    starts = hits.select("row_key", "iid", "length", "width", "n_words", F.explode(F.sequence("first", "last")).alias("start")).distinct()
     # back to the words: only the documents that were hit
-    texts = base.drop("doc_id").join(_small(asked.select("row_key").distinct()), "row_key").dropDuplicates(["row_key"])
-    cut = asked.distinct().join(texts, "row_key").withColumn("words", F.slice("words", F.col("start") + 1, F.col("n_words")))
-    cut = stored(cut.withColumn("wid", F.xxhash64("words", "length")), "leak-cut")
-    contents = cut.groupBy("wid").agg(F.first("words").alias("words"), F.first("length").alias("length"), F.first("width").alias("width"))
-    contents = stored(contents, "leak-contents")
+    texts = base.drop("doc_id").join(_small(hits.select("row_key").distinct()), "row_key").dropDuplicates(["row_key"])
+    cut = starts.groupBy("row_key", "length", "width", "n_words", "start").agg(F.collect_list("iid").alias("iids")).join(texts, "row_key")
+    cut = cut.withColumn("words", F.slice("words", F.col("start") + 1, F.col("n_words")))
+    cut = stored(cut.withColumn("wid", F.xxhash64("words", "length")).select("wid", "row_key", "start", "n_words", "length", "width", "iids", "words"), "leak-cut")
+    contents = stored(cut.groupBy("wid").agg(F.first("words").alias("words"), F.first("width").alias("width")), "leak-contents")
     features = stored(_features(contents, "wid"), "leak-features")
-    prints = stored(_fingerprints(features, "wid"), "leak-prints").join(contents.select("wid", "length"), "wid")
-    item_prints = stored(_fingerprints(item_features, "iid"), "leak-item-prints").join(items.select("iid", "length"), "iid")
-    a = prints.select("wid", "weight", "print", "length", F.explode(_blocks(F.col("print"), radius)).alias("b")).select("wid", "weight", "print", "length", "b.*")
-    b = item_prints.select("iid", F.col("weight").alias("item_weight"), F.col("print").alias("item_print"), "length", F.explode(_blocks(F.col("print"), radius)).alias("b")).select(
-        "iid", "item_weight", "item_print", "length", "b.*"
-    )
-    near = a.join(b, ["length", "block", "value"]).withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
+    prints = stored(_fingerprints(features, "wid"), "leak-prints")
+    item_prints = stored(_fingerprints(item_features, "iid"), "leak-item-prints")
+    wanted = cut.select("wid", F.explode("iids").alias("iid")).distinct()
+    a = wanted.join(prints, "wid").select("wid", "iid", "weight", "print", F.explode(_blocks(F.col("print"), radius)).alias("b")).select("wid", "iid", "weight", "print", "b.*")
+    b = item_prints.select("iid", F.col("weight").alias("item_weight"), F.col("print").alias("item_print"), F.explode(_blocks(F.col("print"), radius)).alias("b"))
+    near = a.join(b.select("iid", "item_weight", "item_print", "b.*"), ["iid", "block", "value"]).withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
     near = stored(near.filter(F.col("distance") <= radius).select("wid", "iid", "weight", "item_weight", "distance").distinct(), "leak-near")
     common = near.join(features.withColumnRenamed("tf", "t"), "wid").join(item_features, ["iid", "h"])
     common = common.groupBy("wid", "iid", "distance").agg((F.sum(F.least("t", "tf")) / (F.first("weight") + F.first("item_weight") - F.sum(F.least("t", "tf")))).alias("similarity"))
     sure = common.filter(F.col("similarity") >= similarity - 1e-12)
     back = cut.select("wid", "row_key", "start", "n_words").distinct().join(sure, "wid")
     best = back.groupBy("row_key", "iid").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "distance", "start", "n_words")).alias("best"))
-    named = windows.select("row_key", "doc_id").distinct()
+    named = hits.select("row_key", "doc_id").distinct()
     out = best.join(named, "row_key").join(items.select("iid", F.explode_outer("item_ids").alias("item_id")), "iid")
     return out.select("row_key", "doc_id", "item_id", F.col("best.start").alias("start"), F.col("best.n_words").alias("n_words"), (-F.col("best.s")).alias("similarity"), F.col("best.distance").alias("distance"))
 
@@ -148,7 +153,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, simila
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents in which no item was found."""
     leaks = stored(find_leaks(docs, benchmark, **options).select("row_key").distinct(), "leak-rows")
-    return docs.withColumn("row_key", F.xxhash64("doc_id", "text")).join(_small(leaks), "row_key", "left_anti").select(docs.columns)
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, row_key(docs)).join(_small(leaks.withColumnRenamed("row_key", name)), name, "left_anti").select(docs.columns)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
