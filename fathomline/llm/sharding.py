@@ -2,12 +2,15 @@
 
 Documents with a common hub (here: equal texts) are linked.  All rows start in a shard of their own
 hash; in every round a linked row asks for the shard that holds most of its group, and the requests
-are granted up to the quotas that keep every shard below its capacity.  A group larger than a
-quarter of a shard is split beforehand into parts of that size, which then move on their own, so
-neither a task nor a shard ever has to hold an unbounded group.  Pairs are never formed: the links
-of a group are the counts of its rows by shard, at most ``shards`` numbers.
-
-What is collected to the driver: counts by (from, to, hash bucket), at most shards^2 * 64 numbers.
+are granted up to the quotas that keep the linked rows of every shard below its capacity.  A shard that
+is full takes no more requests: its groups ask for the open shard that holds most of them, or for one
+drawn by the group.  Rows without a link make room wherever a group moves, so capacity is all of a
+shard's size.  A group larger than a quarter of a shard is split beforehand into parts of that size,
+which then move on their own, so no shard ever has to hold an unbounded group; parts are salted, so no
+task has to either.  Pairs are never formed: the links of a group are the counts of its rows by shard,
+at most ``shards`` numbers.
+
+What is collected to the driver: counts by (from, to, hash bucket), at most shards^2 * BUCKETS numbers.
 At last, rows that have no link move from too full to too empty shards, so that the counts of any two
 shards differ by one at most (law ``rows``).
 
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 SHARDS = 24
-BUCKETS = 64
+BUCKETS = 256
+#: Rows of a part under one salt.
+SALT_ROWS = 50_000
 
 
 def _granted(flow: np.ndarray, load: np.ndarray, capacity: float) -> np.ndarray:
@@ -48,33 +53,40 @@ def _lookup(values: list[int], key: Column) -> Column:
     return F.get(F.array(*[F.lit(int(v)).cast("long") for v in values]), key.cast("int"))
 
 
-def propagate(nodes: DataFrame, total: int, shards: int = SHARDS, rounds: int = 8, slack: float = 0.05) -> DataFrame:
+def propagate(nodes: DataFrame, total: int, shards: int = SHARDS, rounds: int = 12) -> DataFrame:
     """nodes (rid, hub) -> (rid, hub, linked, shard); the shards of rows with one hub drawn together."""
-    spark = nodes.sparkSession
     part = max(1, -(-total // (4 * shards)))
     start = F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int")
     groups = stored(nodes.groupBy("hub").agg(F.count("*").alias("m")).filter("m > 1"), "shard-groups")
-    # at most 4 * shards groups have more than total / (4 * shards) rows: a bounded broadcast
-    heavy = F.broadcast(groups.filter(F.col("m") > part).select("hub", F.ceil(F.col("m") / part).alias("parts")))
-    df = nodes.join(heavy, "hub", "left").withColumn("chunk", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("rid", F.lit(7)), F.col("parts"))))
-    light = df.filter("parts is null").drop("parts", "chunk")
-    member = light.join(groups.filter(F.col("m") <= part).select("hub", F.lit(0).cast("long").alias("chunk")), "hub", "left")
-    df = df.filter("parts is not null").select("rid", "hub", "chunk").unionByName(member.select("rid", "hub", "chunk"))
-    df = stored(df.withColumn("shard", start), "shard-start")
+    # at most 4 * shards groups have more than total / (4 * shards) rows, and total / SALT_ROWS more than one salt: bounded broadcasts
+    salts = F.ceil(F.least(F.col("m"), F.lit(part)) / SALT_ROWS)
+    heavy = F.broadcast(groups.filter((F.col("m") > part) | (F.col("m") > SALT_ROWS)).select("hub", F.ceil(F.col("m") / part).alias("parts"), salts.alias("salts")))
+    df = nodes.join(heavy, "hub", "left")
+    light = df.filter("parts is null").drop("parts", "salts")
+    small = groups.filter((F.col("m") <= part) & (F.col("m") <= SALT_ROWS)).select("hub", F.lit(0).cast("long").alias("chunk"), F.lit(1).cast("long").alias("salts"))
+    large = df.filter("parts is not null").withColumn("chunk", F.pmod(F.xxhash64("rid", F.lit(7)), F.col("parts")))
+    df = light.join(small, "hub", "left").select("rid", "hub", "chunk", "salts").unionByName(large.select("rid", "hub", "chunk", "salts"))
+    df = stored(df.withColumn("salt", F.pmod(F.xxhash64("rid", F.lit(13)), F.col("salts"))).withColumn("shard", start), "shard-start")
     single = df.filter("chunk is null").withColumn("linked", F.lit(False))
     linked = df.filter("chunk is not null")
-    fixed = np.zeros(shards)
-    for r in single.groupBy("shard").count().collect():
-        fixed[r["shard"]] = r["count"]
-    capacity = (1 + slack) * total / shards + 1
+    capacity = total // shards
+    closed = [False] * shards
     for k in range(rounds):
-        cells = linked.groupBy("hub", "chunk", "shard").agg(F.count("*").alias("n"))
+        cells = linked.groupBy("hub", "chunk", "shard").agg(F.count("*").alias("n"), F.max("salts").alias("salts"))
         # most rows first; ties go to a shard drawn by the group
         draw = F.pmod(F.xxhash64("hub", "chunk", "shard"), F.lit(1 << 20))
-        want = cells.groupBy("hub", "chunk").agg(F.max(F.struct("n", draw.alias("draw"), "shard"))["shard"].alias("want"))
-        asked = linked.join(want, ["hub", "chunk"]).withColumn("bucket", F.pmod(F.xxhash64("hub", "chunk", F.lit(k)), F.lit(BUCKETS)).cast("int"))
+        free = F.lit(True) if not any(closed) else ~F.get(F.array(*[F.lit(c) for c in closed]), F.col("shard"))
+        want = cells.groupBy("hub", "chunk").agg(F.max(F.when(free, F.struct("n", draw.alias("draw"), "shard")))["shard"].alias("want"), F.max("shard").alias("most"), F.min("shard").alias("least"), F.first("shard").alias("stay"), F.max("salts").alias("salts"))
+        elsewhere = [j for j in range(shards) if not closed[j]]
+        if elsewhere:
+            drawn = F.get(F.array(*[F.lit(j) for j in elsewhere]), F.pmod(F.xxhash64("hub", "chunk", F.lit(-k)), F.lit(len(elsewhere))).cast("int"))
+        else:
+            drawn = F.col("stay")
+        # a group that is whole stays where it is
+        want = want.select("hub", "chunk", F.when(F.col("most") == F.col("least"), F.col("most")).otherwise(F.coalesce("want", drawn)).alias("want"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        asked = linked.join(want, ["hub", "chunk", "salt"]).withColumn("bucket", F.pmod(F.xxhash64("hub", "chunk", F.lit(k)), F.lit(BUCKETS)).cast("int"))
         asked = stored(asked, "shard-asked")
-        flow, load = np.zeros((shards, shards, BUCKETS)), fixed.copy()
+        flow, load = np.zeros((shards, shards, BUCKETS)), np.zeros(shards)
         for r in asked.groupBy("shard", "want", "bucket").count().collect():
             load[r["shard"]] += r["count"]
             if r["shard"] != r["want"]:
@@ -82,8 +94,9 @@ def propagate(nodes: DataFrame, total: int, shards: int = SHARDS, rounds: int =
         if not flow.any():
             break
         cut = _granted(flow, load, capacity)
+        closed = [bool(c < BUCKETS) for c in cut]
         granted = F.col("bucket") < _lookup(list(cut), F.col("want"))
-        linked = asked.select("rid", "hub", "chunk", F.when(granted, F.col("want")).otherwise(F.col("shard")).alias("shard"))
+        linked = asked.select("rid", "hub", "chunk", "salts", "salt", F.when(granted, F.col("want")).otherwise(F.col("shard")).alias("shard"))
     return linked.select("rid", "hub", F.lit(True).alias("linked"), "shard").unionByName(single.select("rid", "hub", "linked", "shard"))
 
 
