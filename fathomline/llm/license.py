@@ -1,16 +1,20 @@
-"""License scan by positions of rare words, in DataFrame operations only.
+"""License scan by a positional index of rare words, in DataFrame operations only.
 
 Every template is a sequence of words with key phrases that must stand whole.  Over the corpus the
-document frequency of the templates' words is counted; each template is then looked up by its one or
-two words of highest inverse document frequency.  In a text, the positions of those words less their
-offsets in the template are possible starts; the starts of both words are intersected (a start may lie
-before the text, whose missing words then only lower the score), the key phrases verified there, and the share of the template's weight (by inverse document frequency) that stands in
-its place is the score of the match.  All of this happens inside the row: a text is a positional index
-of its own rare words, so nothing is shuffled but the counts of a fixed list of words.
+document frequency of the templates' words is counted.  The index holds, for every licence word that
+is looked up, its postings: the templates that have it in a key phrase, and the offset there.  Looked up
+are the words of highest inverse document frequency, ``rare`` of each template's key phrases, so that no
+template is out of reach.  In a text, every position of such a word less the offset of a posting is a possible
+start of that posting's template; the starts that the template's rarest word gives are intersected with
+those of its next one (a start may lie before the text, whose missing words then only lower the score).
+What is left is a candidate (template, start); its key phrases are verified there, and the share of the template's weight (by inverse document frequency) that stands in
+its place is the score of the match.  All of this happens inside the row, by expressions whose number
+does not depend on the number of templates, and nothing is shuffled but the counts of a fixed list of words.
 
 Defined cases: null and empty texts have no word and no label; overlapping and repeated places all
-count; repeated rows are scanned row by row; extra columns are dropped; an empty table gives an empty
-result.
+count; repeated rows are scanned row by row; extra columns are kept, those with the names of the results
+(``words``, ``n_words``, ``base_places``, ``base_labels``, ``labels``, ``score``) are replaced; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -77,83 +81,88 @@ def document_frequency(texts: DataFrame, vocabulary: list[str]) -> tuple[int, di
     return found.pop("\n", 0), found
 
 
-def _where(word: str) -> Column:
-    return F.filter("rare", lambda x: x["w"] == word)
+#: Candidates are numbers: template * SPAN + start + SHIFT, so that they are intersected as such.
+SPAN, SHIFT = 1 << 40, 1 << 20
 
 
-def _less(found: Column, offset: int) -> Column:
-    return F.transform(found, lambda x: x["i"] - F.lit(offset))
-
-
-def _labelled(places: str, label: str) -> Column:
-    return F.transform(places, lambda s: F.struct(F.lit(label).alias("label"), s.alias("start")))
-
-
-def _starts(template: Template, idf: dict[str, float], rare: int) -> tuple[Column, list[str]]:
-    """Places where the template's rarest words stand in their relative positions."""
+def _anchors(template: Template, idf: dict[str, float], rare: int) -> list[int]:
+    """Offsets of the template's rarest words among those that may not be missing."""
     words = template.words
-    inside = {o + i for o, k in template.key_offsets() for i in range(len(k))}  # words that may not be missing
-    order = sorted(inside, key=lambda i: (-idf[words[i]], i))
-    chosen = [order[0]]
-    for i in order[1:]:
-        if len(chosen) < rare and words[i] not in {words[j] for j in chosen}:
-            chosen.append(i)
-    sets = [_less(_where(words[i]), i) for i in chosen]
-    out = sets[0]
-    for s in sets[1:]:
-        out = F.array_intersect(out, s)
-    return out, [words[i] for i in chosen]
-
-
-def _verified(starts: Column, template: Template) -> Column:
-    def holds(s: Column) -> Column:
-        out = F.lit(True)
-        for o, k in template.key_offsets():
-            out = out & (s + o >= 0) & (F.slice("words", F.greatest(s + o, F.lit(0)) + 1, len(k)) == F.array(*[F.lit(w) for w in k]))
-        return out
-
-    return F.filter(starts, holds)
+    inside = {o + i for o, k in template.key_offsets() for i in range(len(k))}
+    out: list[int] = []
+    for i in sorted(inside, key=lambda i: (-idf[words[i]], i)):
+        if len(out) < rare and words[i] not in {words[j] for j in out}:
+            out.append(i)
+    return out
 
 
-def _score(places: Column, template: Template, idf: dict[str, float]) -> Column:
-    """The best share of the template's weight that stands in place, 0 without a place."""
-    whole = sum(idf[w] for w in template.words)
+def _literal(values: list[Column], kind: str) -> Column:
+    return F.array(*values).cast(f"array<{kind}>")
 
-    def share(s: Column) -> Column:
-        out = F.lit(0.0)
-        for i, w in enumerate(template.words):
-            out = out + F.when(F.get("words", s + i) == w, F.lit(idf[w])).otherwise(0.0)
-        return F.least(out / whole, F.lit(1.0))
 
-    return F.coalesce(F.array_max(F.transform(places, share)), F.lit(0.0))
+def _hits(postings: dict[str, list[tuple[int, int]]]) -> Column:
+    """Candidates that the row's rare words give by these postings."""
+    words = sorted(postings)
+    if not words:
+        return F.array().cast("array<bigint>")
+    names = F.array(*[F.lit(w) for w in words])
+    base = F.array(*[F.array(*[F.lit(t * SPAN + SHIFT - o) for t, o in postings[w]]) for w in words])
+    found = F.filter(F.transform("_license_rare", lambda x: F.struct(F.array_position(names, x["w"]).cast("int").alias("k"), x["i"].alias("i"))), lambda x: x["k"] > 0)
+    return F.flatten(F.transform(found, lambda x: F.transform(F.get(base, x["k"] - 1), lambda p: p + x["i"])))
 
 
 def scan_licenses(docs: DataFrame, base: tuple[Template, ...] = BASE, templates: tuple[Template, ...] = TEMPLATES, text: str = "text", rare: int = 2) -> DataFrame:
-    """Adds words, n_words, base_places (label, start), labels and score to the rows."""
-    df = docs.withColumn("words", token_words(F.col(text)))
+    """Adds words, n_words, base_places (label, start), base_labels, labels and score to the rows."""
     every = (*base, *templates)
     vocabulary = sorted({w for t in every for w in t.words})
-    n, frequency = document_frequency(df.select("words"), vocabulary)
+    n, frequency = document_frequency(docs.select(token_words(F.col(text)).alias("words")), vocabulary)
     idf = {w: math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1e-3 for w in vocabulary}
-    looked, placed = set(), []
-    for t in every:
-        starts, used = _starts(t, idf, rare)
-        looked |= set(used)
-        placed.append((t, starts))
+    # the index: postings of the rarest words of the key phrases, and of the next ones
+    index: list[dict[str, list[tuple[int, int]]]] = [{} for _ in range(rare)]
+    levels = []
+    for k, t in enumerate(every):
+        anchors = _anchors(t, idf, rare)
+        levels.append(len(anchors))
+        for level, o in enumerate(anchors):
+            # a word may stand at several offsets of one template: the start is that of this offset
+            index[level].setdefault(t.words[o], []).append((k, o))
+    looked = sorted({w for level in index for w in level})
+    df = docs.withColumn("words", token_words(F.col(text)))
     # the text's own positional index: its rare licence words only
-    df = df.withColumn("rare", F.filter(F.transform("words", lambda w, i: F.when(w.isin(sorted(looked)), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull()))
-    for k, (t, starts) in enumerate(placed):
-        df = df.withColumn(f"_p{k}", F.when(F.size("rare") > 0, _verified(starts, t)).otherwise(F.array().cast("array<int>")))
-    places = [_labelled(f"_p{k}", t.label) for k, t in enumerate(base)]
-    names = F.array_compact(F.array(*[F.when(F.size(f"_p{k}") > 0, F.lit(t.label)) for k, (t, _) in enumerate(placed)]))
+    df = df.withColumn("_license_rare", F.filter(F.transform("words", lambda w, i: F.when(w.isin(looked), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull()))
+    template_of = lambda c: F.floor(c / SPAN).cast("int")
+    start_of = lambda c: (F.pmod(c, F.lit(SPAN)) - SHIFT).cast("int")
+    found = _hits(index[0])
+    for level in range(1, rare):
+        # templates of fewer rare words pass this level
+        short = F.array(*[F.lit(x <= level) for x in levels])
+        both = F.array_intersect(found, _hits(index[level]))
+        found = F.concat(F.filter(found, lambda c, short=short: F.get(short, template_of(c))), both) if any(x <= level for x in levels) else both
+    keys = F.array(*[_literal([F.struct(F.lit(o).alias("o"), F.array(*[F.lit(w) for w in k]).alias("w")) for o, k in t.key_offsets()], "struct<o:int,w:array<string>>") for t in every])
+    parts = F.array(*[_literal([F.struct(F.lit(i).alias("o"), F.lit(w).alias("w"), F.lit(idf[w]).alias("idf")) for i, w in enumerate(t.words)], "struct<o:int,w:string,idf:double>") for t in every])
+    whole = F.array(*[F.lit(sum(idf[w] for w in t.words)) for t in every])
+    names = F.array(*[F.lit(t.label) for t in every])
+
+    def holds(c: Column) -> Column:
+        s = start_of(c)
+        return F.forall(F.get(keys, template_of(c)), lambda k: (s + k["o"] >= 0) & (F.slice("words", F.greatest(s + k["o"], F.lit(0)) + 1, F.size(k["w"])) == k["w"]))
+
+    def share(c: Column) -> Column:
+        s, t = start_of(c), template_of(c)
+        there = F.aggregate(F.get(parts, t), F.lit(0.0), lambda acc, x: acc + F.when(F.get("words", s + x["o"]) == x["w"], x["idf"]).otherwise(0.0))
+        return F.least(there / F.get(whole, t), F.lit(1.0))
+
+    none = F.array().cast("array<bigint>")
+    df = df.withColumn("_license_found", F.when(F.size("_license_rare") > 0, F.filter(F.array_distinct(found), holds)).otherwise(none))
+    places = F.transform(F.filter("_license_found", lambda c: template_of(c) < len(base)), lambda c: F.struct(F.get(names, template_of(c)).alias("label"), start_of(c).alias("start")))
     df = (
         df.withColumn("n_words", F.size("words").cast("long"))
-        .withColumn("base_places", F.concat(*places))
+        .withColumn("base_places", places)
         .withColumn("base_labels", F.array_sort(F.array_distinct(F.transform("base_places", lambda x: x["label"]))))
-        .withColumn("labels", F.array_sort(F.array_distinct(names)))
-        .withColumn("score", F.greatest(*[_score(F.col(f"_p{k}"), t, idf) for k, (t, _) in enumerate(placed)]))
+        .withColumn("labels", F.array_sort(F.array_distinct(F.transform("_license_found", lambda c: F.get(names, template_of(c))))))
+        .withColumn("score", F.coalesce(F.array_max(F.transform("_license_found", share)), F.lit(0.0)))
     )
-    return df.drop("rare", *[f"_p{k}" for k in range(len(placed))])
+    return df.drop("_license_rare", "_license_found")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import LOWER, UPPER
+from .license import BASE, TEMPLATES
 from .quality import STOP_WORDS
 
 WORDS = r"list_filter(string_split_regex({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -39,3 +40,55 @@ r AS (SELECT doc_id AS node, doc_id AS comp FROM w UNION SELECT e.b, r.comp FROM
 m AS (SELECT node, min(comp) AS component_id FROM r GROUP BY node)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN m ON m.node = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
 """
+
+_QUOTE = r"^[ \t]?(?:>[ \t]?)+"
+
+QUOTES = rf"""
+WITH RECURSIVE m AS (SELECT *, row_number() OVER () AS rid, coalesce('c' || conv_id, '') AS cn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS BIGINT) AS position FROM (SELECT conv_id, turn, role, text FROM conversations)),
+l AS (SELECT rid, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS raw FROM (SELECT rid, string_split(coalesce(text, ''), chr(10)) AS ls FROM m)),
+q AS (SELECT rid, i, raw, length(regexp_replace(regexp_extract(raw, '{_QUOTE}'), '[^>]', '', 'g')) AS level, trim(regexp_replace(lower(regexp_replace(raw, '{_QUOTE}', '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS norm FROM l),
+z AS (SELECT rid, level, i, norm, i - row_number() OVER (PARTITION BY rid, level ORDER BY i) AS g FROM q WHERE norm <> ''),
+p AS (SELECT rid, level, g, string_agg(norm, ' ' ORDER BY i) AS whole, list(DISTINCT norm) AS lines FROM z GROUP BY ALL),
+u AS (SELECT rid, level, g, true AS is_whole, whole AS s FROM p UNION ALL SELECT rid, level, g, false, unnest(lines) FROM p),
+a AS (SELECT u.*, cn, position FROM u JOIN m USING (rid) WHERE level > 0),
+o AS (SELECT DISTINCT rid, is_whole, s, cn, position FROM u JOIN m USING (rid) WHERE level = 0 AND s IN (SELECT s FROM a)),
+near AS (SELECT a.rid, a.level, a.g, a.is_whole, a.s, max(o.position) AS tp FROM a JOIN o ON o.is_whole = a.is_whole AND o.s = a.s AND o.cn = a.cn AND o.position < a.position GROUP BY ALL),
+vote AS (SELECT rid, level, tp, sum(length(s)) AS v FROM (SELECT *, bool_or(is_whole) OVER (PARTITION BY rid, level, g) AS known FROM near) WHERE is_whole = known GROUP BY ALL),
+ins AS (SELECT rid, tp FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY level, v DESC, tp DESC) AS r FROM vote) WHERE r = 1),
+one AS (SELECT s, min(cn) AS tc, min(position) AS tp FROM o WHERE is_whole GROUP BY s HAVING min(cn) = max(cn)),
+fv AS (SELECT a.rid, a.level, tc, tp, sum(length(s)) AS v FROM a JOIN one USING (s) WHERE is_whole AND tc <> cn AND rid NOT IN (SELECT rid FROM ins) GROUP BY ALL),
+far AS (SELECT rid, tc, tp FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY level, v DESC, tp DESC, tc) AS r FROM fv) WHERE r = 1),
+names AS (SELECT DISTINCT cn AS tc, conv_id AS far_conv FROM m),
+par AS (SELECT m.*, CASE WHEN far.rid IS NOT NULL THEN far_conv WHEN position > 0 THEN conv_id END AS parent_conv, CASE WHEN far.rid IS NOT NULL THEN far.tp WHEN ins.rid IS NOT NULL THEN ins.tp WHEN position > 0 THEN position - 1 END AS parent_position,
+  CASE WHEN far.rid IS NOT NULL THEN NULL WHEN ins.rid IS NOT NULL THEN ins.tp WHEN position > 0 THEN position - 1 END AS up FROM m LEFT JOIN ins USING (rid) LEFT JOIN far USING (rid) LEFT JOIN names USING (tc)),
+d AS (SELECT rid, cn, position, CAST(0 AS BIGINT) AS depth FROM par WHERE up IS NULL UNION ALL SELECT c.rid, c.cn, c.position, d.depth + 1 FROM par c JOIN d ON c.cn = d.cn AND c.up = d.position),
+b AS (SELECT rid, CAST(max(level) AS INT) AS quote_levels, coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE level = 0), '') AS own FROM q GROUP BY rid)
+SELECT conv_id, turn, role, par.position, parent_conv, parent_position, depth, quote_levels, md5(CASE WHEN quote_levels > 0 THEN regexp_replace(regexp_replace(own, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') ELSE coalesce(text, '') END) AS text_md5
+FROM par JOIN d USING (rid) JOIN b USING (rid)
+"""
+
+
+def _rows(rows) -> str:
+    return ", ".join(f"({', '.join(map(repr, r))})" for r in rows)
+
+
+_EVERY = (*BASE, *TEMPLATES)
+
+#: A place is a start at which every word of the key phrases stands; score is the best share of a template's weight.
+LICENSES = rf"""
+WITH t(t, is_base, label, n) AS (VALUES {_rows((k, int(k < len(BASE)), t.label, sum(len(x) for _, x in t.key_offsets())) for k, t in enumerate(_EVERY))}),
+parts(t, o, word) AS (VALUES {_rows((k, i, w) for k, t in enumerate(_EVERY) for i, w in enumerate(t.words))}),
+keys(t, o, word) AS (VALUES {_rows((k, o + i, w) for k, t in enumerate(_EVERY) for o, x in t.key_offsets() for i, w in enumerate(x))}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex({_LOW.format(t="coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+e AS (SELECT rid, unnest(range(0, len(w))) AS i, unnest(w) AS word FROM d),
+v AS (SELECT e.* FROM e SEMI JOIN parts ON parts.word = e.word),
+df AS (SELECT word, count(DISTINCT rid) AS f FROM v GROUP BY word),
+idf AS (SELECT word, ln(((SELECT count(*) FROM d) + 1) / (coalesce(f, 0) + 1)) + 1e-3 AS idf FROM (SELECT DISTINCT word FROM parts) LEFT JOIN df USING (word)),
+place AS (SELECT rid, t, i - o AS s FROM v JOIN keys USING (word) GROUP BY rid, t, i - o HAVING count(DISTINCT o) = (SELECT n FROM t WHERE t.t = keys.t)),
+best AS (SELECT rid, max(got / every) AS score FROM (SELECT place.rid, place.t, s, sum(idf) AS got FROM place JOIN parts USING (t) JOIN idf USING (word) JOIN v ON v.rid = place.rid AND v.i = s + o AND v.word = parts.word GROUP BY ALL)
+  JOIN (SELECT t, sum(idf) AS every FROM parts JOIN idf USING (word) GROUP BY t) USING (t) GROUP BY rid),
+found AS (SELECT rid, count(*) FILTER (WHERE is_base = 1) AS n_base, min(s) FILTER (WHERE is_base = 1) AS first_word, max(s) FILTER (WHERE is_base = 1) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE is_base = 1) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place JOIN t USING (t) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(least(coalesce(score, 0), 1e0), 6) AS score
+FROM d LEFT JOIN found USING (rid) LEFT JOIN best USING (rid)
+"""
