@@ -1,17 +1,27 @@
 """Hidden Markov language model: Baum-Welch over the whole training corpus, exact forward scores.
 
-Model.  ``STATES`` latent states emit *symbols*; the most frequent words are symbols of their own, all
-other words fall into classes by their last three bytes, and the end of a text is a symbol.  A word w
-of class k has probability p(k | state) * (c(w) + 0.1) / (C(k) + 0.1 * (n(k) + 1)) with c(w) its
-training count, C and n the class's tokens and distinct words; the last term keeps a share for unseen
-words.  The parameters are thus bounded (states * symbols) while the counts grow with the corpus.
+Model.  ``STATES`` latent states emit words.  The most frequent words are *symbols* of their own, all
+other words fall into classes by their last three bytes, and the end of a text is a symbol.  State s emits
+word w of class k with
+
+    p(k | s) * (c(w) + 0.1) / (C(k) + 0.1 * (n(k) + 1)) * q(s | w) / Z(s, k)
+    q(s | w) = (E(s, w) + share(s, k)) / (c(w) + 1)
+
+with c(w) its training count, C and n the class's tokens and distinct words (the last term keeps a share
+for unseen words), E(s, w) the expected count of w in state s over all training texts, share(s, k) the
+class's share of tokens in s, and Z what makes the class sum to one.  E is a table with a row for every
+training word, so what is learnt grows with the corpus; the symbols only carry the passes before.
 
 1. Counts of all training words: summed in the tasks, then by a shuffle.
 2. The most frequent words, at most ``LOOKUP``, are handed to the tasks (a bound by construction); one
-   pass writes each text as symbols plus its remaining words, whose counts come by a join.
-3. Baum-Welch: a start from ``WARM_DOCS`` documents, then ``PASSES`` passes over every training text,
-   cut into sequences of ``TRAIN_LENGTH``; tasks emit expected counts by symbol, a shuffle sums them.
-4. Scaled forward recursion over each whole text: the exact probability, summed over state paths.
+   pass writes each text as codes plus its remaining words.
+3. Baum-Welch: ``SETTLING`` + ``PASSES`` passes, each over every training text from its first word to its end; tasks
+   emit expected counts by symbol, a shuffle sums them.  The last pass also sums E by word.
+4. E of the words that are not looked up is joined to the texts that have them; a scaled forward
+   recursion over each whole text gives its exact probability, summed over state paths.
+
+Texts of any length are walked in blocks: the forward vectors at the blocks' edges are kept and the block
+is done again on the way back, so memory is bounded and nothing is cut.
 
 Defined cases: a null text is empty (an end alone); a null doc_id counts as the empty string when texts
 are dealt into training and held-out; repeated rows are scored row by row and count as often as they
@@ -40,14 +50,19 @@ OWN_SYMBOLS = 16_384
 CLASSES = 2_048
 LOOKUP = 262_144
 LOOKUP_BYTES = 64
+#: Passes that settle the states from their random start, and passes after them; each reads every training text.
+SETTLING = 4
 PASSES = 3
-WARM_DOCS = 1_500
-WARM_TOKENS = 512
-WARM_STEPS = 15
-TRAIN_LENGTH = 256
+#: Steps times sequences of a block, and tokens walked side by side.
+BLOCK_TOKENS = 1 << 17
+WAITING_TOKENS = 1 << 21
+#: Tasks of a pass over the corpus, at most: each emits up to SYMBOLS rows.
+TASKS = 2_048
 #: Pseudo-counts of an emission row, shared out by the symbols' frequency.
 PRIOR = 20.0
 ADD = 0.1
+#: Weight of a class's own share against a word's expected counts.
+ALPHA = 1.0
 END = OWN_SYMBOLS + CLASSES
 SYMBOLS = END + 1
 
@@ -99,7 +114,20 @@ class Vocabulary:
 
     def class_log(self, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """log10 of a word's share of its class."""
-        return np.log10((counts + ADD) / (self.class_tokens[classes] + ADD * (self.class_words[classes] + 1)))
+        return np.log10((counts + ADD) / self.whole[classes])
+
+    @property
+    def whole(self) -> np.ndarray:
+        return self.class_tokens + ADD * (self.class_words + 1)
+
+    @property
+    def own(self) -> int:
+        return min(OWN_SYMBOLS, len(self.words))
+
+    def symbol_of_code(self) -> np.ndarray:
+        """The symbol of each looked-up word, and of the end, which comes after them."""
+        rest = OWN_SYMBOLS + word_classes(self.words.slice(self.own))
+        return np.concatenate([np.arange(self.own), rest, [END]]).astype(np.int64)
 
 
 def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
@@ -138,24 +166,26 @@ def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
     return Vocabulary(words, top["c"].to_numpy().astype(np.int64), class_tokens, class_words, total + texts, distinct + ends)
 
 
-ENCODED = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, class_log double, symbols binary, rare array<struct<word:string,n:int,k:int>>"
+ENCODED = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, class_log double, codes binary, rare array<struct<word:string,n:int,k:int>>"
 
 
 def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """Each text as symbols, with what the looked-up words give and the other words still to be joined."""
+    """Each text as codes, with what the looked-up words give and its other words.
+
+    A code is the number of a looked-up word, ``len(v.words)`` for the end, or beyond it a place in ``rare``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
         known_log = np.log10(v.counts + ADD)
-        own = min(OWN_SYMBOLS, len(v.words))
+        own, end = v.own, len(v.words)
         for batch in batches:
             for rows in text_slices(batch, "text", 4 << 20):
                 codes, words, counts = coded_words(rows.column("text"))
                 at = pc.index_in(words, value_set=v.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
                 classes = word_classes(words)
-                symbol = np.where((at >= 0) & (at < own), at, OWN_SYMBOLS + classes).astype(np.uint16)
                 known = at >= 0
                 base = np.where(known, known_log[np.maximum(at, 0)] if len(known_log) else 0.0, 0.0)
                 within = np.zeros(len(words))
@@ -169,20 +199,23 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
                     total = np.concatenate(([0.0], np.cumsum(x[codes])))
                     return total[ends] - total[starts]
 
-                flat = np.insert(symbol[codes], ends, END).astype("<u2")
-                bounds = (np.concatenate(([0], ends)) + np.arange(n + 1)).astype(np.int64)
-                # the other words, counted by text
+                # the other words, counted and numbered by text
                 rare = np.flatnonzero(~known[codes])
                 of = np.searchsorted(ends, rare, side="right")
-                pair, times = np.unique(of * len(words) + codes[rare], return_counts=True)
+                pair, which, times = np.unique(of * len(words) + codes[rare], return_inverse=True, return_counts=True)
                 text, word = pair // max(len(words), 1), pair % max(len(words), 1)
+                first = np.searchsorted(text, np.arange(n + 1))
+                flat = at[codes]
+                flat[rare] = end + 1 + which - first[of]
+                flat = np.insert(flat, ends, end).astype("<u4")
+                bounds = (np.concatenate(([0], ends)) + np.arange(n + 1)).astype(np.int64)
                 fields = [words.take(pa.array(word)), pa.array(times.astype(np.int32)), pa.array(classes[word].astype(np.int32))]
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32)), pa.StructArray.from_arrays(fields, ["word", "n", "k"]))
-                blob = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * 2).astype(np.int32)), pa.py_buffer(flat)])
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays(fields, ["word", "n", "k"]))
+                blob = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row + np.arange(n)), rows.column("doc_id"), rows.column("held_out"), pa.array(counts + 1), pa.array(summed(known.astype(float)).round().astype(np.int64)),
                      pa.array(summed(base)), pa.array(summed(within)), blob, lists],
-                    ["row_id", "doc_id", "held_out", "n_tokens", "n_known", "base_log", "class_log", "symbols", "rare"],
+                    ["row_id", "doc_id", "held_out", "n_tokens", "n_known", "base_log", "class_log", "codes", "rare"],
                 )
                 row += n
 
@@ -202,45 +235,78 @@ class Expected:
     def __init__(self, states: int):
         self.start, self.move, self.emit, self.log = np.zeros(states), np.zeros((states, states)), np.zeros((states, SYMBOLS)), 0.0
 
-    def add(self, model: Model, sequences: list[np.ndarray]) -> None:
-        """Forward-backward over sequences side by side, longest first."""
-        sequences = sorted((s for s in sequences if len(s)), key=len, reverse=True)
-        for k in range(0, len(sequences), 256):
-            self._add(model, sequences[k : k + 256])
+    def add(self, model: Model, sequences: list[np.ndarray], words: list[np.ndarray] | None = None, distinct: int = 0) -> np.ndarray:
+        """Forward-backward over sequences of symbols side by side, longest first.
 
-    def _add(self, model: Model, seqs: list[np.ndarray]) -> None:
+        Returns expected counts (distinct, states) by the numbers in ``words``, where they are given.
+        """
+        by_word = np.zeros((distinct, len(model.start)))
+        order = sorted((j for j in range(len(sequences)) if len(sequences[j])), key=lambda j: -len(sequences[j]))
+        for k in range(0, len(order), 256):
+            mine = order[k : k + 256]
+            self._add(model, [sequences[j] for j in mine], [words[j] for j in mine] if words else None, by_word)
+        return by_word
+
+    def _add(self, model: Model, seqs: list[np.ndarray], words: list[np.ndarray] | None, by_word: np.ndarray) -> None:
         lengths = np.array([len(s) for s in seqs])
-        steps, n, states = lengths[0], len(seqs), len(model.start)
-        sym = np.zeros((steps, n), np.int64)
-        for j, s in enumerate(seqs):
-            sym[: len(s), j] = s
-        live = (lengths[None, :] > np.arange(steps)[:, None]).sum(axis=1)
-        emitted = np.ascontiguousarray(model.emit.T)[sym]
-        alpha, scale = np.zeros((steps, n, states)), np.ones((steps, n))
-        a = model.start * emitted[0]
-        for t in range(steps):
-            m = live[t]
-            if t:
-                a = (alpha[t - 1, :m] @ model.move) * emitted[t, :m]
-            c = a.sum(axis=1)
-            alpha[t, :m] = a / c[:, None]
-            scale[t, :m] = c
-        self.log += float(np.log(scale).sum())
-        beta = np.ones((steps, n, states))
-        back = model.move.T.copy()
+        steps, n, states = int(lengths[0]), len(seqs), len(model.start)
+        live = n - np.searchsorted(lengths[::-1], np.arange(steps), side="right")
+        by_symbol, back = np.ascontiguousarray(model.emit.T), model.move.T.copy()
+        size = max(1, BLOCK_TOKENS // n)
+        begins = list(range(0, steps, size))
+
+        def padded(arrays: list[np.ndarray], t0: int, t1: int) -> np.ndarray:
+            out = np.zeros((t1 - t0, n), np.int64)
+            for j in range(live[t0]):
+                part = arrays[j][t0:t1]
+                out[: len(part), j] = part
+            return out
+
+        def forward(t0: int, before: np.ndarray | None):
+            t1 = min(t0 + size, steps)
+            sym = padded(seqs, t0, t1)
+            emitted = by_symbol[sym]
+            alpha, scale = np.zeros((t1 - t0, n, states)), np.ones((t1 - t0, n))
+            a = before
+            for t in range(t0, t1):
+                m = live[t]
+                a = (model.start if a is None else a[:m] @ model.move) * emitted[t - t0, :m]
+                c = a.sum(axis=1)
+                a = a / c[:, None]
+                alpha[t - t0, :m] = a
+                scale[t - t0, :m] = c
+            return sym, emitted, alpha, scale, a
+
+        edges: list[np.ndarray | None] = [None]
+        for t0 in begins:
+            last = forward(t0, edges[-1])
+            self.log += float(np.log(last[3]).sum())
+            edges.append(last[4])
         moved = np.zeros((states, states))
-        for t in range(steps - 2, -1, -1):
-            m = live[t + 1]
-            w = emitted[t + 1, :m] * beta[t + 1, :m] / scale[t + 1, :m, None]
-            beta[t, :m] = w @ back
-            moved += alpha[t, :m].T @ w
+        after = None  # beta times emission over scale of the first step beyond the block
+        for b in range(len(begins) - 1, -1, -1):
+            t0 = begins[b]
+            sym, emitted, alpha, scale, _ = last if b == len(begins) - 1 else forward(t0, edges[b])
+            beta = np.ones_like(alpha)
+            for t in range(len(alpha) - 1, -1, -1):
+                if after is not None:
+                    m = len(after)
+                    beta[t, :m] = after @ back
+                    moved += alpha[t, :m].T @ after
+                m = live[t0 + t]
+                after = emitted[t, :m] * beta[t, :m] / scale[t, :m, None]
+            gamma = alpha * beta
+            if b == 0:
+                self.start += gamma[0].sum(axis=0)
+            inside = t0 + np.arange(len(alpha))[:, None] < lengths[None, :]
+            flat, kept = sym[inside], gamma[inside]
+            for k in range(states):
+                self.emit[k] += np.bincount(flat, weights=kept[:, k], minlength=SYMBOLS)
+            if words is not None:
+                flat = padded(words, t0, t0 + len(alpha))[inside]
+                for k in range(states):
+                    by_word[:, k] += np.bincount(flat, weights=kept[:, k], minlength=len(by_word))
         self.move += model.move * moved
-        gamma = alpha * beta
-        self.start += gamma[0].sum(axis=0)
-        inside = np.arange(steps)[:, None] < lengths[None, :]
-        flat = sym[inside]
-        for k in range(states):
-            self.emit[k] += np.bincount(flat, weights=gamma[..., k][inside], minlength=SYMBOLS)
 
     def model(self, unigram: np.ndarray) -> Model:
         """The M-step."""
@@ -250,49 +316,95 @@ class Expected:
         return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
 
-def _pieces(symbols: bytes, length: int = TRAIN_LENGTH) -> list[np.ndarray]:
-    s = np.frombuffer(symbols, "<u2")
-    return [s[k : k + length] for k in range(0, len(s), length)]
+def _symbols(batch: pa.RecordBatch, symbol_of: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], pa.StructArray]:
+    """Codes and symbols of a batch's texts, and its rare words; the places of rare words count on through the batch."""
+    lists = batch.column("rare")
+    first = lists.offsets.to_numpy()
+    rare = lists.values.slice(first[0], first[-1] - first[0])
+    table = np.concatenate([symbol_of, OWN_SYMBOLS + rare.field("k").to_numpy().astype(np.int64)])
+    codes, end = [], len(symbol_of) - 1
+    for x, at in zip(batch.column("codes"), first - first[0], strict=False):
+        c = np.frombuffer(x.as_buffer(), "<u4").astype(np.int64)
+        codes.append(np.where(c > end, c + at, c))
+    return codes, [table[c] for c in codes], rare
 
 
-def _baum_welch_pass(encoded: DataFrame, model: Model, unigram: np.ndarray) -> Model:
-    """One pass over all training texts: expected counts in tasks, sums by symbol in a shuffle."""
+def _merged(df: DataFrame) -> DataFrame:
+    return df.coalesce(TASKS) if df.rdd.getNumPartitions() > TASKS else df
+
+
+def _baum_welch_pass(encoded: DataFrame, model: Model, unigram: np.ndarray, v: Vocabulary, words: bool = False) -> tuple[Model, Expected, DataFrame]:
+    """One pass over all training texts: expected counts in tasks, sums by symbol (and by word) in a shuffle."""
     states = len(model.start)
     columns = [f"s{k}" for k in range(states)]
+    symbol_of = v.symbol_of_code()
+
+    def made(names, texts, kinds, rows):
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), texts, pa.array(kinds, pa.int32()), *[pa.array(rows[:, k]) for k in range(states)]], ["name", "word", "k", *columns])
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, waiting = Expected(states), []
+        found, looked, end = Expected(states), np.zeros((len(symbol_of), states)), len(symbol_of) - 1
+        waiting, tokens = [], 0
+
+        def walk():
+            batch = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            codes, symbols, rare = _symbols(batch, symbol_of)
+            if not words:
+                found.add(model, symbols)
+                return None
+            sums = found.add(model, symbols, codes, len(symbol_of) + len(rare))
+            looked[:] += sums[: end + 1]
+            if not len(rare):
+                return None
+            coded = rare.field("word").dictionary_encode()
+            at, n = coded.indices.to_numpy(), len(coded.dictionary)
+            kinds = np.zeros(n, np.int32)
+            kinds[at] = rare.field("k").to_numpy()
+            rows = np.stack([np.bincount(at, weights=sums[end + 1 :, k], minlength=n) for k in range(states)], axis=1)
+            return made(np.zeros(n, np.int32), coded.dictionary, kinds, rows)
+
         for batch in batches:
-            for x in batch.column("symbols"):
-                waiting += _pieces(x.as_buffer())
-                if len(waiting) >= 4096:
-                    found.add(model, waiting)
-                    waiting = []
-            # the pieces look into the batch's memory
-            found.add(model, waiting)
-            waiting = []
-        rows = np.concatenate([found.emit.T, found.move, found.start[None, :]])
-        names = np.concatenate([np.arange(SYMBOLS), -1 - np.arange(states), [-1 - states]])
+            for k in range(0, batch.num_rows, 2_000):
+                part = batch.slice(k, 2_000)
+                waiting.append(part)
+                tokens += pc.sum(pc.binary_length(part.column("codes"))).as_py() // 4
+                if tokens >= WAITING_TOKENS:
+                    out = walk()
+                    waiting, tokens = [], 0
+                    if out is not None:
+                        yield out
+        if waiting:
+            out = walk()
+            if out is not None:
+                yield out
+        rows = np.concatenate([found.emit.T, found.move, found.start[None, :], looked[OWN_SYMBOLS:end] if words else np.zeros((0, states))])
+        names = np.concatenate([np.arange(SYMBOLS), -1 - np.arange(states), [-1 - states], SYMBOLS + np.arange(len(rows) - SYMBOLS - states - 1)]).astype(np.int32)
         seen = rows.any(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(names[seen].astype(np.int32)), *[pa.array(rows[seen, k]) for k in range(states)]], ["name", *columns])
-
-    train = encoded.filter(~F.col("held_out")).select("symbols")
-    sums = arrow_map(train, expect, ", ".join(["name int", *[f"{c} double" for c in columns]])).groupBy("name").agg(*[F.sum(c).alias(c) for c in columns])
-    total = Expected(states)
-    for r in sums.collect():  # SYMBOLS + states + 1 rows at most
-        row, name = np.array(r[1:]), r["name"]
-        if name >= 0:
+        yield made(names[seen], pa.nulls(int(seen.sum()), pa.string()), np.zeros(int(seen.sum()), np.int32), rows[seen])
+
+    learnt = _merged(encoded.filter(~F.col("held_out")).select("codes", "rare"))
+    sums = arrow_map(learnt, expect, ", ".join(["name int, word string, k int", *[f"{c} double" for c in columns]]))
+    sums = stored(sums.groupBy("name", "word", "k").agg(*[F.sum(c).alias(c) for c in columns]), "lm-expected")
+    total, looked = Expected(states), np.zeros((max(0, len(v.words) - OWN_SYMBOLS), states))
+    top = sums.filter("word is null").toArrow()  # SYMBOLS + states + 1 + LOOKUP rows at most
+    rows = np.stack([top[c].to_numpy() for c in columns], axis=1) if top.num_rows else np.zeros((0, states))
+    for name, row in zip(top["name"].to_pylist(), rows, strict=True):
+        if name >= SYMBOLS:
+            looked[name - SYMBOLS] = row
+        elif name >= 0:
             total.emit[:, name] = row
         elif name >= -states:
             total.move[-1 - name] = row
         else:
             total.start = row
-    return total.model(unigram)
+    total.looked = looked
+    return total.model(unigram), total, sums.filter("word is not null").drop("name")
 
 
-def train(encoded: DataFrame, v: Vocabulary, texts: int, states: int = STATES, passes: int = PASSES, seed: int = 7) -> Model:
+def train(encoded: DataFrame, v: Vocabulary, texts: int, states: int = STATES, passes: int = PASSES, seed: int = 7) -> tuple[Model, Expected, DataFrame]:
+    """The model, the last pass's expected counts, and those of the words that are not looked up."""
     unigram = np.full(SYMBOLS, ADD)
-    unigram[: min(OWN_SYMBOLS, len(v.counts))] += v.counts[:OWN_SYMBOLS]
+    unigram[: v.own] += v.counts[:OWN_SYMBOLS]
     unigram[OWN_SYMBOLS:END] += v.class_tokens
     unigram[END] += texts
     unigram /= unigram.sum()
@@ -300,46 +412,68 @@ def train(encoded: DataFrame, v: Vocabulary, texts: int, states: int = STATES, p
     emit = unigram * rng.gamma(2.0, 0.5, (states, SYMBOLS))
     move = np.full((states, states), 0.2 / states) + 0.8 * np.eye(states)
     model = Model(np.full(states, 1 / states), move, emit / emit.sum(axis=1, keepdims=True))
-    # a start from a bounded sample; the passes that follow read every training text
-    sample = encoded.filter(~F.col("held_out")).select(F.expr(f"substring(symbols, 1, {2 * WARM_TOKENS})").alias("symbols"), F.xxhash64("doc_id", "n_tokens").alias("o"), "row_id")
-    pieces = [p for r in sample.orderBy("o", "row_id").limit(WARM_DOCS).select("symbols").collect() for p in _pieces(bytes(r["symbols"]))]
-    if not pieces:
-        return Model(model.start, move, np.full((states, SYMBOLS), 1 / SYMBOLS))
-    for _ in range(WARM_STEPS):
-        found = Expected(states)
-        found.add(model, pieces)
-        model = found.model(unigram)
-    for _ in range(passes):
-        model = _baum_welch_pass(encoded, model, unigram)
-    return model
-
-
-def forward_log10(model: Model, texts: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each whole symbol sequence by the scaled forward recursion."""
-    by_symbol = np.ascontiguousarray(model.emit.T)
+    if not texts:
+        model = Model(model.start, move, np.full((states, SYMBOLS), 1 / SYMBOLS))
+    for k in range(SETTLING + passes):
+        model, found, rare = _baum_welch_pass(encoded, model, unigram, v, words=k == SETTLING + passes - 1)
+    if not texts:
+        model = Model(np.full(states, 1 / states), move, np.full((states, SYMBOLS), 1 / SYMBOLS))
+    return model, found, rare
+
+
+class Emissions:
+    """Emissions by code, without the factor that no state changes (a word's share of its class)."""
+
+    def __init__(self, model: Model, found: Expected, v: Vocabulary, rare: DataFrame):
+        states = len(model.start)
+        by_class = found.emit[:, OWN_SYMBOLS:END].T
+        self.share = (by_class + 1e-9) / (by_class + 1e-9).sum(axis=1, keepdims=True)
+        classes = v.symbol_of_code()[v.own : -1] - OWN_SYMBOLS
+        c = v.counts[v.own :].astype(float)
+        weight = (c + ADD) / (c + ALPHA)
+        got, plain = np.zeros((CLASSES, states)), np.zeros(CLASSES)
+        np.add.at(got, classes, weight[:, None] * found.looked)
+        np.add.at(plain, classes, weight)
+        count = F.round(sum(F.col(f"s{k}") for k in range(states)))
+        w = (count + ADD) / (count + ALPHA)
+        for r in rare.groupBy("k").agg(F.sum(w).alias("plain"), *[F.sum(w * F.col(f"s{k}")).alias(f"s{k}") for k in range(states)]).collect():  # CLASSES rows at most
+            got[r["k"]] += np.array(r[2:])
+            plain[r["k"]] += r["plain"]
+        z = (got + (ALPHA * plain[:, None] + ADD) * self.share) / v.whole[:, None]
+        self.of_class = model.emit[:, OWN_SYMBOLS:END].T / z
+        mid = self.of_class[classes] * (found.looked + ALPHA * self.share[classes]) / (c + ALPHA)[:, None]
+        self.by_code = np.concatenate([model.emit[:, : v.own].T, mid, model.emit[:, END][None, :]]).astype(np.float32)
+
+    def rare(self, classes: np.ndarray, expected: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return self.of_class[classes] * (expected + ALPHA * self.share[classes]) / (counts + ALPHA)[:, None]
+
+
+def forward_log10(model: Model, texts: list[np.ndarray], by_code: np.ndarray | None = None) -> np.ndarray:
+    """log10 probability of each whole sequence by the scaled forward recursion."""
+    by_code = np.ascontiguousarray(model.emit.T) if by_code is None else by_code
     out = np.zeros(len(texts))
     order = sorted(range(len(texts)), key=lambda j: -len(texts[j]))
     at = 0
     while at < len(order):
         longest = max(1, len(texts[order[at]]))
-        take = max(1, min(512, (2 << 20) // longest))
+        take = max(1, min(512, (1 << 20) // longest))
         mine = order[at : at + take]
         at += take
         lengths = np.array([len(texts[j]) for j in mine])
-        sym = np.zeros((longest, len(mine)), np.uint16)
-        for col, j in enumerate(mine):
-            sym[: lengths[col], col] = texts[j]
         live = len(mine) - np.searchsorted(lengths[::-1], np.arange(longest), side="right")
         a = np.broadcast_to(model.start, (len(mine), len(model.start)))
         total = np.zeros(len(mine))
         for t0 in range(0, longest, 256):
-            block = sym[t0 : t0 + 256, : live[t0]].astype(np.int64)
+            block = np.zeros((min(256, longest - t0), live[t0]), np.int64)
+            for j in range(live[t0]):
+                part = texts[mine[j]][t0 : t0 + 256]
+                block[: len(part), j] = part
             scale = np.ones(block.shape)
             for i in range(len(block)):
                 m = live[t0 + i]
                 if m < len(a):
                     a = a[:m]
-                a = (a @ model.move if t0 + i else a) * by_symbol[block[i, :m]]
+                a = (a @ model.move if t0 + i else a) * by_code[block[i, :m]]
                 c = a.sum(axis=1)
                 a /= c[:, None]
                 scale[i, :m] = c
@@ -348,16 +482,37 @@ def forward_log10(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _forward_scores(encoded: DataFrame, model: Model) -> DataFrame:
+def _forward_scores(encoded: DataFrame, model: Model, emissions: Emissions, v: Vocabulary) -> DataFrame:
+    """encoded with ``learnt`` (place in rare, expected counts) -> the texts' parts of both scores."""
+    states = len(model.start)
+    symbol_of, whole = v.symbol_of_code(), v.whole
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [np.frombuffer(x.as_buffer(), "<u2") for x in batch.column("symbols")]
-            if texts:
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(forward_log10(model, texts))], [*names, "path_log"])
+        for whole_batch in batches:
+            for k in range(0, whole_batch.num_rows, 2_000):
+                batch = whole_batch.slice(k, 2_000)
+                codes, _, rare = _symbols(batch, symbol_of)
+                lists, learnt = batch.column("rare"), batch.column("learnt")
+                first = lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]
+                texts = np.repeat(np.arange(batch.num_rows), pc.list_value_length(learnt).to_numpy())
+                known = learnt.flatten()
+                place = first[texts] + known.field("j").to_numpy()
+                expected = np.zeros((len(rare), states))
+                for s in range(states):
+                    expected[place, s] = known.field(f"s{s}").to_numpy()
+                classes, times = rare.field("k").to_numpy(), rare.field("n").to_numpy()
+                counts = expected.sum(axis=1).round()
+                table = np.concatenate([emissions.by_code, emissions.rare(classes, expected, counts).astype(np.float32)])
+                sums = [np.concatenate(([0.0], np.cumsum(times * x))) for x in (np.log10(counts + ADD), np.log10((counts + ADD) / whole[classes]), counts > 0)]
+                base, within, seen = (x[first[1:]] - x[first[:-1]] for x in sums)
+                column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+                path = forward_log10(model, codes, table) + column("class_log") + within
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in ("doc_id", "held_out", "n_tokens")), pa.array((column("n_known") + seen).round().astype(np.int64)), pa.array(column("base_log") + base), pa.array(path)],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "base_log", "score"],
+                )
 
-    names = ["row_id", "doc_id", "held_out", "n_tokens", "n_known", "base_log", "class_log"]
-    kinds = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, class_log double, path_log double"
-    return arrow_map(encoded.select(*names, "symbols"), score, kinds)
+    return arrow_map(encoded, score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, score double")
 
 
 def score_texts(docs: DataFrame, states: int = STATES, passes: int = PASSES) -> DataFrame:
@@ -368,30 +523,18 @@ def score_texts(docs: DataFrame, states: int = STATES, passes: int = PASSES) ->
     counts = stored(count_words(learn), "lm-counts")
     v = vocabulary(counts, texts)
     encoded = stored(encode(docs, v), "lm-encoded")
-    model = train(encoded, v, texts, states, passes)
-    # words beyond the looked-up ones: their counts by a join, 0 where training has none
-    rare = encoded.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.*").join(counts, "word", "left")
-    denominator = F.broadcast(_class_totals(docs.sparkSession, v))  # CLASSES rows
-    c = F.coalesce("c", F.lit(0))
-    rare = rare.join(denominator, "k").groupBy("row_id").agg(
-        F.sum(F.col("n") * F.log10(c + ADD)).alias("rare_base"),
-        F.sum(F.col("n") * F.log10((c + ADD) / F.col("whole"))).alias("rare_class"),
-        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"),
-    )
-    df = _forward_scores(encoded, model).join(rare, "row_id", "left")
-    none = F.lit(0.0)
+    model, found, rare = train(encoded, v, texts, states, passes)
+    # words beyond the looked-up ones: what was learnt of them by a join, nothing where training has none
+    columns = [f"s{k}" for k in range(states)]
+    places = encoded.select("row_id", F.posexplode("rare").alias("j", "r")).select("row_id", "j", "r.word").join(rare.select("word", *columns), "word")
+    learnt = places.groupBy("row_id").agg(F.collect_list(F.struct("j", *columns)).alias("learnt"))  # a text's own words
+    none = F.array().cast(learnt.schema["learnt"].dataType)
+    df = encoded.join(learnt, "row_id", "left").withColumn("learnt", F.coalesce("learnt", none))
+    df = _forward_scores(df, model, Emissions(model, found, v, rare), v)
     share = math.log10(v.tokens + ADD * (v.distinct + 1))
-    base = F.col("base_log") + F.coalesce("rare_base", none) + math.log10(texts + ADD) - F.col("n_tokens") * share
-    known = F.col("n_known") + F.coalesce("rare_known", F.lit(0)) + (1 if texts else 0)
-    return df.select(
-        "doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"), base.alias("base_score"),
-        (F.col("path_log") + F.col("class_log") + F.coalesce("rare_class", none)).alias("score"),
-    )
-
-
-def _class_totals(spark: SparkSession, v: Vocabulary) -> DataFrame:
-    whole = v.class_tokens + ADD * (v.class_words + 1)
-    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(whole)], "k int, whole double")
+    base = F.col("base_log") + math.log10(texts + ADD) - F.col("n_tokens") * share
+    known = F.col("n_known") + (1 if texts else 0)
+    return df.select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
