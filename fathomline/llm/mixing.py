@@ -15,7 +15,9 @@ reruns agree.
 
 Rates become whole copies by systematic rounding inside buckets of about ``bucket_rows`` documents
 of a source, ordered by size; a source of any number of rows is spread over as many buckets as it
-needs.  What rounding leaves is settled by a part of a copy in the source's first bucket.
+needs.  What rounding leaves of a source is settled by whole copies as well, given or taken back from the
+largest sizes that fit, chosen from the counts by size; only what is then left, less than one
+document, is a part of one copy.
 
 Defined cases: a null or blank text has size 0 and takes nothing; null is a source of its own, last
 in order; repeated rows are mixed row by row; ties in size are ordered by ``doc_id``; extra columns
@@ -29,7 +31,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, words_of
+from .common import SPACE, stored, table, words_of
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -97,7 +99,7 @@ def solve_multipliers(histogram: DataFrame, targets: DataFrame, most: float = MO
 
 def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, bucket_rows: int = 1000) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for each row of docs (doc_id, source, text)."""
-    sized = stored(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size")), "mix-sizes")
+    sized = stored(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("hash")), "mix-sizes")
     histogram = stored(sized.groupBy("source", "size").agg(F.count("*").alias("docs")), "mix-histogram")
     totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"), F.sum("docs").alias("n_docs"))
     targets = stored(source_targets(totals, weights, share, most), "mix-targets")
@@ -105,43 +107,82 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     per_source = targets.join(found, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "s")
     df = sized.join(per_source, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     df = df.withColumn("rate", F.when(F.col("size") > 0, _rate(F.col("multiplier"), F.col("size"), F.col("mean"), most)).otherwise(F.lit(1.0)))
-    df = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n_docs") / bucket_rows)))
-    order = Window.partitionBy("source", "bucket").orderBy("size", "doc_id")
+    df = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "hash"), F.ceil(F.col("n_docs") / bucket_rows)))
+    order = Window.partitionBy("source", "bucket").orderBy("size", "doc_id", "hash")
     start = F.pmod(F.xxhash64("source", "bucket"), F.lit(1 << 20)) / float(1 << 20)
     df = df.withColumn("to", start + F.sum("rate").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     whole = F.floor(F.col("to")) - F.floor(F.coalesce(F.lag("to").over(order), start))
     df = df.withColumn("copies", F.least(whole, F.lit(math.floor(most))).cast("long"))
-    rounded = stored(df.select("doc_id", "source", "size", "source_size", "target", "bucket", "copies"), "mix-copies")
-    # settle the rest of each source with parts of copies in its first bucket, largest documents first
-    rest = rounded.groupBy("source").agg((F.round(F.first("target")) - F.sum(F.col("copies") * F.col("size"))).cast("long").alias("rest")).withColumnRenamed("source", "s")
-    first = rounded.filter("bucket = 0").join(rest, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    room = F.when(F.col("rest") > 0, (F.lit(most) * F.col("size")).cast("long") - F.col("copies") * F.col("size")).otherwise(F.col("copies") * F.col("size"))
-    first = first.withColumn("room", room)
-    run = Window.partitionBy("source").orderBy(F.desc("size"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    part = F.greatest(F.least(F.abs("rest") - F.coalesce(F.sum("room").over(run), F.lit(0)), F.col("room")), F.lit(0))
-    first = first.withColumn("part", F.signum("rest").cast("long") * part)
-    others = rounded.filter("bucket <> 0").withColumn("part", F.lit(0).cast("long"))
-    return first.select(others.columns).unionByName(others).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size") + F.col("part")).alias("taken")
-    )
+    rounded = stored(df.select("doc_id", "hash", "source", "size", "source_size", "target", "bucket", "copies"), "mix-copies")
+    settled = _settled(rounded, math.floor(most))
+    return settled.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"))
+
+
+def _settled(rounded: DataFrame, most: int) -> DataFrame:
+    """rounded with the rest of each source settled: ``copies`` one more or less, and ``part`` words of one copy."""
+    sums = rounded.groupBy("source").agg((F.round(F.first("target")) - F.sum(F.col("copies") * F.col("size"))).cast("long").alias("rest")).filter("rest <> 0")
+    more, less = F.count_if(F.col("copies") < most), F.count_if(F.col("copies") > 0)
+    sizes = rounded.filter("size > 0").groupBy("source", "size").agg(more.alias("more"), less.alias("less"))
+    sizes = sizes.join(sums.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn("units", F.when(F.col("rest") > 0, F.col("more")).otherwise(F.col("less")))
+    # a source's distinct sizes, largest first
+    lists = sizes.filter("units > 0").groupBy("source", "rest").agg(F.sort_array(F.collect_list(F.struct("size", "units")), asc=False).alias("sizes"))
+    none = F.lit(None).cast("struct<size:bigint,n:bigint>")
+    begin = F.struct(F.abs("rest").alias("left"), F.array().cast("array<struct<size:bigint,n:bigint>>").alias("picks"), none.alias("spare"))
+
+    def step(acc, x):
+        n = F.least(x["units"], F.floor(acc["left"] / x["size"]))
+        pick = F.struct(x["size"].alias("size"), n.alias("n"))
+        return F.struct(
+            (acc["left"] - n * x["size"]).alias("left"),
+            F.when(n > 0, F.concat(acc["picks"], F.array(pick))).otherwise(acc["picks"]).alias("picks"),
+            F.when(acc["spare"].isNull() & (n < x["units"]), pick).otherwise(acc["spare"]).alias("spare"),
+        )
+
+    picks = lists.select("source", F.signum("rest").cast("long").alias("sign"), F.aggregate("sizes", begin, step).alias("a"))
+    spare = F.when((F.col("a.left") > 0) & F.col("a.spare").isNotNull(), F.array(F.struct("a.spare.size", "a.spare.n", F.col("a.left").alias("part")))).otherwise(F.array().cast("array<struct<size:bigint,n:bigint,part:bigint>>"))
+    plain = F.transform(F.filter("a.picks", lambda p: ~F.coalesce((F.col("a.left") > 0) & (p["size"] == F.col("a.spare.size")), F.lit(False))), lambda p: F.struct(p["size"].alias("size"), p["n"].alias("n"), F.lit(0).cast("long").alias("part")))
+    picks = picks.select(F.col("source").alias("s"), "sign", F.explode(F.concat(plain, spare)).alias("p")).select("s", "sign", F.col("p.size").alias("z"), F.col("p.n").alias("n"), F.col("p.part").alias("words"))
+    picks = stored(picks, "mix-picks")
+    df = rounded.join(picks, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left")
+    able = F.col("n").isNotNull() & F.when(F.col("sign") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
+    still = df.filter(~able).withColumn("part", F.lit(0).cast("long"))
+    # the first n of these: counted by bucket, ranked inside
+    df = df.filter(able)
+    ahead = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy("source", "size", "bucket").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(ahead), F.lit(0)))
+    counts = counts.select(F.col("source").alias("s2"), F.col("size").alias("z2"), F.col("bucket").alias("b2"), "before")
+    df = df.join(counts, F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2")) & (F.col("bucket") == F.col("b2")))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("doc_id", "hash"))
+    df = df.withColumn("rank", rank)
+    df = df.withColumn("part", F.when(F.col("rank") == F.col("n") + 1, F.col("sign") * F.col("words")).otherwise(F.lit(0)))
+    df = df.withColumn("copies", F.when(F.col("rank") <= F.col("n"), F.col("copies") + F.col("sign")).otherwise(F.col("copies")))
+    columns = [*rounded.columns, "part"]
+    return still.select(columns).unionByName(df.select(columns))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: every document as often as the plan says, a last part of one cut at a word."""
-    plan = mix_plan(docs, **options).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), F.col("taken").alias("_taken"))
-    # repeated doc ids: the plan's rows and the documents' rows are matched in order
-    mine = Window.partitionBy("_id", "_source", "_size").orderBy("_taken")
-    plan = plan.withColumn("_n", F.row_number().over(mine))
+    """The mixed corpus: every document as often as the plan says; a part of a copy is its first words, as they stand."""
     kept = docs.columns
-    df = docs.withColumn("_w", F.size(words_of(F.col("text"))).cast("long"))
-    df = df.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "source", "_w").orderBy("text")))
-    df = df.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_w") == F.col("_size")) & (F.col("_k") == F.col("_n")))
-    whole = F.when(F.col("_w") > 0, F.floor(F.col("_taken") / F.greatest(F.col("_w"), F.lit(1)))).otherwise(F.lit(0)).cast("int")
-    rest = (F.col("_taken") - whole * F.col("_w")).cast("int")
-    df = df.withColumn("_parts", F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))))
-    df = df.withColumn("_part", F.explode_outer("_parts")).filter("_part is not null")
-    text = F.when(F.col("_part") == 0, F.col("text")).otherwise(F.array_join(F.slice(words_of(F.col("text")), 1, F.greatest(F.col("_part"), F.lit(1))), " "))
-    return df.withColumn("text", text).select(kept)
+    taken_names = {c.lower() for c in kept}
+
+    def free(name: str) -> str:
+        while name in taken_names:
+            name += "_"
+        return name
+
+    pid, size, source, taken, n, part = (free(x) for x in ("_id", "_size", "_source", "_taken", "_n", "_part"))
+    plan = mix_plan(docs, **options).select(F.col("doc_id").alias(pid), F.col("size").alias(size), F.col("source").alias(source), F.col("taken").alias(taken))
+    # repeated doc ids: the plan's rows and the documents' rows are matched in order
+    plan = plan.withColumn(n, F.row_number().over(Window.partitionBy(pid, source, size).orderBy(taken)))
+    words, k = free("_words"), free("_k")
+    df = docs.withColumn(words, F.size(words_of(F.col("text"))).cast("long"))
+    df = df.withColumn(k, F.row_number().over(Window.partitionBy("doc_id", "source", words).orderBy("text")))
+    df = df.join(plan, F.col("doc_id").eqNullSafe(F.col(pid)) & df["source"].eqNullSafe(F.col(source)) & (F.col(words) == F.col(size)) & (F.col(k) == F.col(n)))
+    whole = F.when(F.col(words) > 0, F.floor(F.col(taken) / F.greatest(F.col(words), F.lit(1)))).otherwise(F.lit(0)).cast("int")
+    rest = (F.col(taken) - whole * F.col(words)).cast("int")
+    df = df.withColumn(part, F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))))
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"({SPACE[:-1]}*[^{SPACE[1:-2]}]+)"), F.lit(1)), 1, F.greatest(F.col(part), F.lit(1))), "")
+    return df.withColumn("text", F.when(F.col(part) == 0, F.col("text")).otherwise(first)).select(kept)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
