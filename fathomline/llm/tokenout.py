@@ -1,7 +1,8 @@
 """Token-id files with Elias-Fano document boundaries.
 
-``write_token_files`` deals the documents by ranges of ``doc_id``, encodes each range and
-writes it as one file; ``read_token_files`` reads a folder of them back.  A file holds
+``write_token_files`` deals the documents by ranges of ``doc_id`` (and the beginning of the text, so that
+one doc id, or none, may belong to any number of rows), encodes each range and
+writes it as files of at most ``FILE_IDS`` ids, or one document; ``read_token_files`` reads a folder of them back.  A file holds
 
 * a header: magic, bytes per id, counts of null doc ids, documents and tokens, smallest doc id,
 * the doc ids (less the smallest) as an Elias-Fano sequence,
@@ -39,8 +40,14 @@ from .common import arrow_map, fresh_path, stored, table
 MAGIC = b"FLTOKEN1"
 HEADER = struct.Struct("<8sBxxxIqqqqq")
 END_ID = 2
+#: Files of a range, as a power of two.
+SHARD_BITS = 20
 #: Text given to the tokenizer at once, in bytes.
 SLICE_BYTES = 4 << 20
+#: Ids after which a task closes its file and begins another: what it holds in memory.
+FILE_IDS = 16 << 20
+#: Characters of the text that part the rows of one doc id into ranges.
+RANGE_CHARS = 24
 #: Words whose ids a worker remembers.
 MEMORY_WORDS = 300_000
 
@@ -250,25 +257,34 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer_path: str, end_
         key = (tokenizer_path, end_id)
         if key not in _encoders:
             _encoders[key] = TextEncoder(*key)
-        doc_ids, counts, parts = [], [], []
+        doc_ids, counts, parts, held, files = [], [], [], 0, 0
+
+        def close() -> pa.RecordBatch:
+            shard = (TaskContext.get().partitionId() << SHARD_BITS) + files
+            name = f"{shard:016d}-{uuid.uuid4().hex}.tok"
+            all_ids, all_counts = np.concatenate(parts), np.concatenate(counts)
+            store, root = fs.FileSystem.from_uri(directory)
+            store.create_dir(root, recursive=True)
+            with store.open_output_stream(f"{root}/{name}") as out:
+                out.write(pack_shard(doc_ids, all_counts, all_ids))
+            return pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "n_docs": [len(doc_ids)], "n_tokens": [len(all_ids)]})
+
         for batch in batches:
             for rows in text_slices(batch, "text"):
                 ids, n = _encoders[key].encode(rows.column("text"))
                 parts.append(ids)
                 counts.append(n)
                 doc_ids += rows.column("doc_id").to_pylist()
+                held += len(ids)
                 pa.default_memory_pool().release_unused()
+                if held >= FILE_IDS:
+                    yield close()
+                    doc_ids, counts, parts, held, files = [], [], [], 0, files + 1
         if doc_ids:
-            shard = TaskContext.get().partitionId()
-            name = f"{shard:08d}-{uuid.uuid4().hex}.tok"
-            all_ids, all_counts = np.concatenate(parts), np.concatenate(counts)
-            store, root = fs.FileSystem.from_uri(directory)
-            store.create_dir(root, recursive=True)
-            with store.open_output_stream(f"{root}/{name}") as out:
-                out.write(pack_shard(doc_ids, all_counts, all_ids))
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "n_docs": [len(doc_ids)], "n_tokens": [len(all_ids)]})
+            yield close()
 
-    dealt = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    first = F.col("doc_id").asc_nulls_first()
+    dealt = docs.repartitionByRange(shards, first, F.substring("text", 1, RANGE_CHARS).asc_nulls_first()).sortWithinPartitions(first, F.col("text").asc_nulls_first())
     return stored(arrow_map(dealt, write, "shard long, name string, n_docs long, n_tokens long"), "token-manifest")
 
 
@@ -300,7 +316,7 @@ def read_token_files(spark: SparkSession, directory: str, manifest: DataFrame) -
     found = arrow_map(named, read, "name string, doc_id long, local_start long, n_tokens long, ids binary")
     # prefix sums over shards in two levels, so that no task holds more than a block of them
     block = Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = manifest.withColumn("block", F.floor(F.col("shard") / 512))
+    shards = manifest.withColumn("block", F.floor(F.col("shard") / (512 << SHARD_BITS)))
     totals = shards.groupBy("block").agg(F.sum("n_tokens").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     bases = shards.withColumn("inside", F.coalesce(F.sum("n_tokens").over(block), F.lit(0))).join(totals.select("block", "before"), "block").select("name", (F.col("inside") + F.col("before")).alias("base"))
     return found.join(bases, "name").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
