@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import LOWER, UPPER
 from .license import BASE, TEMPLATES
 from .quality import STOP_WORDS
+from .urlfilter import DAMPING, RULES, STEPS
 
 WORDS = r"list_filter(string_split_regex({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOW = f"translate({{t}}, '{UPPER}', '{LOWER}')"
@@ -92,3 +93,38 @@ found AS (SELECT rid, count(*) FILTER (WHERE is_base = 1) AS n_base, min(s) FILT
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(least(coalesce(score, 0), 1e0), 6) AS score
 FROM d LEFT JOIN found USING (rid) LEFT JOIN best USING (rid)
 """
+
+
+def _rank(name: str, edges: str, seeds: str) -> str:
+    """The steps of a personalised rank, as common tables ``name``0 and on."""
+    out = [f"{name}_w AS MATERIALIZED (SELECT a, b, links / sum(links) OVER (PARTITION BY a) AS share FROM {edges})", f"{name}0 AS MATERIALIZED (SELECT host, seed / (SELECT sum(seed) FROM {seeds}) AS score FROM {seeds} WHERE seed > 0)"]
+    for k in range(STEPS):
+        out.append(f"{name}m{k} AS MATERIALIZED (SELECT b AS host, sum(score * share * {DAMPING}e0) AS got FROM {name}{k} JOIN {name}_w ON host = a GROUP BY b)")
+        out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT host, coalesce(got, 0) + (1 - coalesce((SELECT sum(got) FROM {name}m{k}), 0)) * coalesce(s.score, 0) AS score FROM {name}m{k} FULL JOIN {name}0 s USING (host))")
+    return ", ".join(out)
+
+
+def _exposure(edges: str, seeds: str) -> str:
+    out = [f"x_w AS MATERIALIZED (SELECT a, b, links / sum(links) OVER (PARTITION BY a) AS share FROM {edges})", f"x_s AS MATERIALIZED (SELECT host, seed FROM {seeds} WHERE seed > 0)", "x0 AS (SELECT host, seed AS e FROM x_s)"]
+    for k in range(STEPS):
+        out.append(f"x{k + 1} AS MATERIALIZED (SELECT host, coalesce(seed, 0) + (1 - coalesce(seed, 0)) * coalesce(got, 0) AS e FROM (SELECT a AS host, sum(e * share * {DAMPING}e0) AS got FROM x{k} JOIN x_w ON host = b GROUP BY a) FULL JOIN x_s USING (host))")
+    return ", ".join(out)
+
+
+_FITS = ", ".join(f"('{r.host}', '{r.path}', '{r.text}', '{r.verdict}')" for r in RULES)
+
+#: The verdict by links: distrust over trust, and exposure over its floor.
+URLS = rf"""
+WITH p AS MATERIALIZED (SELECT row_number() OVER () AS rid, page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+f(rh, rp, rule, says) AS (VALUES {_FITS}),
+best AS (SELECT rid, arg_max(rule, length(rule)) AS rule, arg_max(says, length(rule)) AS says FROM p JOIN f ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY rid),
+d AS MATERIALIZED (SELECT p.*, rule, says FROM p LEFT JOIN best USING (rid)),
+l AS (SELECT host AS a, translate(coalesce(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS b FROM (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\s*=\s*["'']?\s*([a-z][a-z0-9+.-]*://[^"''\s>]*)', 1)) AS u FROM p)),
+e AS MATERIALIZED (SELECT a, b, count(*) * 1e0 AS links FROM l WHERE a <> '' AND b <> '' AND a <> b GROUP BY a, b),
+r AS MATERIALIZED (SELECT b AS a, a AS b, links FROM e),
+h AS MATERIALIZED (SELECT host, count(*) FILTER (WHERE says = 'allow') / count(*) AS good, count(*) FILTER (WHERE says = 'block') / count(*) AS bad FROM d WHERE host <> '' GROUP BY host),
+gs AS (SELECT host, good AS seed FROM h), bs AS (SELECT host, bad AS seed FROM h),
+{_rank("t", "e", "gs")}, {_rank("u", "r", "bs")}, {_exposure("e", "bs")},
+v AS (SELECT h.host, coalesce(u.score, 0) > coalesce(t.score, 0) AND coalesce(x.e, 0) > 0.05e0 AS bad FROM h LEFT JOIN t{STEPS} t ON t.host = h.host LEFT JOIN u{STEPS} u ON u.host = h.host LEFT JOIN x{STEPS} x ON x.host = h.host)
+SELECT page_id, d.host, path, rule, coalesce(says, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict FROM d LEFT JOIN v ON v.host = d.host
+"""
