@@ -6,10 +6,10 @@ as the next stage's documents.  All but the last return the columns of documents
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import fresh_path, table
+from fathomline.llm.common import fresh_path, stored, table
 from fathomline.llm.decontam import decontaminate
 from fathomline.llm.mixing import mix
 from fathomline.llm.neardup import near_duplicates
@@ -23,13 +23,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each group of near copies (five-word shingles, similarity 0.8)."""
+    """Keep the first document of each group of near copies (five-word shingles, similarity 0.8).
+
+    Rows without doc_id stay.  Rows that repeat a doc_id are one document, of which the first by text stays.
+    """
     found = near_duplicates(docs.select("doc_id", "text"), width=5)
-    kept = found.filter("kept and doc_id is not null").select("doc_id").distinct()
-    # rows that repeat a doc_id are one document: the first by text stays
-    first = docs.filter("doc_id is not null").join(kept, "doc_id")
-    first = first.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("_n = 1").select(docs.columns)
-    return first.unionByName(docs.filter("doc_id is null"))
+    gone = found.filter("not kept and doc_id is not null").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = stored(left.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "pipeline-repeated")
+    if repeated.isEmpty():
+        return left
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    first = left.join(repeated, "doc_id").select(docs.columns).groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text").isNotNull(), "text", F.xxhash64(*docs.columns))).alias("_row"))
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(first.select("_row.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
