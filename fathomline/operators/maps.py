@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from fathomline.functions import geo
 from fathomline.operators import spatial
@@ -15,24 +16,31 @@ TILE = 50.0
 CHUNK = (32, 32, 10)
 
 
-def first_per_voxel(points: DataFrame, voxel: float | Column, keys: list[str], order: list[str], dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """The first point of each voxel in the given order.
+def _chosen(points: DataFrame, size: Column, keys: list[str], order: list[str], dims: tuple[str, ...], first: bool) -> DataFrame:
+    """One row a voxel by order, as a partial aggregation: tasks send one row a voxel, not all points.
 
-    A minimum by order is a partial aggregation: tasks send one row a voxel, not all points.
+    Two integers of 31 and 32 bits are compared as one, so that the buffers have a fixed width and the
+    aggregation is by hash; any other order is compared as a struct.
     """
-    size = voxel if isinstance(voxel, Column) else F.lit(float(voxel))
     df = points.withColumns({f"_v{k}": F.floor(F.col(d) / size).cast("long") for k, d in enumerate(dims)})
-    rank = F.struct(*[F.col(o) for o in order])
     rest = [c for c in points.columns if c not in keys]
-    first = df.groupBy(*keys, *[f"_v{k}" for k in range(len(dims))]).agg(F.min_by(F.struct(*rest), rank).alias("_r"))
-    return first.select(*keys, "_r.*")
+    voxel = [*keys, *[f"_v{k}" for k in range(len(dims))]]
+    pick = F.min_by if first else F.max_by
+    if len(order) == 2 and all(isinstance(points.schema[o].dataType, IntegralType) for o in order):
+        rank = F.shiftleft(F.col(order[0]).cast("long"), 32).bitwiseOR(F.col(order[1]).cast("long"))
+        found = df.withColumn("_rank", rank).groupBy(*voxel).agg(*[pick(c, "_rank").alias(c) for c in rest])
+        return found.select(*keys, *rest)
+    found = df.groupBy(*voxel).agg(pick(F.struct(*rest), F.struct(*[F.col(o) for o in order])).alias("_r"))
+    return found.select(*keys, "_r.*")
+
+
+def first_per_voxel(points: DataFrame, voxel: float | Column, keys: list[str], order: list[str], dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """The first point of each voxel in the given order."""
+    return _chosen(points, voxel if isinstance(voxel, Column) else F.lit(float(voxel)), keys, order, dims, True)
 
 
 def last_per_voxel(points: DataFrame, voxel: float, keys: list[str], order: list[str], dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    df = points.withColumns({f"_v{k}": F.floor(F.col(d) / F.lit(float(voxel))).cast("long") for k, d in enumerate(dims)})
-    rest = [c for c in points.columns if c not in keys]
-    last = df.groupBy(*keys, *[f"_v{k}" for k in range(len(dims))]).agg(F.max_by(F.struct(*rest), F.struct(*[F.col(o) for o in order])).alias("_r"))
-    return last.select(*keys, "_r.*")
+    return _chosen(points, F.lit(float(voxel)), keys, order, dims, False)
 
 
 def voxel_centroids(points: DataFrame, voxel: float, keys: list[str], dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:

@@ -6,6 +6,9 @@ fan-out; the exact test follows on the pairs that share a cell.
 
 from __future__ import annotations
 
+import itertools
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +47,30 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, dims: tuple[st
     return l.join(r, cond).withColumn("d2", d2).filter(F.col("d2") <= radius * radius).drop("_n", *names)
 
 
+def radius_pairs(points: DataFrame, radius: float, index: str, dims: tuple[str, ...] = ("x", "y", "z"), by: tuple[str, ...] = (), prefix: str = "r_") -> DataFrame:
+    """All pairs of one table within ``radius``, each once with the lower index first.
+
+    A point looks into its own cell and one half of the cells around, so a pair of cells meets once.
+    """
+    names = [f"_c{k}" for k in range(len(dims))]
+    cells = [cell(F.col(d), radius) for d in dims]
+    zero = (0,) * len(dims)
+    half = [s for s in itertools.product((-1, 0, 1), repeat=len(dims)) if s >= zero]
+    looks = F.array(*[F.struct(*[(c + o).alias(f"c{k}") for k, (c, o) in enumerate(zip(cells, s, strict=True))], F.lit(s == zero).alias("own")) for s in half])
+    kept = points.select(*by, index, *dims)
+    l = kept.withColumn("_n", F.explode(looks))
+    r = kept.select(*[F.col(c).alias(prefix + c) for c in kept.columns]).withColumns({n: cell(F.col(prefix + d), radius) for n, d in zip(names, dims, strict=True)})
+    cond = F.lit(True)
+    for k, n in enumerate(names):
+        cond = cond & (F.col(f"_n.c{k}") == F.col(n))
+    for b in by:
+        cond = cond & (F.col(b) == F.col(prefix + b))
+    d2 = sum(((F.col(d) - F.col(prefix + d)) * (F.col(d) - F.col(prefix + d)) for d in dims[1:]), (F.col(dims[0]) - F.col(prefix + dims[0])) * (F.col(dims[0]) - F.col(prefix + dims[0])))
+    found = l.join(r, cond).withColumn("d2", d2).filter((F.col("d2") <= radius * radius) & (~F.col("_n.own") | (F.col(index) < F.col(prefix + index))))
+    low, high = F.least(index, prefix + index), F.greatest(index, prefix + index)
+    return found.select(*by, low.alias(index), high.alias(prefix + index), "d2")
+
+
 def knn(left: DataFrame, right: DataFrame, k: int, reach: float, left_id: str, right_id: str, dims: tuple[str, ...] = ("x", "y", "z"), by: tuple[str, ...] = (), prefix: str = "r_") -> DataFrame:
     """The k nearest within ``reach``; ties to the lower id."""
     pairs = radius_join(left, right, reach, dims, by, prefix)
@@ -59,13 +86,37 @@ def statistical_outliers(points: DataFrame, frame: str, index: str, k: int, m: f
     return mean.join(limit, frame).withColumn("kept", F.col("mean_distance") <= F.coalesce("limit", F.col("mean_distance")))
 
 
+def trimmed_match(a: DataFrame, b: DataFrame, by: tuple[str, ...], index: str, reach: float, share: float = 0.9) -> DataFrame:
+    """Root mean square of the best ``share`` of nearest distances from a to b, and the share of a that has one within reach."""
+    near = radius_join(a.select(*by, index, "x", "y", "z"), b.select(*by, "x", "y", "z"), reach, by=by).groupBy(*by, index).agg(F.min("d2").alias("d2"))
+    # the best part by counts of equal distances, so that no group is sorted in one task as rows of its own
+    ranked = near.groupBy(*by, "d2").agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*by).orderBy("d2").rowsBetween(Window.unboundedPreceding, -1)
+    whole = near.groupBy(*by).agg(F.count("*").alias("matched"))
+    used = ranked.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0))).join(whole, list(by))
+    used = used.withColumn("take", F.greatest(F.lit(0), F.least(F.col("c"), F.ceil(F.col("matched") * share) - F.col("before"))))
+    sums = used.groupBy(*by).agg(F.sqrt(F.sum(F.col("take") * F.col("d2")) / F.sum("take")).alias("rmse"), F.first("matched").alias("matched"))
+    return a.groupBy(*by).agg(F.count("*").alias("n")).join(sums, list(by), "left").select(*by, "rmse", (F.coalesce("matched", F.lit(0)) / F.col("n")).alias("match"))
+
+
 def low_outliers(points: DataFrame, frame: str, index: str, height: str, below: float, radius: float, least: int) -> DataFrame:
-    """Points under ``below`` stay only with ``least`` neighbours within the radius; higher ones always stay."""
-    low = points.filter(F.col(height) <= below)
-    pairs = radius_join(low.select(frame, index, "x", "y", "z"), points.select(frame, index, "x", "y", "z"), radius, by=(frame,))
-    counts = pairs.filter(F.col(index) != F.col("r_" + index)).groupBy(frame, index).agg(F.count("*").alias("near"))
-    df = points.join(counts, [frame, index], "left")
-    return df.filter((F.col(height) > below) | (F.coalesce("near", F.lit(0)) >= least)).drop("near")
+    """Points under ``below`` stay only with ``least`` neighbours within the radius; higher ones always stay.
+
+    Points are counted by cells whose diagonal is the radius first: only points with fewer than ``least``
+    companions in their own cell are joined with others.
+    """
+    fine = radius / 3**0.5 * (1 - 1e-9)  # the diagonal of such a cell is no longer than the radius
+    own = [frame, *[f"_f{k}" for k in range(3)]]
+    df = points.withColumns({f"_f{k}": cell(F.col(d), fine) for k, d in enumerate(("x", "y", "z"))})
+    crowd = df.groupBy(*own).agg(F.count("*").alias("_crowd"))
+    low = df.filter(F.col(height) <= below).join(crowd, own)
+    sure = low.filter(F.col("_crowd") > least).select(frame, index)
+    rest = low.filter(F.col("_crowd") <= least)
+    pairs = radius_join(rest.select(frame, index, "x", "y", "z"), points.select(frame, index, "x", "y", "z"), radius, by=(frame,))
+    met = pairs.filter(F.col(index) != F.col("r_" + index)).groupBy(frame, index).agg(F.count("*").alias("near")).filter(F.col("near") >= least)
+    kept = sure.unionByName(met.select(frame, index))
+    high = points.filter(F.col(height) > below)
+    return high.unionByName(points.filter(F.col(height) <= below).join(kept, [frame, index], "left_semi"))
 
 
 def rect_cells(cx: Column, cy: Column, w: Column, l: Column, angle: Column, size: float, margin: float = 0.0) -> Column:
@@ -132,20 +183,21 @@ def boxes_overlapping(left: DataFrame, right: DataFrame, size: float, prefix: st
     return pairs.filter(lap & first).drop("_n", "_m")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (node), edges (a, b) -> node, component: the smallest node reachable.
 
     Hooking to the smallest neighbour and pointer jumping; lineage is cut by checkpoints in the folder
-    that spark.checkpoint.dir names.
+    that spark.checkpoint.dir names.  A label only ever falls, so the rounds end.
     """
     spark = nodes.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp())
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
     labels = nodes.select("node", F.col("node").alias("component")).checkpoint()
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         seen = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("was"))
         root = seen.groupBy("was").agg(F.min("component").alias("to"))
@@ -154,5 +206,4 @@ def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int =
         after = hooked.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("up", "component")).alias("component")).checkpoint()
         labels = after.select("node", "component")
         if after.filter("component <> was").isEmpty():
-            break
-    return labels
+            return labels

@@ -103,12 +103,12 @@ def agg09(spark, d):
     return c.select("cx", "cy", F.round("mean_x", 4).alias("mean_x"), F.round("mean_y", 4).alias("mean_y"), "keyframes")
 
 
-@query("agg10_stable_regions", """WITH RECURSIVE cells AS (SELECT CAST(floor(x / 10e0) AS BIGINT) AS cx, CAST(floor(y / 10e0) AS BIGINT) AS cy, count(*) AS n, count(DISTINCT kf) AS k FROM pts WHERE kf % 5 = 0 GROUP BY 1, 2 HAVING count(DISTINCT kf) >= 4),
+@query("agg10_stable_regions", """WITH RECURSIVE cells AS (SELECT CAST(floor(x / 10e0) AS BIGINT) AS cx, CAST(floor(y / 10e0) AS BIGINT) AS cy, count(*) AS n, count(DISTINCT kf) AS k FROM pts GROUP BY 1, 2 HAVING count(DISTINCT kf) >= 4),
  r AS (SELECT cx, cy, cx * 2147483648 + cy AS label FROM cells UNION SELECT c.cx, c.cy, r.label FROM r JOIN cells c ON abs(c.cx - r.cx) <= 1 AND abs(c.cy - r.cy) <= 1),
  m AS (SELECT cx, cy, min(label) AS label FROM r GROUP BY 1, 2)
  SELECT label AS component, count(*) AS cells, CAST(sum(n) AS BIGINT) AS points, count(*) * 100e0 AS area, min(k) AS min_seen, max(k) AS max_seen FROM m JOIN cells USING (cx, cy) GROUP BY label HAVING count(*) >= 2""")
 def agg10(spark, d):
-    return maps.stable_regions(view(spark, d, "pts").filter("kf % 5 = 0"), 10.0, 4, 2).select("component", "cells", "points", "area", "min_seen", "max_seen")
+    return maps.stable_regions(view(spark, d, "pts"), 10.0, 4, 2).select("component", "cells", "points", "area", "min_seen", "max_seen")
 
 
 @query("agg11_euclidean_clusters", """WITH RECURSIVE p AS (SELECT * FROM vec), e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 0.0025e0),
@@ -116,15 +116,15 @@ def agg10(spark, d):
  SELECT lab AS component, count(*) AS size, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(min(z), 6) AS min_z FROM m JOIN p ON p.vec_id = m.n GROUP BY lab HAVING count(*) >= 2""")
 def agg11(spark, d):
     v = view(spark, d, "vec").select("vec_id", "x", "y", "z")
-    pairs = spatial.radius_join(v, v, 0.05).select(F.col("vec_id").alias("a"), F.col("r_vec_id").alias("b"))
+    pairs = spatial.radius_pairs(v, 0.05, "vec_id").select(F.col("vec_id").alias("a"), F.col("r_vec_id").alias("b"))
     labels = spatial.connected_components(v.select(F.col("vec_id").alias("node")), pairs)
     c = v.join(labels, v.vec_id == labels.node).groupBy("component").agg(F.count("*").alias("size"), r6(F.avg("x")).alias("cx"), r6(F.avg("y")).alias("cy"), r6(F.min("z")).alias("min_z"))
     return c.filter("size >= 2")
 
 
-@query("agg13_plane_moments", "SELECT kf, round(sum(x*x), 3) AS xx, round(sum(x*y), 3) AS xy, round(sum(x*z), 3) AS xz, round(sum(z*z), 3) AS zz, count(*) AS n FROM pts WHERE idx % 2 = 0 GROUP BY kf")
+@query("agg13_plane_moments", "SELECT kf, round(sum(x*x), 3) AS xx, round(sum(x*y), 3) AS xy, round(sum(x*z), 3) AS xz, round(sum(z*z), 3) AS zz, count(*) AS n FROM pts GROUP BY kf")
 def agg13(spark, d):
-    p = view(spark, d, "pts").filter("idx % 2 = 0")
+    p = view(spark, d, "pts")
     m = {"xx": ("x", "x"), "xy": ("x", "y"), "xz": ("x", "z"), "zz": ("z", "z")}
     return p.groupBy("kf").agg(*[F.round(F.sum(F.col(a) * F.col(b)), 3).alias(k) for k, (a, b) in m.items()], F.count("*").alias("n"))
 
@@ -211,40 +211,40 @@ def agg26(spark, d):
 
 
 # --- windows -----------------------------------------------------------------------------------
-@query("win01_centred_median", "SELECT id, round(quantile_cont(value, 0.5) OVER (PARTITION BY sensor ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS median FROM nav")
+@query("win01_centred_median", "SELECT id, round(quantile_cont(value, 0.5) OVER (PARTITION BY sensor, unit ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS median FROM nav")
 def win01(spark, d):
-    return temporal.centred_median(view(spark, d, "nav"), ["sensor"], "ts", "value").select("id", r6("median").alias("median"))
+    return temporal.centred_median(view(spark, d, "nav"), ["sensor", "unit"], "ts", "value").select("id", r6("median").alias("median"))
 
 
-NEIGHBOUR = """n AS (SELECT id, value, [lag(value, 2) OVER w, lag(value, 1) OVER w, lead(value, 1) OVER w, lead(value, 2) OVER w] AS a FROM nav WINDOW w AS (PARTITION BY sensor ORDER BY ts)),
+NEIGHBOUR = """n AS (SELECT id, value, [lag(value, 2) OVER w, lag(value, 1) OVER w, lead(value, 1) OVER w, lead(value, 2) OVER w] AS a FROM nav WINDOW w AS (PARTITION BY sensor, unit ORDER BY ts)),
  m AS (SELECT id, value, list_median(list_filter(a, lambda x: x IS NOT NULL)) AS med FROM n)"""
 
 
 @query("win03_outlier_flags", f"WITH {NEIGHBOUR} SELECT id, abs(value - med) > 30e0 AS outlier FROM m")
 def win03(spark, d):
-    n = temporal.neighbour_median(view(spark, d, "nav"), ["sensor"], "ts", "value")
+    n = temporal.neighbour_median(view(spark, d, "nav"), ["sensor", "unit"], "ts", "value")
     return n.select("id", (F.abs(F.col("value") - F.col("neighbour_median")) > 30.0).alias("outlier"))
 
 
-@query("win02_angle_unwrap", """SELECT id, round(yaw_deg + 360e0 * sum(t) OVER (PARTITION BY sensor ORDER BY ts ROWS UNBOUNDED PRECEDING), 4) AS unwrapped FROM
- (SELECT *, coalesce(floor((lag(yaw_deg) OVER (PARTITION BY sensor ORDER BY ts) - yaw_deg) / 360e0 + 0.5e0), 0) AS t FROM nav)""")
+@query("win02_angle_unwrap", """SELECT id, round(yaw_deg + 360e0 * sum(t) OVER (PARTITION BY sensor, unit ORDER BY ts ROWS UNBOUNDED PRECEDING), 4) AS unwrapped FROM
+ (SELECT *, coalesce(floor((lag(yaw_deg) OVER (PARTITION BY sensor, unit ORDER BY ts) - yaw_deg) / 360e0 + 0.5e0), 0) AS t FROM nav)""")
 def win02(spark, d):
-    return temporal.unwrap_degrees(view(spark, d, "nav"), ["sensor"], "ts", "yaw_deg").select("id", F.round("unwrapped", 4).alias("unwrapped"))
+    return temporal.unwrap_degrees(view(spark, d, "nav"), ["sensor", "unit"], "ts", "yaw_deg").select("id", F.round("unwrapped", 4).alias("unwrapped"))
 
 
-@query("win05_clock_repair", """SELECT seq, round(sum(CASE WHEN p IS NULL THEN 0e0 WHEN ts - p > 100e0 AND ts - p < 1500e0 THEN ts - p ELSE 300e0 END) OVER (PARTITION BY sensor ORDER BY seq ROWS UNBOUNDED PRECEDING), 3) AS clock FROM (SELECT *, lag(ts) OVER (PARTITION BY sensor ORDER BY seq) AS p FROM frames)""")
+@query("win05_clock_repair", """SELECT seq, round(sum(CASE WHEN p IS NULL THEN 0e0 WHEN ts - p > 1000e0 AND ts - p < 30000e0 THEN ts - p ELSE 5000e0 END) OVER (PARTITION BY sensor, unit ORDER BY seq ROWS UNBOUNDED PRECEDING), 3) AS clock FROM (SELECT *, lag(ts) OVER (PARTITION BY sensor, unit ORDER BY seq) AS p FROM frames)""")
 def win05(spark, d):
-    return temporal.repaired_clock(view(spark, d, "frames"), ["sensor"], "seq", "ts", 100.0, 1500.0, 300.0).select("seq", F.round("clock", 3).alias("clock"))
+    return temporal.repaired_clock(view(spark, d, "frames"), ["sensor", "unit"], "seq", "ts", 1000.0, 30000.0, 5000.0).select("seq", F.round("clock", 3).alias("clock"))
 
 
 RM = "(6378137e0 * (1 - 0.0066943799901413165e0) / pow(1 - 0.0066943799901413165e0 * pow(sin(radians(lat)), 2), 1.5e0))"
 RN = "(6378137e0 / sqrt(1 - 0.0066943799901413165e0 * pow(sin(radians(lat)), 2)))"
 
 
-@query("win06_incremental_enu", f"""SELECT id, round(sum(e) OVER w, 3) AS east, round(sum(n) OVER w, 3) AS north, round(sum(u) OVER w, 3) AS up FROM (SELECT id, sensor, ts, coalesce(radians(lon - lag(lon) OVER v) * ({RN} + alt) * cos(radians(lat)), 0e0) AS e,
- coalesce(radians(lat - lag(lat) OVER v) * ({RM} + alt), 0e0) AS n, coalesce(alt - lag(alt) OVER v, 0e0) AS u FROM nav WINDOW v AS (PARTITION BY sensor ORDER BY ts)) WINDOW w AS (PARTITION BY sensor ORDER BY ts ROWS UNBOUNDED PRECEDING)""")
+@query("win06_incremental_enu", f"""SELECT id, round(sum(e) OVER w, 3) AS east, round(sum(n) OVER w, 3) AS north, round(sum(u) OVER w, 3) AS up FROM (SELECT id, sensor, unit, ts, coalesce(radians(lon - lag(lon) OVER v) * ({RN} + alt) * cos(radians(lat)), 0e0) AS e,
+ coalesce(radians(lat - lag(lat) OVER v) * ({RM} + alt), 0e0) AS n, coalesce(alt - lag(alt) OVER v, 0e0) AS u FROM nav WINDOW v AS (PARTITION BY sensor, unit ORDER BY ts)) WINDOW w AS (PARTITION BY sensor, unit ORDER BY ts ROWS UNBOUNDED PRECEDING)""")
 def win06(spark, d):
-    v = Window.partitionBy("sensor").orderBy("ts")
+    v = Window.partitionBy("sensor", "unit").orderBy("ts")
     w = v.rowsBetween(Window.unboundedPreceding, 0)
     step = lambda c: F.col(c) - F.lag(c).over(v)
     n = view(spark, d, "nav")
@@ -253,27 +253,27 @@ def win06(spark, d):
     return n.select("id", *[F.round(F.sum(c).over(w), 3).alias(k) for c, k in (("e", "east"), ("n", "north"), ("u", "up"))])
 
 
-@query("win07_odometry_delta", """SELECT kf, round(sqrt(pow(tx - lag(tx) OVER w, 2) + pow(ty - lag(ty) OVER w, 2)), 5) AS moved, coalesce(sqrt(pow(tx - lag(tx) OVER w, 2) + pow(ty - lag(ty) OVER w, 2)) > 30e0, false) AS jump FROM kfs WINDOW w AS (ORDER BY ts)""")
+@query("win07_odometry_delta", """SELECT kf, round(sqrt(pow(tx - lag(tx) OVER w, 2) + pow(ty - lag(ty) OVER w, 2)), 5) AS moved, coalesce(sqrt(pow(tx - lag(tx) OVER w, 2) + pow(ty - lag(ty) OVER w, 2)) > 30e0, false) AS jump FROM kfs WINDOW w AS (PARTITION BY map ORDER BY ts)""")
 def win07(spark, d):
-    w = Window.partitionBy(F.lit(0)).orderBy("ts")
+    w = Window.partitionBy("map").orderBy("ts")
     dx, dy = F.col("tx") - F.lag("tx").over(w), F.col("ty") - F.lag("ty").over(w)
     moved = F.sqrt(dx * dx + dy * dy)
     return view(spark, d, "kfs").select("kf", F.round(moved, 5).alias("moved"), F.coalesce(moved > 30.0, F.lit(False)).alias("jump"))
 
 
-@query("win08_keyframe_selection", """WITH RECURSIVE p AS (SELECT generation AS key, ts, lat * 1e5 AS x, alt AS y, row_number() OVER (PARTITION BY generation ORDER BY ts) AS r FROM nav WHERE id % 25 = 0),
+@query("win08_keyframe_selection", """WITH RECURSIVE p AS (SELECT unit AS key, ts, lat * 1e5 AS x, alt AS y, row_number() OVER (PARTITION BY unit ORDER BY ts) AS r FROM nav),
  s AS (SELECT key, r, ts, x, y, x AS lx, y AS ly, true AS kept FROM p WHERE r = 1 UNION ALL SELECT p.key, p.r, p.ts, p.x, p.y, CASE WHEN sqrt(pow(p.x - s.lx, 2) + pow(p.y - s.ly, 2)) > 20e0 THEN p.x ELSE s.lx END, CASE WHEN sqrt(pow(p.x - s.lx, 2) + pow(p.y - s.ly, 2)) > 20e0 THEN p.y ELSE s.ly END, sqrt(pow(p.x - s.lx, 2) + pow(p.y - s.ly, 2)) > 20e0 FROM s JOIN p ON p.key = s.key AND p.r = s.r + 1)
  SELECT key, CAST(floor(ts) AS BIGINT) AS ts FROM s WHERE kept""")
 def win08(spark, d):
-    p = view(spark, d, "nav").filter("id % 25 = 0").select(F.col("generation").alias("key"), "ts", (F.col("lat") * 1e5).alias("x"), F.col("alt").alias("y"), F.lit(0.0).alias("z"), F.lit(0.0).alias("yaw"))
+    p = view(spark, d, "nav").select(F.col("unit").alias("key"), "ts", (F.col("lat") * 1e5).alias("x"), F.col("alt").alias("y"), F.lit(0.0).alias("z"), F.lit(0.0).alias("yaw"))
     return folds.select_keyframes(p, 20.0, 5.0).select("key", F.floor("ts").alias("ts"))
 
 
-@query("win09_retention", "SELECT seq FROM (SELECT seq, row_number() OVER (PARTITION BY sensor ORDER BY ts DESC) AS r, max(ts) OVER (PARTITION BY sensor) - ts AS age FROM frames) WHERE r <= 200 AND age <= 360000e0")
+@query("win09_retention", "SELECT seq FROM (SELECT seq, row_number() OVER (PARTITION BY sensor, unit ORDER BY ts DESC) AS r, max(ts) OVER (PARTITION BY sensor, unit) - ts AS age FROM frames) WHERE r <= 20 AND age <= 360000e0")
 def win09(spark, d):
-    w = Window.partitionBy("sensor")
+    w = Window.partitionBy("sensor", "unit")
     f = view(spark, d, "frames").withColumn("r", F.row_number().over(w.orderBy(F.desc("ts")))).withColumn("age", F.max("ts").over(w) - F.col("ts"))
-    return f.filter("r <= 200 AND age <= 360000").select("seq")
+    return f.filter("r <= 20 AND age <= 360000").select("seq")
 
 
 @query("win10_size_smoothing", "SELECT id, round(least(w, 1.1e0 * avg(w) OVER (PARTITION BY session ORDER BY id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)), 6) AS w FROM berths")
@@ -288,10 +288,10 @@ def win11(spark, d):
     return view(spark, d, "pts").withColumn("g", F.col("x") - F.lag("x").over(w)).groupBy("kf").agg(r6(F.max("g")).alias("gap"))
 
 
-@query("win12_frame_split", "SELECT id, CAST(sum(CASE WHEN yaw_deg < p THEN 1 ELSE 0 END) OVER (PARTITION BY sensor ORDER BY id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS frame FROM (SELECT *, lag(yaw_deg) OVER (PARTITION BY sensor ORDER BY id) AS p FROM nav)")
+@query("win12_frame_split", "SELECT id, CAST(sum(CASE WHEN yaw_deg < p THEN 1 ELSE 0 END) OVER (PARTITION BY sensor, unit ORDER BY id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS frame FROM (SELECT *, lag(yaw_deg) OVER (PARTITION BY sensor, unit ORDER BY id) AS p FROM nav)")
 def win12(spark, d):
-    w = Window.partitionBy("sensor").orderBy("id")
-    return temporal.islands(view(spark, d, "nav"), ["sensor"], ["id"], F.col("yaw_deg") < F.lag("yaw_deg").over(w), "frame").select("id", "frame")
+    w = Window.partitionBy("sensor", "unit").orderBy("id")
+    return temporal.islands(view(spark, d, "nav"), ["sensor", "unit"], ["id"], F.col("yaw_deg") < F.lag("yaw_deg").over(w), "frame").select("id", "frame")
 
 
 @query("win13_ema", """SELECT session, round(list_reduce(list(w ORDER BY id), lambda a, x: a + 0.35e0 * (x - a)), 6) AS w FROM berths GROUP BY session""")
@@ -317,12 +317,12 @@ def win15(spark, d):
     return o.groupBy("kf", "run").agg(F.min("bin").alias("first_bin"), F.count("*").alias("bins"), r6(F.max("h")).alias("top")).drop("run")
 
 
-@query("win16_motion_heading", """SELECT kf, other FROM (SELECT a.kf, b.kf AS other, row_number() OVER (PARTITION BY a.kf ORDER BY b.ts DESC) AS r FROM kfs a JOIN kfs b ON b.ts < a.ts AND pow(a.tx - b.tx, 2) + pow(a.ty - b.ty, 2) >= 900e0) WHERE r = 1""")
+@query("win16_motion_heading", """SELECT kf, other FROM (SELECT a.kf, b.kf AS other, row_number() OVER (PARTITION BY a.kf ORDER BY b.ts DESC) AS r FROM kfs a JOIN kfs b ON a.map = b.map AND b.ts < a.ts AND pow(a.tx - b.tx, 2) + pow(a.ty - b.ty, 2) >= 900e0) WHERE r = 1""")
 def win16(spark, d):
-    k = view(spark, d, "kfs").select("kf", "ts", "tx", "ty")
-    b = F.broadcast(k.select(F.col("kf").alias("other"), F.col("ts").alias("t2"), F.col("tx").alias("x2"), F.col("ty").alias("y2")))  # 200 keyframes at any scale
+    k = view(spark, d, "kfs").select("kf", "map", "ts", "tx", "ty")
+    b = k.select(F.col("kf").alias("other"), F.col("map").alias("m2"), F.col("ts").alias("t2"), F.col("tx").alias("x2"), F.col("ty").alias("y2"))  # 500 keyframes a map
     far = (F.col("tx") - F.col("x2")) ** 2 + (F.col("ty") - F.col("y2")) ** 2 >= 900.0
-    return k.join(b, (F.col("t2") < F.col("ts")) & far).groupBy("kf").agg(F.max_by("other", "t2").alias("other"))
+    return k.join(b, (F.col("m2") == F.col("map")) & (F.col("t2") < F.col("ts")) & far).groupBy("kf").agg(F.max_by("other", "t2").alias("other"))
 
 
 # --- sorts, limits and sets --------------------------------------------------------------------
@@ -379,12 +379,12 @@ def set02(spark, d):
     return maps.append_maps(view(spark, d, "berths"), ["session"], ["ts", "id"]).select("id", "new_id")
 
 
-VIEWPORT = "a AS (SELECT DISTINCT CAST(floor(cx / 50e0) AS BIGINT) AS tile_x, CAST(floor(cy / 50e0) AS BIGINT) AS tile_y FROM berths WHERE id < 12)"
+VIEWPORT = "a AS (SELECT DISTINCT CAST(floor(cx / 50e0) AS BIGINT) AS tile_x, CAST(floor(cy / 50e0) AS BIGINT) AS tile_y FROM berths WHERE opening_edge = 0)"
 RING = "e AS (SELECT DISTINCT tile_x + dx AS tile_x, tile_y + dy AS tile_y FROM a, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy))"
 
 
 def active(spark, d, ring=0):
-    b = view(spark, d, "berths").filter("id < 12").selectExpr("cx AS min_x", "cy AS min_y", "cx AS max_x", "cy AS max_y")
+    b = view(spark, d, "berths").filter("opening_edge = 0").selectExpr("cx AS min_x", "cy AS min_y", "cx AS max_x", "cy AS max_y")
     return maps.viewport_tiles(b, ring=ring)
 
 
@@ -398,12 +398,12 @@ def set04(spark, d):
     return active(spark, d, 1)
 
 
-@query("set05_two_lod_choice", """WITH f AS (SELECT DISTINCT CAST(floor(x / 10e0) AS BIGINT) AS cx, CAST(floor(y / 10e0) AS BIGINT) AS cy FROM pts WHERE kf < 5), c AS (SELECT DISTINCT CAST(floor(x / 10e0) AS BIGINT) AS cx, CAST(floor(y / 10e0) AS BIGINT) AS cy FROM pts WHERE kf BETWEEN 3 AND 10)
+@query("set05_two_lod_choice", """WITH f AS (SELECT DISTINCT CAST(floor(x / 10e0) AS BIGINT) AS cx, CAST(floor(y / 10e0) AS BIGINT) AS cy FROM pts WHERE z > 2.5e0), c AS (SELECT DISTINCT CAST(floor(x / 10e0) AS BIGINT) AS cx, CAST(floor(y / 10e0) AS BIGINT) AS cy FROM pts)
  SELECT coalesce(f.cx, c.cx) AS cx, coalesce(f.cy, c.cy) AS cy, CASE WHEN f.cx IS NOT NULL THEN 'fine' ELSE 'coarse' END AS lod FROM f FULL OUTER JOIN c ON f.cx = c.cx AND f.cy = c.cy""")
 def set05(spark, d):
     p = view(spark, d, "pts")
     cells = lambda w: p.filter(w).select(geo.floor_int(F.col("x") / 10).alias("cx"), geo.floor_int(F.col("y") / 10).alias("cy")).distinct()
-    fine, coarse = cells("kf < 5").withColumn("f", F.lit("fine")), cells("kf BETWEEN 3 AND 10")
+    fine, coarse = cells("z > 2.5").withColumn("f", F.lit("fine")), cells("true")
     return fine.join(coarse, ["cx", "cy"], "full_outer").select("cx", "cy", F.coalesce("f", F.lit("coarse")).alias("lod"))
 
 
@@ -452,11 +452,11 @@ def scl07(spark, d):
     return view(spark, d, "nav").select("id", r6(m[0][0]).alias("r00"), r6(m[2][0]).alias("r20"), r6(m[2][1]).alias("r21"))
 
 
-@query("scl08_slerp_yaw", "SELECT kf, round(((yaw_deg + 360e0 + 0.25e0 * 40e0) % 360e0), 4) AS yaw FROM kfs WHERE yaw_deg < 130")
+@query("scl08_slerp_yaw", "SELECT kf, round(((yaw_deg + 360e0 + 0.25e0 * 40e0) % 360e0), 4) AS yaw FROM kfs")
 def scl08(spark, d):
     q = lambda a: (F.lit(0.0), F.lit(0.0), F.sin(F.radians(a) / 2), F.cos(F.radians(a) / 2))
     s = geo.slerp(q(F.col("yaw_deg")), q(F.col("yaw_deg") + 40.0), F.lit(0.25))
-    return view(spark, d, "kfs").filter("yaw_deg < 130").select("kf", F.round(F.pmod(F.degrees(2 * F.atan2(s[2], s[3])), F.lit(360.0)), 4).alias("yaw"))
+    return view(spark, d, "kfs").select("kf", F.round(F.pmod(F.degrees(2 * F.atan2(s[2], s[3])), F.lit(360.0)), 4).alias("yaw"))
 
 
 @query("scl10_angles", "SELECT id, round((angle * 3e0 + 900e0) % 180e0, 6) AS a180, round((angle * 3e0 + 90e0 + 900e0) % 180e0 - 90e0, 6) AS a90, round(least((angle + 143e0) % 180e0, 180e0 - (angle + 143e0) % 180e0), 6) AS gap FROM berths")
@@ -488,10 +488,10 @@ def scl16(spark, d):
     return view(spark, d, "berths").select("id", geo.cv_rect_angle(F.col("w"), F.col("l"), F.col("angle")).alias("a"))
 
 
-@query("scl17_segment_distance", """SELECT kf, idx, round(sqrt(pow(x - (-10 + 60 * t), 2) + pow(y - (5 + 20 * t), 2)), 5) AS m FROM (SELECT kf, idx, x, y, least(greatest(((x + 10) * 60 + (y - 5) * 20) / 4000e0, 0e0), 1e0) AS t FROM pts WHERE kf < 20)""")
+@query("scl17_segment_distance", """SELECT kf, idx, round(sqrt(pow(x - (-10 + 60 * t), 2) + pow(y - (5 + 20 * t), 2)), 5) AS m FROM (SELECT kf, idx, x, y, least(greatest(((x + 10) * 60 + (y - 5) * 20) / 4000e0, 0e0), 1e0) AS t FROM pts)""")
 def scl17(spark, d):
     m = geo.point_segment_distance(F.col("x"), F.col("y"), F.lit(-10.0), F.lit(5.0), F.lit(50.0), F.lit(25.0))
-    return view(spark, d, "pts").filter("kf < 20").select("kf", "idx", F.round(m, 5).alias("m"))
+    return view(spark, d, "pts").select("kf", "idx", F.round(m, 5).alias("m"))
 
 
 @query("scl20_wire_codes", """SELECT id, CAST(floor(lat * 2147483648e0 / 180e0 + 0.5e0) AS BIGINT) AS lat_code, CAST(floor(alt * 10e0 + 0.5e0) AS BIGINT) AS tenths, least(CAST(floor(yaw_deg * 182.04e0 + 0.5e0) AS BIGINT), 65535) AS azimuth FROM nav WHERE alt >= 0""")
@@ -518,11 +518,11 @@ def scl27(spark, d):
     return view(spark, d, "berths").select("id", r6(geo.pixel_bearing(F.col("hits") * 20.0, 640.0, 800.0)).alias("bearing"), u.alias("u"), v.alias("v"))
 
 
-@query("scl30_addresses", "SELECT port, '10.0.0.' || port AS ip, '10.0.0.' || port || ':' || sensor AS source FROM frames WHERE seq < 500")
+@query("scl30_addresses", "SELECT seq, '10.0.0.' || port AS ip, '10.0.0.' || port || ':' || sensor AS source FROM frames")
 def scl30(spark, d):
-    f = view(spark, d, "frames").filter("seq < 500")
+    f = view(spark, d, "frames")
     ip = geo.normal_ip(F.concat(F.lit(" ::FFFF:10.0.0."), F.col("port")))
-    return f.select("port", ip.alias("ip"), F.concat(ip, F.lit(":"), "sensor").alias("source"))
+    return f.select("seq", ip.alias("ip"), F.concat(ip, F.lit(":"), "sensor").alias("source"))
 
 
 @query("scl31_json_fields", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -542,12 +542,12 @@ def ker01(spark, d):
     return view(spark, d, "pts").filter("abs(x) <= 105 AND abs(y) <= 105").select("kf", u.alias("u"), v.alias("v")).distinct()
 
 
-GRID = "g AS (SELECT DISTINCT CAST(floor(x / 5e0) AS BIGINT) AS u, CAST(floor(y / 5e0) AS BIGINT) AS v FROM pts WHERE kf < 60)"
+GRID = "g AS (SELECT DISTINCT CAST(floor(x / 5e0) AS BIGINT) AS u, CAST(floor(y / 5e0) AS BIGINT) AS v FROM pts)"
 AROUND = "(SELECT unnest([-1, 0, 1]) AS dx) a, (SELECT unnest([-1, 0, 1]) AS dy) b"
 
 
 def bev(spark, d):
-    return view(spark, d, "pts").filter("kf < 60").select(geo.floor_int(F.col("x") / 5).alias("u"), geo.floor_int(F.col("y") / 5).alias("v")).distinct()
+    return view(spark, d, "pts").select(geo.floor_int(F.col("x") / 5).alias("u"), geo.floor_int(F.col("y") / 5).alias("v")).distinct()
 
 
 def spread(cells: DataFrame) -> DataFrame:
@@ -576,22 +576,22 @@ def ker08(spark, d):
     return view(spark, d, "berths").select("id", F.round(F.sqrt(F.col("cx") ** 2 + F.col("cy") ** 2), 5).alias("distance"), F.round(F.degrees(F.atan2("cy", "cx")), 5).alias("bearing"))
 
 
-@query("ker15_drift_correction", f"""WITH {NEIGHBOUR}, ok AS (SELECT n.id, n.ts, n.sensor, n.value FROM nav n JOIN m ON n.id = m.id WHERE abs(m.value - m.med) <= 30e0),
- u AS (SELECT id, sensor, ts, NULL AS s, 1 AS ask FROM nav UNION ALL SELECT NULL, sensor, ts, struct_pack(t := ts, v := value), 0 FROM ok),
- w AS (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY sensor ORDER BY ts, ask ROWS UNBOUNDED PRECEDING) AS p, last_value(s IGNORE NULLS) OVER (PARTITION BY sensor ORDER BY ts DESC, ask ROWS UNBOUNDED PRECEDING) AS q FROM u),
+@query("ker15_drift_correction", f"""WITH {NEIGHBOUR}, ok AS (SELECT n.id, n.ts, n.sensor, n.unit, n.value FROM nav n JOIN m ON n.id = m.id WHERE abs(m.value - m.med) <= 30e0),
+ u AS (SELECT id, sensor, unit, ts, NULL AS s, 1 AS ask FROM nav UNION ALL SELECT NULL, sensor, unit, ts, struct_pack(t := ts, v := value), 0 FROM ok),
+ w AS (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY sensor, unit ORDER BY ts, ask ROWS UNBOUNDED PRECEDING) AS p, last_value(s IGNORE NULLS) OVER (PARTITION BY sensor, unit ORDER BY ts DESC, ask ROWS UNBOUNDED PRECEDING) AS q FROM u),
  e AS (SELECT id, ts, coalesce(p, q) AS p, coalesce(q, p) AS q FROM w WHERE ask = 1)
  SELECT id, round(p.v + (q.v - p.v) * CASE WHEN q.t > p.t THEN (ts - p.t) / (q.t - p.t) ELSE 0e0 END, 4) AS value FROM e""")
 def ker15(spark, d):
     n = view(spark, d, "nav")
-    ok = temporal.neighbour_median(n, ["sensor"], "ts", "value").filter(F.abs(F.col("value") - F.col("neighbour_median")) <= 30.0)
-    return temporal.bracket(n.select("id", "sensor", "ts"), ok, ["sensor"], ["value"], "id").select("id", F.round("value", 4).alias("value"))
+    ok = temporal.neighbour_median(n, ["sensor", "unit"], "ts", "value").filter(F.abs(F.col("value") - F.col("neighbour_median")) <= 30.0)
+    return temporal.bracket(n.select("id", "sensor", "unit", "ts"), ok, ["sensor", "unit"], ["value"], "id").select("id", F.round("value", 4).alias("value"))
 
 
-@query("ker17_lod_selective_export", TILED + """, c AS (SELECT DISTINCT lod, tile_x, tile_y FROM tiles WHERE lod > 0), n AS (SELECT DISTINCT CAST(floor(cx / 50e0) AS BIGINT) AS tile_x, CAST(floor(cy / 50e0) AS BIGINT) AS tile_y FROM berths WHERE id < 40)
+@query("ker17_lod_selective_export", TILED + """, c AS (SELECT DISTINCT lod, tile_x, tile_y FROM tiles WHERE lod > 0), n AS (SELECT DISTINCT CAST(floor(cx / 50e0) AS BIGINT) AS tile_x, CAST(floor(cy / 50e0) AS BIGINT) AS tile_y FROM berths WHERE opening_edge = 0)
  SELECT c.lod, c.tile_x, c.tile_y FROM c LEFT JOIN n ON c.tile_x = n.tile_x AND c.tile_y = n.tile_y WHERE c.lod = CASE WHEN n.tile_x IS NOT NULL THEN 2 ELSE 1 END""")
 def ker17(spark, d):
     tiles = maps.build_tiles(world(spark, d)).select("lod", "tile_x", "tile_y").filter("lod > 0").distinct()
-    near = maps.viewport_tiles(view(spark, d, "berths").filter("id < 40").selectExpr("cx AS min_x", "cy AS min_y", "cx AS max_x", "cy AS max_y")).withColumn("near", F.lit(True))
+    near = maps.viewport_tiles(view(spark, d, "berths").filter("opening_edge = 0").selectExpr("cx AS min_x", "cy AS min_y", "cx AS max_x", "cy AS max_y")).withColumn("near", F.lit(True))
     return tiles.join(near, ["tile_x", "tile_y"], "left").filter(F.col("lod") == F.when(F.col("near"), 2).otherwise(1)).select("lod", "tile_x", "tile_y")
 
 
@@ -622,9 +622,9 @@ def str08(spark, d):
     return folds.confirmed(view(spark, d, "berths").select(F.col("session").alias("key"), F.col("id").alias("seq")), 5)
 
 
-@query("str13_plane_fallback", "SELECT id, last_value(CASE WHEN valid THEN alt END IGNORE NULLS) OVER (PARTITION BY sensor = 'error' ORDER BY ts ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS plane FROM nav")
+@query("str13_plane_fallback", "SELECT id, last_value(CASE WHEN valid THEN alt END IGNORE NULLS) OVER (PARTITION BY unit, sensor = 'error' ORDER BY ts ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS plane FROM nav")
 def str13(spark, d):
-    w = Window.partitionBy(F.col("sensor") == "error").orderBy("ts").rowsBetween(-15, 0)
+    w = Window.partitionBy("unit", F.col("sensor") == "error").orderBy("ts").rowsBetween(-15, 0)
     return view(spark, d, "nav").select("id", F.last(F.when(F.col("valid"), F.col("alt")), ignorenulls=True).over(w).alias("plane"))
 
 
@@ -635,9 +635,9 @@ def str15(spark, d):
     return f.join(F.broadcast(at), (F.col("ts") <= F.col("at")) & (F.col("at") - F.col("ts") <= 3600.0)).groupBy("sensor").agg(F.max_by("seq", "ts").alias("seq"))
 
 
-@query("str16_rate_gate", """WITH RECURSIVE p AS (SELECT sensor AS key, ts, row_number() OVER (PARTITION BY sensor ORDER BY ts) AS r FROM frames WHERE seq < 1500), s AS (SELECT key, r, ts, ts AS last, true AS out FROM p WHERE r = 1 UNION ALL SELECT p.key, p.r, p.ts, CASE WHEN p.ts - s.last >= 7200e0 THEN p.ts ELSE s.last END, p.ts - s.last >= 7200e0 FROM s JOIN p ON p.key = s.key AND p.r = s.r + 1) SELECT key, CAST(floor(ts) AS BIGINT) AS ts FROM s WHERE out""")
+@query("str16_rate_gate", """WITH RECURSIVE p AS (SELECT CAST(unit AS VARCHAR) AS key, ts, row_number() OVER (PARTITION BY unit ORDER BY ts) AS r FROM frames), s AS (SELECT key, r, ts, ts AS last, true AS out FROM p WHERE r = 1 UNION ALL SELECT p.key, p.r, p.ts, CASE WHEN p.ts - s.last >= 7200e0 THEN p.ts ELSE s.last END, p.ts - s.last >= 7200e0 FROM s JOIN p ON p.key = s.key AND p.r = s.r + 1) SELECT key, CAST(floor(ts) AS BIGINT) AS ts FROM s WHERE out""")
 def str16(spark, d):
-    f = view(spark, d, "frames").filter("seq < 1500").select(F.col("sensor").alias("key"), "ts")
+    f = view(spark, d, "frames").select(F.col("unit").cast("string").alias("key"), "ts")
     return folds.rate_limited(f, 7200.0).select("key", F.floor("ts").alias("ts"))
 
 

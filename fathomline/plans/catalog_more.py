@@ -53,26 +53,26 @@ def flt18(spark, d):
     return view(spark, d, "frames").filter("generation = 1 AND port % 4 = 2 AND sensor <> 'error'").select("seq")
 
 
-@query("agg07_accumulated_bitmap", """SELECT CAST(floor(x / 16e0) AS BIGINT) AS cx, kf, bit_or(CAST(1 << CAST(CAST(floor(y / 10e0) AS BIGINT) + 8 AS INT) AS BIGINT)) AS seen FROM pts WHERE kf < 40 GROUP BY 1, 2""")
+@query("agg07_accumulated_bitmap", """SELECT CAST(floor(x / 16e0) AS BIGINT) AS cx, kf, bit_or(CAST(1 << CAST(CAST(floor(y / 10e0) AS BIGINT) + 8 AS INT) AS BIGINT)) AS seen FROM pts GROUP BY 1, 2""")
 def agg07(spark, d):
     bit = F.expr("shiftleft(1L, CAST(floor(y / 10) AS INT) + 8)")
-    return view(spark, d, "pts").filter("kf < 40").groupBy(geo.floor_int(F.col("x") / 16).alias("cx"), "kf").agg(F.bit_or(bit).alias("seen"))
+    return view(spark, d, "pts").groupBy(geo.floor_int(F.col("x") / 16).alias("cx"), "kf").agg(F.bit_or(bit).alias("seen"))
 
 
-@query("agg12_small_clusters", """WITH RECURSIVE p AS (SELECT * FROM vec WHERE vec_id % 2 = 0), e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON """ + D2 + """ <= 0.0064e0),
+@query("agg12_small_clusters", """WITH RECURSIVE p AS (SELECT * FROM vec), e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON """ + D2 + """ <= 0.0064e0),
  r AS (SELECT vec_id AS n, vec_id AS lab FROM p UNION SELECT e.b, r.lab FROM r JOIN e ON r.n = e.a), m AS (SELECT n, min(lab) AS lab FROM r GROUP BY n) SELECT lab AS component, count(*) AS size, count(*) < 3 AS small FROM m GROUP BY lab""")
 def agg12(spark, d):
-    v = view(spark, d, "vec").filter("vec_id % 2 = 0").select("vec_id", "x", "y", "z")
-    pairs = spatial.radius_join(v, v, 0.08).select(F.col("vec_id").alias("a"), F.col("r_vec_id").alias("b"))
+    v = view(spark, d, "vec").select("vec_id", "x", "y", "z")
+    pairs = spatial.radius_pairs(v, 0.08, "vec_id").select(F.col("vec_id").alias("a"), F.col("r_vec_id").alias("b"))
     labels = spatial.connected_components(v.select(F.col("vec_id").alias("node")), pairs)
     return labels.groupBy("component").agg(F.count("*").alias("size")).withColumn("small", F.col("size") < 3)
 
 
-@query("win04_clamped_interpolation", """WITH k AS (SELECT kf, ts, tx FROM kfs WHERE kf % 5 = 0), u AS (SELECT kf, ts, NULL AS s, 1 AS ask FROM kfs UNION ALL SELECT NULL, ts, struct_pack(t := ts, v := tx), 0 FROM k),
- w AS (SELECT *, last_value(s IGNORE NULLS) OVER (ORDER BY ts, ask ROWS UNBOUNDED PRECEDING) AS p, last_value(s IGNORE NULLS) OVER (ORDER BY ts DESC, ask ROWS UNBOUNDED PRECEDING) AS q FROM u), e AS (SELECT kf, ts, coalesce(p, q) AS p, coalesce(q, p) AS q FROM w WHERE ask = 1)
+@query("win04_clamped_interpolation", """WITH k AS (SELECT kf, map, ts, tx FROM kfs WHERE kf % 5 = 0), u AS (SELECT kf, map, ts, NULL AS s, 1 AS ask FROM kfs UNION ALL SELECT NULL, map, ts, struct_pack(t := ts, v := tx), 0 FROM k),
+ w AS (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY map ORDER BY ts, ask ROWS UNBOUNDED PRECEDING) AS p, last_value(s IGNORE NULLS) OVER (PARTITION BY map ORDER BY ts DESC, ask ROWS UNBOUNDED PRECEDING) AS q FROM u), e AS (SELECT kf, ts, coalesce(p, q) AS p, coalesce(q, p) AS q FROM w WHERE ask = 1)
  SELECT kf, round(p.v + (q.v - p.v) * CASE WHEN q.t > p.t THEN (ts - p.t) / (q.t - p.t) ELSE 0e0 END, 4) AS tx FROM e""")
 def win04(spark, d):
-    k = view(spark, d, "kfs").withColumn("map", F.lit(0))
+    k = view(spark, d, "kfs")
     return temporal.bracket(k.select("map", "kf", "ts"), k.filter("kf % 5 = 0"), ["map"], ["tx"], "kf").select("kf", F.round("tx", 4).alias("tx"))
 
 
@@ -131,28 +131,28 @@ def scl34(spark, d):
     return view(spark, d, "berths").select("id", F.least(F.greatest(h, F.lit(3)), F.lit(15)).alias("frames"), F.greatest((h - 10) / 100.0, F.lit(0.02)).alias("voxel"))
 
 
-@query("ker13_map_overlap", "WITH a AS (SELECT min(ts) AS lo, max(ts) AS hi FROM kfs WHERE kf < 120), b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM kfs WHERE kf >= 80) SELECT round(greatest(0e0, least(a.hi, b.hi) - greatest(a.lo, b.lo)), 3) AS overlap, (SELECT count(*) FROM kfs k WHERE k.kf >= 80 AND k.ts > a.hi) AS kept FROM a, b")
+@query("ker13_map_overlap", "WITH a AS (SELECT min(ts) AS lo, max(ts) AS hi FROM kfs WHERE tx < 10e0), b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM kfs WHERE tx >= -20e0) SELECT round(greatest(0e0, least(a.hi, b.hi) - greatest(a.lo, b.lo)), 3) AS overlap, (SELECT count(*) FROM kfs k WHERE k.tx >= -20e0 AND k.ts > a.hi) AS kept FROM a, b")
 def ker13(spark, d):
     k = view(spark, d, "kfs")
-    a = k.filter("kf < 120").agg(F.min("ts").alias("a_lo"), F.max("ts").alias("a_hi"))
-    b = k.filter("kf >= 80")
+    a = k.filter("tx < 10").agg(F.min("ts").alias("a_lo"), F.max("ts").alias("a_hi"))
+    b = k.filter("tx >= -20")
     s = b.join(F.broadcast(a)).groupBy("a_lo", "a_hi").agg(F.min("ts").alias("b_lo"), F.max("ts").alias("b_hi"), F.count_if(F.col("ts") > F.col("a_hi")).alias("kept"))
     lap = F.greatest(F.lit(0.0), F.least("a_hi", "b_hi") - F.greatest("a_lo", "b_lo"))
     return s.select(F.round(lap, 3).alias("overlap"), "kept")
 
 
-@query("ker16_virtual_keyframe", "WITH l AS (SELECT min(x) AS ax, max(x) AS zx, min(y) AS ay, max(y) AS zy FROM pts WHERE kf = 3 AND idx < 40) SELECT kf, idx FROM pts, l WHERE kf >= 100 AND x BETWEEN ax AND zx AND y BETWEEN ay AND zy AND idx % 3 = 0")
+@query("ker16_virtual_keyframe", "WITH l AS (SELECT min(x) AS ax, max(x) AS zx, min(y) AS ay, max(y) AS zy FROM pts WHERE kf = 3) SELECT kf, idx FROM pts, l WHERE kf <> 3 AND x BETWEEN ax AND zx AND y BETWEEN ay AND zy")
 def ker16(spark, d):
     p = view(spark, d, "pts")
-    live = p.filter("kf = 3 AND idx < 40").agg(F.min("x").alias("ax"), F.max("x").alias("zx"), F.min("y").alias("ay"), F.max("y").alias("zy"))
+    live = p.filter("kf = 3").agg(F.min("x").alias("ax"), F.max("x").alias("zx"), F.min("y").alias("ay"), F.max("y").alias("zy"))
     inside = F.col("x").between(F.col("ax"), F.col("zx")) & F.col("y").between(F.col("ay"), F.col("zy"))
-    return p.filter("kf >= 100 AND idx % 3 = 0").join(F.broadcast(live), inside).select("kf", "idx")
+    return p.filter("kf <> 3").join(F.broadcast(live), inside).select("kf", "idx")
 
 
-@query("str05_rollback_epochs", "SELECT seq, CAST(sum(CASE WHEN generation < p THEN 1 ELSE 0 END) OVER (PARTITION BY sensor ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch FROM (SELECT *, lag(generation) OVER (PARTITION BY sensor ORDER BY seq) AS p FROM frames)")
+@query("str05_rollback_epochs", "SELECT seq, CAST(sum(CASE WHEN generation < p THEN 1 ELSE 0 END) OVER (PARTITION BY sensor, unit ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch FROM (SELECT *, lag(generation) OVER (PARTITION BY sensor, unit ORDER BY seq) AS p FROM frames)")
 def str05(spark, d):
-    w = Window.partitionBy("sensor").orderBy("seq")
-    return temporal.islands(view(spark, d, "frames"), ["sensor"], ["seq"], F.col("generation") < F.lag("generation").over(w), "epoch").select("seq", "epoch")
+    w = Window.partitionBy("sensor", "unit").orderBy("seq")
+    return temporal.islands(view(spark, d, "frames"), ["sensor", "unit"], ["seq"], F.col("generation") < F.lag("generation").over(w), "epoch").select("seq", "epoch")
 
 
 @query("str11_recall_merge", "WITH a AS (SELECT * FROM berths WHERE id % 2 = 0 AND hits >= 5), b AS (SELECT * FROM berths WHERE id % 2 = 1) SELECT id, 'live' AS origin FROM b UNION ALL SELECT id, 'recalled' FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.kind <> a.kind AND pow(a.cx-b.cx, 2) + pow(a.cy-b.cy, 2) <= 36e0)")
@@ -163,20 +163,21 @@ def str11(spark, d):
     return live.select("id", F.lit("live").alias("origin")).unionByName(known.join(met, "id", "left_anti").select("id", F.lit("recalled").alias("origin")))
 
 
-@query("str14_overlay_pairing", """WITH r AS (SELECT seq, ts FROM frames WHERE sensor = 'signup'), p AS (SELECT DISTINCT seq, ts FROM frames WHERE sensor = 'purchase') SELECT r.seq, arg_min(p.seq, struct_pack(g := abs(r.ts - p.ts), s := p.seq)) AS pose FROM r JOIN p ON abs(r.ts - p.ts) <= 60e0 GROUP BY r.seq""")
+@query("str14_overlay_pairing", """WITH r AS (SELECT seq, ts, unit FROM frames WHERE sensor = 'signup'), p AS (SELECT DISTINCT seq, ts, unit FROM frames WHERE sensor = 'purchase') SELECT r.seq, arg_min(p.seq, struct_pack(g := abs(r.ts - p.ts), s := p.seq)) AS pose FROM r JOIN p ON r.unit = p.unit AND abs(r.ts - p.ts) <= 900e0 GROUP BY r.seq""")
 def str14(spark, d):
     f = view(spark, d, "frames")
-    out = temporal.nearest_in_time(f.filter("sensor = 'signup'"), f.filter("sensor = 'purchase'").dropDuplicates(["ts"]), 60.0, "seq")
+    out = temporal.nearest_in_time(f.filter("sensor = 'signup'"), f.filter("sensor = 'purchase'").dropDuplicates(["unit", "ts"]), 900.0, "seq", by=("unit",))
     return out.filter("r_seq IS NOT NULL").select("seq", F.col("r_seq").alias("pose"))
 
 
-@query("str04_sensor_fusion", """WITH m AS (SELECT seq, ts FROM frames WHERE sensor = 'view'), h AS (SELECT m.seq, f.sensor, arg_min(f.seq, struct_pack(g := abs(m.ts - f.ts), s := f.seq)) AS match FROM m JOIN frames f ON f.sensor <> 'view' AND abs(m.ts - f.ts) <= 100e0 GROUP BY 1, 2) SELECT seq, count(*) + 1 AS sensors FROM h GROUP BY seq""")
+@query("str04_sensor_fusion", """WITH m AS (SELECT seq, ts, unit FROM frames WHERE sensor = 'view'), h AS (SELECT m.seq, f.sensor, arg_min(f.seq, struct_pack(g := abs(m.ts - f.ts), s := f.seq)) AS match FROM m JOIN frames f ON f.sensor <> 'view' AND m.unit = f.unit AND abs(m.ts - f.ts) <= 1500e0 GROUP BY 1, 2) SELECT seq, count(*) + 1 AS sensors FROM h GROUP BY seq""")
 def str04(spark, d):
     f = view(spark, d, "frames")
-    others = f.filter("sensor <> 'view'").select("seq", "ts", "sensor")
-    master = f.filter("sensor = 'view'").select("seq", "ts").join(F.broadcast(others.select("sensor").distinct()))  # a row a sensor
+    others = f.filter("sensor <> 'view'").select("seq", "ts", "sensor", "unit")
+    master = f.filter("sensor = 'view'").select("seq", "ts", "unit")
+    master = master.withColumn("sensor", F.explode(F.array(*[F.lit(s) for s in ("click", "error", "purchase", "signup")])))
     master = master.withColumn("id", F.struct("seq", "sensor"))
-    near = temporal.nearest_in_time(master, others, 100.0, "id", by=("sensor",))
+    near = temporal.nearest_in_time(master, others, 1500.0, "id", by=("sensor", "unit"))
     return near.filter("r_seq IS NOT NULL").groupBy("seq").agg((F.count("*") + 1).alias("sensors"))
 
 
