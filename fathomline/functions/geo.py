@@ -246,3 +246,18 @@ def tile_path(lod: Column, tx: Column, ty: Column) -> Column:
 def normal_ip(ip: Column) -> Column:
     """An IPv4-mapped IPv6 address as IPv4."""
     return F.regexp_replace(F.lower(F.trim(ip)), "^::ffff:", "")
+
+
+def pan_orthographic(x: Column, y: Column, dx: Column, dy: Column, vertical: float, aspect: float, width: int, height: int) -> tuple[Column, Column]:
+    """The view's centre after a drag by pixels; unchanged where a size is not positive."""
+    if vertical <= 0 or aspect <= 0 or width <= 0 or height <= 0:
+        return x, y
+    return x - dx * (2 * vertical * aspect / width), y + dy * (2 * vertical / height)
+
+
+def pan_perspective(x: Column, y: Column, dx: Column, dy: Column, distance: Column, height: int, field_deg: float = 45.0) -> tuple[Column, Column]:
+    """The view's offset after a drag by pixels, at a camera distance of one metre or more."""
+    if height <= 0:
+        return x, y
+    unit = F.greatest(F.lit(1.0), F.abs(distance)) * (2 * math.tan(math.radians(field_deg) / 2) / height)
+    return x + dx * unit, y - dy * unit

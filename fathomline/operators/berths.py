@@ -27,13 +27,13 @@ def overlapping_rects(rects: DataFrame, least: float, size: float = 25.0) -> Dat
     def iou(batches):
         for p in batches:
             a, b = p[["cx", "cy", "w", "l", "angle"]].to_numpy(float), p[["r_cx", "r_cy", "r_w", "r_l", "r_angle"]].to_numpy(float)
-            yield pd.DataFrame({"id": p.id, "other": p.r_id, "iou": [kernels.rect_iou(tuple(x), tuple(y)) for x, y in zip(a, b, strict=True)]})
+            yield pd.DataFrame({"id": p.id, "other": p.r_id, "iou": kernels.rect_ious(a, b)})
 
     return shipped(_candidates(rects, size)).mapInPandas(iou, "id long, other long, iou double").filter(F.col("iou") >= least)
 
 
 def crossing_outlines(rects: DataFrame, size: float = 25.0) -> DataFrame:
-    """Pairs of rectangles of which some two edges cross, each pair once."""
+    """Pairs of rectangles of which some two edges cross, touch or overlap, each pair once."""
     pairs = _candidates(rects, size)
     left = geo.rect_corners(F.col("cx"), F.col("cy"), F.col("w"), F.col("l"), F.col("angle"))
     right = geo.rect_corners(F.col("r_cx"), F.col("r_cy"), F.col("r_w"), F.col("r_l"), F.col("r_angle"))
@@ -46,7 +46,10 @@ def crossing_outlines(rects: DataFrame, size: float = 25.0) -> DataFrame:
     for i in range(4):
         for j in range(4):
             a, b, c, e = (F.get("p", F.lit(i)), F.get("p", F.lit((i + 1) % 4)), F.get("q", F.lit(j)), F.get("q", F.lit((j + 1) % 4)))
-            found = found | ((side(a, b, c) * side(a, b, e) < 0) & (side(c, e, a) * side(c, e, b) < 0))
+            lap = F.lit(True)  # edges in one line meet where their boxes do
+            for k in ("x", "y"):
+                lap = lap & (F.least(a[k], b[k]) <= F.greatest(c[k], e[k])) & (F.least(c[k], e[k]) <= F.greatest(a[k], b[k]))
+            found = found | (lap & (side(a, b, c) * side(a, b, e) <= 0) & (side(c, e, a) * side(c, e, b) <= 0))
     return pairs.filter(found).select("id", "other")
 
 
@@ -89,3 +92,43 @@ def merged_intervals(intervals: DataFrame, group: list[str], gap: float) -> Data
     df = df.withColumn("_s", F.when(F.col("_p").isNull() | (F.col("a") > F.col("_p") + gap), 1).otherwise(0))
     df = df.withColumn("_g", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return df.groupBy(*group, "_g").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.count("*").alias("parts")).drop("_g")
+
+
+def extended_edges(edges: DataFrame, points: DataFrame, step: float = 0.2, most: float = 10.0, along: float = 0.2, half: float = 0.5, least: int = 2) -> DataFrame:
+    """edges (id, x1, y1, x2, y2), points (x, y) -> id, back, ahead: steps by which each end goes on.
+
+    An end goes on as long as the band across its next place (``along`` each way, ``half`` to each side) holds
+    ``least`` points.  Points meet the strips beyond the ends by grid cells; every step is counted, and the unbroken run from the end is taken.
+    """
+    steps = int(most / step + 1e-9)
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    df = edges.withColumn("_len", F.sqrt(dx * dx + dy * dy)).filter("_len > 1e-6").withColumn("ux", dx / F.col("_len")).withColumn("uy", dy / F.col("_len"))
+    ends = F.array(F.struct(F.lit(0).alias("end"), F.col("x1").alias("x"), F.col("y1").alias("y"), (-F.col("ux")).alias("ux"), (-F.col("uy")).alias("uy")), F.struct(F.lit(1).alias("end"), F.col("x2").alias("x"), F.col("y2").alias("y"), "ux", "uy"))
+    reach = (most + 2 * along) / 2
+    strips = df.select("id", F.explode(ends).alias("e")).select("id", "e.end", (F.col("e.x") + F.col("e.ux") * most / 2).alias("cx"), (F.col("e.y") + F.col("e.uy") * most / 2).alias("cy"), F.lit(2 * reach).alias("w"), F.lit(2 * half).alias("l"), F.degrees(F.atan2("e.uy", "e.ux")).alias("angle"))
+    hits = spatial.points_in_rects(points.select("x", "y"), strips).withColumn("t", F.col("u") + most / 2)
+    first, last = F.greatest(F.ceil((F.col("t") - along) / step), F.lit(1)), F.least(F.floor((F.col("t") + along) / step), F.lit(steps))
+    hits = hits.filter(first <= last).select("id", "end", F.explode(F.sequence(first, last)).alias("k")).groupBy("id", "end", "k").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    run = hits.withColumn("r", F.row_number().over(Window.partitionBy("id", "end").orderBy("k"))).filter("r = k").groupBy("id").agg(F.count_if(F.col("end") == 0).alias("back"), F.count_if(F.col("end") == 1).alias("ahead"))
+    return edges.select("id").join(run, "id", "left").select("id", F.coalesce("back", F.lit(0)).alias("back"), F.coalesce("ahead", F.lit(0)).alias("ahead"))
+
+
+def raster_candidates(cells: DataFrame, size: float, x0: float, y0: float, most: int = 12) -> DataFrame:
+    """cells (key, u, v) of a raster -> the rectangles of berth size round its connected parts, largest first, near copies suppressed.
+
+    A key's raster is bounded by its extent; parts of five cells or fewer are left out.
+    """
+
+    def run(key, pdf):
+        found = []
+        for part in kernels.connected_cells(pdf[["u", "v"]].to_numpy()):
+            if len(part) <= 5:
+                continue
+            cx, cy, w, l, angle = kernels.smallest_rect(part * size + (x0, y0))
+            if 7 <= w <= 12 and 8 <= l <= 25 and w * l >= 56:
+                found.append((float(len(part)), cx, cy, w, l, angle))
+        found.sort(key=lambda f: -f[0])
+        kept = kernels.suppress([f[1:] for f in found], [f[0] for f in found], 0.35, 1.0, most)
+        return pd.DataFrame([(key[0], k, *found[j][1:], int(found[j][0])) for k, j in enumerate(kept)], columns=["key", "rank", "cx", "cy", "w", "l", "angle", "cells"])
+
+    return shipped(cells.select("key", "u", "v")).groupBy("key").applyInPandas(run, "key long, rank long, cx double, cy double, w double, l double, angle double, cells long")

@@ -195,33 +195,53 @@ def lru_trace(rows: DataFrame, budget: int) -> DataFrame:
     return fold(rows, ["key"], ["seq"], lru_step(budget), "key string, seq long, tile string, hit boolean, evicted string, resident string")
 
 
-def merge_step(gate: float = 1.5, angle_gate: float = 20.0, size_gate: float = 0.35):
+#: Fixed value: observations are counted up to here.
+MOST_OBSERVATIONS = 2**32 - 1
+
+
+class BerthStore:
     """Berths of a map met in order: each joins the nearest known one of its kind, weighted by observations."""
 
+    NAMES = ("id", "kind", "x", "y", "w", "l", "angle", "n")
+
+    def __init__(self, known: list[list] | None = None, gate: float = 1.5, angle_gate: float = 20.0, size_gate: float = 0.35):
+        self.known = [dict(zip(self.NAMES, k, strict=True)) for k in known or []]
+        self.gate, self.angle_gate, self.size_gate = gate, angle_gate, size_gate
+
+    def records(self) -> list[list]:
+        return [[b[c] for c in self.NAMES] for b in self.known]
+
+    def observe(self, r) -> dict | None:
+        """The record that the row went to; rows that are not finite or have no size go nowhere."""
+        if not all(math.isfinite(v) for v in (r.cx, r.cy, r.w, r.l, r.angle)) or r.w <= 0 or r.l <= 0:
+            return None
+        best, best_d = None, self.gate
+        for b in self.known:
+            d = math.hypot(r.cx - b["x"], r.cy - b["y"])
+            close = abs(r.w - b["w"]) <= self.size_gate * b["w"] and abs(r.l - b["l"]) <= self.size_gate * b["l"]
+            if b["kind"] == r.kind and d <= best_d and close and axis_gap(r.angle, b["angle"]) <= self.angle_gate and (best is None or d < best_d):
+                best, best_d = b, d
+        if best is None:
+            best = {"id": r.id, "kind": r.kind, "x": r.cx, "y": r.cy, "w": r.w, "l": r.l, "angle": r.angle % 180, "n": r.n}
+            self.known.append(best)
+            return best
+        share = r.n / (best["n"] + r.n)
+        for k, v in (("x", r.cx), ("y", r.cy), ("w", r.w), ("l", r.l)):
+            best[k] += (v - best[k]) * share
+        turn = (r.angle - best["angle"] + 90) % 180 - 90
+        best["angle"] = (best["angle"] + turn * share) % 180
+        best["n"] = min(best["n"] + r.n, MOST_OBSERVATIONS)
+        return best
+
+
+def merge_step(**options):
     def step(rows, state):
-        known: list[dict] = []
+        store, key = BerthStore(**options), None
         for r in rows:
-            best, best_d = None, gate
-            for b in known:
-                d = math.hypot(r.cx - b["x"], r.cy - b["y"])
-                close = abs(r.w - b["w"]) <= size_gate * b["w"] and abs(r.l - b["l"]) <= size_gate * b["l"]
-                if b["kind"] == r.kind and d <= best_d and close and axis_gap(r.angle, b["angle"]) <= angle_gate:
-                    if best is None or d < best_d:
-                        best, best_d = b, d
-            if best is None:
-                known.append({"id": r.id, "kind": r.kind, "x": r.cx, "y": r.cy, "w": r.w, "l": r.l, "angle": r.angle, "n": r.n})
-                continue
-            total = best["n"] + r.n
-            for k, v in (("x", r.cx), ("y", r.cy), ("w", r.w), ("l", r.l)):
-                best[k] += (v - best[k]) * r.n / total
-            turn = (r.angle - best["angle"] + 90) % 180 - 90
-            best["angle"] = (best["angle"] + turn * r.n / total) % 180
-            best["n"] = total
-        for b in known:
-            yield (rows_key(r), b["id"], b["kind"], b["x"], b["y"], b["w"], b["l"], b["angle"], b["n"])
-
-    def rows_key(r):
-        return r.key
+            key = r.key
+            store.observe(r)
+        for b in store.records():
+            yield (key, *b)
 
     return step
 

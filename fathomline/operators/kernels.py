@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from fathomline.functions.ship import shipped
+from fathomline.operators.registration import nearest
 
 
 def rect_polygon(cx: float, cy: float, w: float, l: float, angle: float) -> np.ndarray:
@@ -46,6 +48,47 @@ def rect_iou(a: tuple, b: tuple) -> float:
     return common / (area(p) + area(q) - common)
 
 
+def rect_ious(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Overlap of many pairs of rectangles (cx, cy, w, l, angle) at once.
+
+    The common part of two convex outlines has as corners those of either that lie in the other, and the
+    crossings of their edges; ordered around their middle they give its area.
+    """
+
+    def corners(r):
+        c, s = np.cos(np.radians(r[:, 4])), np.sin(np.radians(r[:, 4]))
+        u, v = r[:, 2:3] / 2 * (-1, 1, 1, -1), r[:, 3:4] / 2 * (-1, -1, 1, 1)
+        return np.stack([r[:, :1] + u * c[:, None] - v * s[:, None], r[:, 1:2] + u * s[:, None] + v * c[:, None]], axis=2)
+
+    def inside(p, r):
+        c, s = np.cos(np.radians(r[:, 4]))[:, None], np.sin(np.radians(r[:, 4]))[:, None]
+        d = p - r[:, None, :2]
+        u, v = d[..., 0] * c + d[..., 1] * s, d[..., 1] * c - d[..., 0] * s
+        return (abs(u) <= r[:, 2:3] / 2 + 1e-9) & (abs(v) <= r[:, 3:4] / 2 + 1e-9)
+
+    if not len(a):
+        return np.zeros(0)
+    p, q = corners(a), corners(b)
+    e, f = np.roll(p, -1, axis=1) - p, np.roll(q, -1, axis=1) - q
+    cross = lambda x, y: x[..., 0] * y[..., 1] - x[..., 1] * y[..., 0]
+    span = cross(e[:, :, None], f[:, None])
+    gap = q[:, None] - p[:, :, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, u = cross(gap, f[:, None]) / span, cross(gap, e[:, :, None]) / span
+    met = (abs(span) > 1e-12) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+    points = np.concatenate([p, q, (p[:, :, None] + np.where(met, t, 0)[..., None] * e[:, :, None]).reshape(len(a), 16, 2)], axis=1)
+    ok = np.concatenate([inside(p, b), inside(q, a), met.reshape(len(a), 16)], axis=1)
+    n = np.maximum(ok.sum(axis=1), 1)
+    middle = (points * ok[..., None]).sum(axis=1) / n[:, None]
+    d = np.where(ok[..., None], points - middle[:, None], 0.0)
+    order = np.argsort(np.where(ok, np.arctan2(d[..., 1], d[..., 0]), np.inf), axis=1, kind="stable")
+    d = np.take_along_axis(d, order[..., None], axis=1)
+    last = np.arange(24)[None, :] >= ok.sum(axis=1)[:, None]
+    d = np.where(last[..., None], d[:, :1], d)  # places that are no corner repeat the first one
+    common = abs(cross(d, np.roll(d, -1, axis=1)).sum(axis=1)) / 2 * ok.any(axis=1)
+    return common / (a[:, 2] * a[:, 3] + b[:, 2] * b[:, 3] - common)
+
+
 def convex_hull(points: np.ndarray) -> np.ndarray:
     """Counter-clockwise hull without points on its edges."""
     pts = np.unique(points, axis=0)
@@ -63,6 +106,45 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
     return np.array(half(pts) + half(pts[::-1]))
 
 
+def smallest_rect(points: np.ndarray) -> tuple[float, float, float, float, float]:
+    """The smallest rectangle round points: centre, short and long side, axis of the short side in degrees of [0, 180).
+
+    One of its sides lies along an edge of the hull.
+    """
+    hull = convex_hull(points)
+    if len(hull) < 3:
+        middle, span = hull.mean(axis=0), hull[-1] - hull[0]
+        return float(middle[0]), float(middle[1]), 0.0, float(np.hypot(*span)), float((math.degrees(math.atan2(span[1], span[0])) + 90) % 180)
+    edges = np.roll(hull, -1, axis=0) - hull
+    best = None
+    for angle in np.unique(np.arctan2(edges[:, 1], edges[:, 0]) % (math.pi / 2)):
+        c, s = math.cos(angle), math.sin(angle)
+        turned = hull @ np.array([[c, -s], [s, c]])
+        low, high = turned.min(axis=0), turned.max(axis=0)
+        w, l = high - low
+        if best is None or w * l < best[0] - 1e-12:
+            x, y = (low + high) / 2
+            best = (w * l, c * x - s * y, s * x + c * y, w, l, math.degrees(angle))
+    _, cx, cy, w, l, angle = best
+    return (float(cx), float(cy), float(w), float(l), angle % 180) if w <= l else (float(cx), float(cy), float(l), float(w), (angle + 90) % 180)
+
+
+def connected_cells(cells: np.ndarray) -> list[np.ndarray]:
+    """The parts of a set of raster cells that touch by side or corner."""
+    left, out = set(map(tuple, cells.tolist())), []
+    while left:
+        part, waiting = [], [left.pop()]
+        while waiting:
+            u, v = waiting.pop()
+            part.append((u, v))
+            for near in itertools.product((u - 1, u, u + 1), (v - 1, v, v + 1)):
+                if near in left:
+                    left.discard(near)
+                    waiting.append(near)
+        out.append(np.array(sorted(part), float))
+    return sorted(out, key=lambda p: p[0].tolist())
+
+
 def suppress(boxes: list[tuple], scores: list[float], iou: float = 0.35, centre: float = 1.0, most: int | None = None) -> list[int]:
     """Greedy suppression by score: indices kept."""
     kept: list[int] = []
@@ -99,6 +181,24 @@ def fit_plane(points: np.ndarray, tolerance: float = 0.08, tilt_deg: float = 20.
     return None if n[2] < steep else (float(n[0]), float(n[1]), float(n[2]), float(-centre @ n))
 
 
+def neighbour_counts(points: np.ndarray, asked: np.ndarray, radius: float) -> np.ndarray:
+    """How many points lie within the radius of each asked one; points meet by grid cells."""
+    low = np.floor(points.min(axis=0) / radius).astype(np.int64) - 2
+    cells, own = (np.floor(x / radius).astype(np.int64) - low for x in (points, asked))
+    span = np.maximum(cells.max(axis=0), own.max(axis=0)) + 3
+    weight = np.array([span[1] * span[2], span[2], 1])
+    order = np.argsort(cells @ weight, kind="stable")
+    key, out = (cells @ weight)[order], np.zeros(len(asked), np.int64)
+    for shift in itertools.product((-1, 0, 1), repeat=3):
+        want = (own + shift) @ weight
+        lo, hi = np.searchsorted(key, want, "left"), np.searchsorted(key, want, "right")
+        n = hi - lo
+        who = np.repeat(np.arange(len(asked)), n)
+        at = order[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+        out += np.bincount(who[np.linalg.norm(asked[who] - points[at], axis=1) <= radius], minlength=len(asked))
+    return out
+
+
 def remove_water(frames: DataFrame, clearance: float = 0.25, band: float = 1.0, radius: float = 0.35, neighbours: int = 2, fallback: int = 15, **plane) -> DataFrame:
     """frames (key, frame, ts, x, y, z) -> the points above the water; a lost plane is remembered for some frames."""
 
@@ -121,15 +221,8 @@ def remove_water(frames: DataFrame, clearance: float = 0.25, band: float = 1.0,
             keep = ok & (h > clearance)
             low = keep & (h <= clearance + band)
             if neighbours > 0 and low.any():
-                q = p[keep]
-                cells: dict[tuple, list[int]] = {}
-                for k, c in enumerate(map(tuple, np.floor(q / radius).astype(int))):
-                    cells.setdefault(c, []).append(k)
-                for i in np.flatnonzero(low):
-                    c = np.floor(p[i] / radius).astype(int)
-                    near = [k for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) for k in cells.get((c[0] + dx, c[1] + dy, c[2] + dz), ())]
-                    if (np.linalg.norm(q[near] - p[i], axis=1) <= radius).sum() - 1 < neighbours:
-                        keep[i] = False
+                counts = neighbour_counts(p[keep], p[low], radius) - 1
+                keep[np.flatnonzero(low)[counts < neighbours]] = False
             out.append(f[keep])
         return pd.concat(out)[["key", "frame", "ts", "x", "y", "z"]]
 
@@ -145,23 +238,6 @@ def rigid_fit_2d(source: np.ndarray, target: np.ndarray) -> tuple[float, float,
     return yaw, float(b[0] - (c * a[0] - n * a[1])), float(b[1] - (n * a[0] + c * a[1]))
 
 
-def nearest(target: np.ndarray, source: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index of and distance to each source point's nearest target within reach (-1 and inf without one)."""
-    cells: dict[tuple, list[int]] = {}
-    for k, c in enumerate(map(tuple, np.floor(target / reach).astype(int))):
-        cells.setdefault(c, []).append(k)
-    index, dist = np.full(len(source), -1), np.full(len(source), np.inf)
-    shifts = np.stack(np.meshgrid(*[[-1, 0, 1]] * target.shape[1], indexing="ij"), -1).reshape(-1, target.shape[1])
-    for i, c in enumerate(np.floor(source / reach).astype(int)):
-        near = [k for d in shifts for k in cells.get(tuple(c + d), ())]
-        if near:
-            d = np.linalg.norm(target[near] - source[i], axis=1)
-            j = int(d.argmin())
-            if d[j] <= reach:
-                index[i], dist[i] = near[j], d[j]
-    return index, dist
-
-
 def icp_2d(source: np.ndarray, target: np.ndarray, reach: float = 3.0, rounds: int = 20, translation_only: bool = True) -> dict:
     """Iterated closest points in the plane: yaw, tx, ty, rmse and the share of matched points."""
     yaw, tx, ty = 0.0, 0.0, 0.0
@@ -223,6 +299,45 @@ class ConstantVelocityFilter:
         return True
 
 
+class PoseFilter:
+    """Position, attitude, velocity and turn rate in twelve states; roll and pitch are frozen at zero.
+
+    The covariance update keeps its symmetric form, and angles are wrapped where they are compared.
+    """
+
+    def __init__(self, sigma: float = 1.0, accel: float = 0.5, turn: float = 0.2):
+        self.x, self.p, self.accel, self.turn = np.zeros(12), np.eye(12) * sigma, accel, turn
+
+    def _freeze(self) -> None:
+        for k in (3, 4, 9, 10):
+            self.x[k] = 0.0
+            self.p[k, :] = self.p[:, k] = 0.0
+
+    def predict(self, dt: float) -> None:
+        f = np.eye(12)
+        f[:6, 6:] = np.eye(6) * dt
+        g = np.vstack([np.eye(6) * dt * dt / 2, np.eye(6) * dt])
+        q = np.diag([self.accel**2] * 3 + [self.turn**2] * 3)
+        self.x, self.p = f @ self.x, f @ self.p @ f.T + g @ q @ g.T
+        self._freeze()
+
+    def update(self, position: np.ndarray, yaw: float, noise: np.ndarray, gate: float = 36.0) -> bool:
+        """A measured position and yaw (radians) with their 4x4 covariance; False where it is too far off."""
+        h = np.zeros((4, 12))
+        h[:3, :3] = np.eye(3)
+        h[3, 5] = 1.0
+        y = np.concatenate([position - self.x[:3], [(yaw - self.x[5] + math.pi) % (2 * math.pi) - math.pi]])
+        s = h @ self.p @ h.T + noise
+        if float(y @ np.linalg.solve(s, y)) > gate:
+            return False
+        k = self.p @ h.T @ np.linalg.inv(s)
+        a = np.eye(12) - k @ h
+        self.x = self.x + k @ y
+        self.p = a @ self.p @ a.T + k @ noise @ k.T
+        self._freeze()
+        return True
+
+
 def smooth_track(rows: DataFrame, sigma: float = 1.0) -> DataFrame:
     """rows (key, ts, x, y, z) -> filtered position and whether the measurement was taken."""
 

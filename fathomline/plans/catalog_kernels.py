@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.operators import berths, folds, kernels
@@ -31,16 +31,16 @@ def join10(spark, d):
     return berths.overlapping_rects(b.select("id", "cx", "cy", "w", "l", "angle"), 0.05).select("id", "other", r6("iou").alias("iou"))
 
 
-@query("join17_edge_crossings", """WITH b AS (SELECT id, cx, cy, w, l FROM berths WHERE id % 3 = 0), p AS (SELECT a.id, c.id AS other, a.cx AS ax, a.cy AS ay, a.w AS aw, a.l AS al, c.cx AS bx, c.cy AS byy, c.w AS bw, c.l AS bl FROM b a JOIN b c ON a.id < c.id AND abs(a.cx - c.cx) < 30e0 AND abs(a.cy - c.cy) < 30e0)
- SELECT id, other FROM p WHERE (abs(ax - bx) < (aw + bw) / 2e0 AND abs(ay - byy) < (al + bl) / 2e0) AND NOT (abs(ax - bx) < abs(aw - bw) / 2e0 AND abs(ay - byy) < abs(al - bl) / 2e0 AND (aw - bw) * (al - bl) > 0)""")
+@query("join17_edge_crossings", """WITH b AS (SELECT id, cx, cy, w, l FROM berths), p AS (SELECT a.id, c.id AS other, a.cx AS ax, a.cy AS ay, a.w AS aw, a.l AS al, c.cx AS bx, c.cy AS byy, c.w AS bw, c.l AS bl FROM b a JOIN b c ON a.id < c.id AND abs(a.cx - c.cx) < 30e0 AND abs(a.cy - c.cy) < 30e0)
+ SELECT id, other FROM p WHERE (abs(ax - bx) <= (aw + bw) / 2e0 AND abs(ay - byy) <= (al + bl) / 2e0) AND NOT (abs(ax - bx) < abs(aw - bw) / 2e0 AND abs(ay - byy) < abs(al - bl) / 2e0 AND (aw - bw) * (al - bl) > 0)""")
 def join17(spark, d):
-    b = view(spark, d, "berths").filter("id % 3 = 0").withColumn("angle", F.lit(0.0))
+    b = view(spark, d, "berths").withColumn("angle", F.lit(0.0))
     return berths.crossing_outlines(b.select("id", "cx", "cy", "w", "l", "angle"))
 
 
 @query("agg13b_water_plane")
 def agg13b(spark, d):
-    p = view(spark, d, "pts").select(F.lit(0).cast("long").alias("key"), F.col("kf").alias("frame"), F.col("kf").cast("double").alias("ts"), "x", "y", (F.col("z") * 0.02).alias("z"))
+    p = view(spark, d, "pts").select(F.floor(F.col("kf") / 500).cast("long").alias("key"), F.col("kf").alias("frame"), F.col("kf").cast("double").alias("ts"), "x", "y", (F.col("z") * 0.02).alias("z"))
     return kernels.remove_water(p, clearance=0.005, neighbours=0, least=50).groupBy("frame").agg(F.count("*").alias("kept"))
 
 
@@ -61,8 +61,8 @@ def scl18(spark, d):
     return berths.hulls(view(spark, d, "pts").select(F.col("kf").alias("key"), "x", "y")).select("key", "corners", F.round("area", 4).alias("area"))
 
 
-@query("ker10_map_registration")
-def ker10(spark, d):
+@query("ker14_translation_only", "SELECT CAST(label AS BIGINT) AS key, -0.4e0 AS tx, 0.3e0 AS ty, 1e0 AS match FROM vec GROUP BY label")
+def ker14(spark, d):
     v = view(spark, d, "vec").select(F.col("label").cast("long").alias("key"), (F.col("x") * 40).alias("x"), (F.col("y") * 40).alias("y"))
     both = v.withColumn("side", F.lit("t")).unionByName(v.select("key", (F.col("x") + 0.4).alias("x"), (F.col("y") - 0.3).alias("y")).withColumn("side", F.lit("s")))
     found = kernels.register_maps(both, reach=2.0)
@@ -71,7 +71,7 @@ def ker10(spark, d):
 
 @query("ker11_track_filter")
 def ker11(spark, d):
-    n = view(spark, d, "nav").select(F.col("generation").alias("key"), "ts", (F.col("lat") * 100).alias("x"), (F.col("lon") * 100).alias("y"), F.col("alt").alias("z"))
+    n = view(spark, d, "nav").select(F.col("unit").alias("key"), "ts", (F.col("lat") * 100).alias("x"), (F.col("lon") * 100).alias("y"), F.col("alt").alias("z"))
     return kernels.smooth_track(n).groupBy("key").agg(F.count("*").alias("n"), F.count_if("taken").alias("taken"))
 
 
@@ -81,15 +81,20 @@ def str09(spark, d):
     return folds.stable_berths(b).select("key", "seq", "state", F.round("cx", 5).alias("cx"), F.round("angle", 5).alias("angle"))
 
 
-@query("str12_hysteresis")
+@query("str12_hysteresis", """WITH RECURSIVE p AS (SELECT CAST(unit AS VARCHAR) AS key, id AS seq, ts, value < 40e0 AS stable, row_number() OVER (PARTITION BY unit ORDER BY id) AS r FROM nav),
+ s AS (SELECT key, r, seq, ts AS last, false AS standby, CASE WHEN stable THEN 1 ELSE 0 END AS run FROM p WHERE r = 1 UNION ALL
+  SELECT key, r, seq, last, CASE WHEN run >= 3 THEN NOT standby ELSE standby END, CASE WHEN run >= 3 THEN 0 ELSE run END FROM
+   (SELECT key, r, seq, CASE WHEN same THEN was ELSE ts END AS last, standby, CASE WHEN same THEN run WHEN stable <> standby THEN run + 1 ELSE 0 END AS run FROM
+    (SELECT p.key, p.r, p.seq, p.ts, p.stable, s.last AS was, abs(p.ts - s.last) <= 1e-6 AS same, CASE WHEN p.ts < s.last - 1e-6 THEN false ELSE s.standby END AS standby, CASE WHEN p.ts < s.last - 1e-6 THEN 0 ELSE s.run END AS run FROM s JOIN p ON p.key = s.key AND p.r = s.r + 1)))
+ SELECT key, seq, standby FROM s""")
 def str12(spark, d):
-    n = view(spark, d, "nav").select(F.col("generation").cast("string").alias("key"), F.col("id").alias("seq"), "ts", (F.col("value") < 40.0).alias("stable"))
+    n = view(spark, d, "nav").select(F.col("unit").cast("string").alias("key"), F.col("id").alias("seq"), "ts", (F.col("value") < 40.0).alias("stable"))
     return folds.schedule_detection(n, 3, 3)
 
 
 @query("str17_lru_cache")
 def str17(spark, d):
-    f = view(spark, d, "frames").select(F.col("sensor").alias("key"), "seq", F.concat(F.lit("t"), F.col("port") % 9).alias("tile"), F.lit(100).cast("long").alias("size"), F.lit("t0").alias("pinned"))
+    f = view(spark, d, "frames").select(F.col("unit").cast("string").alias("key"), "seq", F.concat(F.lit("t"), F.col("port") % 9).alias("tile"), F.lit(100).cast("long").alias("size"), F.lit("t0").alias("pinned"))
     return folds.lru_trace(f, 500)
 
 
@@ -104,9 +109,3 @@ def ker19(spark, d):
 def digests(spark, d):
     h = F.xxhash64("w", "l", "angle")
     return view(spark, d, "berths").groupBy("session").agg(F.count_distinct(h).alias("shapes"))
-
-
-@query("scl26_geometry_digest")
-def scl26(spark, d):
-    b = view(spark, d, "berths")
-    return b.select("id", F.xxhash64("ts", "cx", "cy", "w", "l", "angle", "opening_edge", "kind").alias("digest"), F.row_number().over(Window.partitionBy("session").orderBy("id")).alias("rank"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from fathomline.plans import catalog, catalog_aggregates, catalog_kernels, catalog_more
+from fathomline.plans import catalog, catalog_aggregates, catalog_formats, catalog_kernels, catalog_matching, catalog_more
 
-QUERIES = catalog.QUERIES | catalog_aggregates.QUERIES | catalog_kernels.QUERIES | catalog_more.QUERIES
-ORACLE = catalog.ORACLE | catalog_aggregates.ORACLE | catalog_kernels.ORACLE | catalog_more.ORACLE
+PARTS = (catalog, catalog_aggregates, catalog_kernels, catalog_more, catalog_matching, catalog_formats)
+QUERIES = {k: v for part in PARTS for k, v in part.QUERIES.items()}
+ORACLE = {k: v for part in PARTS for k, v in part.ORACLE.items()}

@@ -6,11 +6,13 @@ A seek begins a new timeline: ``generation`` belongs to every key, so state of t
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fathomline.functions.ship import shipped
@@ -84,3 +86,52 @@ def keyframes(poses: DataFrame, move: float = 0.5, turn_deg: float = 5.0) -> Dat
                 yield pd.DataFrame(new, columns=["key", "ts", "x", "y", "z", "yaw"])
 
     return shipped(poses).groupBy("key").applyInPandasWithState(step, schema, "ts double, x double, y double, z double, yaw double", "append", GroupStateTimeout.NoTimeout)
+
+
+STORE_SCHEMA = "key string, id long, kind int, cx double, cy double, w double, l double, angle double, n long"
+
+
+def berth_store(rows: DataFrame, **options) -> DataFrame:
+    """rows (key, seq, id, kind, cx, cy, w, l, angle, n): a map's berths as observations come (update mode): the records that changed."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        store = folds.BerthStore(json.loads(state.get[0]) if state.exists else None, **options)
+        changed = {}
+        for r in pd.concat(list(batches)).sort_values("seq", kind="stable").itertuples(index=False):
+            if (met := store.observe(r)) is not None:
+                changed[int(met["id"])] = met
+        # plain numbers for the state
+        state.update((json.dumps([[v.item() if hasattr(v, "item") else v for v in k] for k in store.records()]),))
+        yield pd.DataFrame([(key[0], *(b[c] for c in store.NAMES)) for b in changed.values()], columns=["key", "id", "kind", "cx", "cy", "w", "l", "angle", "n"])
+
+    return shipped(rows).groupBy("key").applyInPandasWithState(step, STORE_SCHEMA, "store string", "update", GroupStateTimeout.NoTimeout)
+
+
+def newest_timeline(rows: DataFrame, delay: str = "1 second") -> DataFrame:
+    """rows (source, generation, ts): a seek begins a timeline; what belongs to one older than the newest seen so far by its source is dropped."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest = state.get[0] if state.exists else -1
+        for pdf in batches:
+            top = pdf.generation.cummax().clip(lower=newest)
+            newest = max(newest, int(pdf.generation.max()))
+            yield pdf[pdf.generation >= top]
+        state.update((newest,))
+
+    return shipped(rows).groupBy("source").applyInPandasWithState(step, rows.schema, "newest long", "append", GroupStateTimeout.NoTimeout)
+
+
+def ring(rows: DataFrame, keep: int = 64) -> DataFrame:
+    """rows (source, seq): a bounded ring by source: of each batch a slow reader gets the newest ``keep``, with the number it has missed so far."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("missed", T.LongType())])
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        missed, newest, seen = state.get[0] if state.exists else 0, None, 0
+        for pdf in batches:
+            seen += len(pdf)
+            newest = (pdf if newest is None else pd.concat([newest, pdf])).nlargest(keep, "seq")
+        missed += seen - len(newest)
+        state.update((missed,))
+        yield newest.sort_values("seq").assign(missed=missed)
+
+    return shipped(rows).groupBy("source").applyInPandasWithState(step, schema, "missed long", "append", GroupStateTimeout.NoTimeout)
