@@ -162,7 +162,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, simila
     pairs = pairs.withColumn("common", common).withColumn("similarity", F.col("common") / (F.size("hashes") + F.size("item_hashes") - F.col("common")))
     sure = pairs.filter(F.col("similarity") >= similarity - 1e-12).select("wid", "iid", "distance", "similarity")
     back = cut.select("wid", "iid", "row_key", "start", "n_words").join(sure, ["wid", "iid"])
-    best = back.groupBy("row_key", "iid").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "distance", "start", "n_words")).alias("best"))
+    best = back.groupBy("row_key", "iid").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n_words", "distance")).alias("best"))
     named = own.select("row_key", "doc_id").distinct()
     out = best.join(named, "row_key").join(items.select("iid", F.explode_outer("item_ids").alias("item_id")), "iid")
     return out.select("row_key", "doc_id", "item_id", F.col("best.start").alias("start"), F.col("best.n_words").alias("n_words"), (-F.col("best.s")).alias("similarity"), F.col("best.distance").alias("distance"))
@@ -179,4 +179,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", "start", "n_words", F.round("similarity", 6).alias("similarity"), "distance")
+    return found.select("doc_id", "item_id", F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"), F.round("similarity", 6).alias("similarity"))

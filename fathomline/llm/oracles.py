@@ -128,3 +128,21 @@ gs AS (SELECT host, good AS seed FROM h), bs AS (SELECT host, bad AS seed FROM h
 v AS (SELECT h.host, coalesce(u.score, 0) > coalesce(t.score, 0) AND coalesce(x.e, 0) > 0.05e0 AS bad FROM h LEFT JOIN t{STEPS} t ON t.host = h.host LEFT JOIN u{STEPS} u ON u.host = h.host LEFT JOIN x{STEPS} x ON x.host = h.host)
 SELECT page_id, d.host, path, rule, coalesce(says, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict FROM d LEFT JOIN v ON v.host = d.host
 """
+
+
+_TOKENS = rf"list_filter(string_split_regex({_LOW.format(t="coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+#: Every window of an item's size in the texts that share enough of its shingles, by exact weighted similarity; the best one is reported.
+LEAKS = rf"""
+WITH i AS (SELECT row_number() OVER () AS iid, item_id, w, len(w) AS l, least(5, len(w)) AS n FROM (SELECT item_id, {_TOKENS} AS w FROM benchmark) WHERE len(w) > 0),
+f AS (SELECT iid, s, count(*) AS tf FROM (SELECT iid, array_to_string(w[k:k + n - 1], ' ') AS s FROM (SELECT iid, w, n, unnest(range(1, l - n + 2)) AS k FROM i)) GROUP BY 1, 2),
+d AS (SELECT row_number() OVER () AS rid, doc_id, w, len(w) AS m FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS t, {_TOKENS} AS w FROM documents)),
+g AS (SELECT rid, n, k - 1 AS pos, array_to_string(w[k:k + n - 1], ' ') AS s FROM (SELECT rid, w, n, unnest(range(1, m - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM i))),
+hit AS MATERIALIZED (SELECT g.rid, f.iid, pos, g.s, tf FROM g JOIN f ON f.s = g.s JOIN i ON i.iid = f.iid AND i.n = g.n),
+pr AS (SELECT rid, iid, n, l - n + 1 AS t, least(l, m) AS size, m FROM (SELECT rid, iid, sum(least(c, tf)) AS c FROM (SELECT rid, iid, s, max(tf) AS tf, count(*) AS c FROM hit GROUP BY 1, 2, 3) GROUP BY 1, 2) JOIN i USING (iid) JOIN d USING (rid)
+  WHERE c >= 0.8e0 * (l - n + 1 + least(l, m) - n + 1) / 1.8e0 - 1e-9),
+st AS (SELECT rid, iid, n, t, size, unnest(range(0, m - size + 1)) AS start FROM pr),
+c AS (SELECT rid, iid, n, t, size, start, CAST(sum(least(k, tf)) AS BIGINT) AS c FROM (SELECT st.rid, st.iid, st.n, t, size, start, s, max(tf) AS tf, count(*) AS k FROM st JOIN hit ON hit.rid = st.rid AND hit.iid = st.iid AND pos BETWEEN start AND start + size - st.n GROUP BY ALL) GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY rid, iid ORDER BY sim DESC, start) AS r FROM (SELECT *, c / (t + size - n + 1 - c) AS sim FROM c))
+SELECT doc_id, item_id, start, CAST(size AS BIGINT) AS n_words, round(sim, 6) AS similarity FROM best JOIN i USING (iid) JOIN d USING (rid) WHERE r = 1 AND sim >= 0.8e0 - 1e-12
+"""

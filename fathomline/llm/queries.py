@@ -7,7 +7,7 @@ from .hmm import op2_language_model
 from .license import op8_license_scan
 from .mixing import op5_mixing
 from .neardup import op6_near_duplicates
-from .oracles import LICENSES, NEAR_DUPLICATES, QUALITY, QUOTES, URLS
+from .oracles import LEAKS, LICENSES, NEAR_DUPLICATES, QUALITY, QUOTES, URLS
 from .quality import op7_quality
 from .quotes import op9_quotation_linking
 from .sharding import op3_sharding
@@ -27,4 +27,4 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE: dict[str, str] = {"op4_url_filter": URLS, "op6_near_duplicates": NEAR_DUPLICATES, "op7_quality_rules": QUALITY, "op8_license_scan": LICENSES, "op9_quotation_linking": QUOTES}
+ORACLE: dict[str, str] = {"op10_decontamination": LEAKS, "op4_url_filter": URLS, "op6_near_duplicates": NEAR_DUPLICATES, "op7_quality_rules": QUALITY, "op8_license_scan": LICENSES, "op9_quotation_linking": QUOTES}
