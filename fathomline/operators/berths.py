@@ -132,3 +132,54 @@ def raster_candidates(cells: DataFrame, size: float, x0: float, y0: float, most:
         return pd.DataFrame([(key[0], k, *found[j][1:], int(found[j][0])) for k, j in enumerate(kept)], columns=["key", "rank", "cx", "cy", "w", "l", "angle", "cells"])
 
     return shipped(cells.select("key", "u", "v")).groupBy("key").applyInPandas(run, "key long, rank long, cx double, cy double, w double, l double, angle double, cells long")
+
+
+# --- berths along a line in the world -----------------------------------------------------------
+def _from_line(x, y, line: tuple):
+    """Distance to the left of a line (x1, y1, x2, y2)."""
+    x1, y1, x2, y2 = line
+    n = F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
+    return ((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)) / n
+
+
+def _middles(cx, cy, w, l, angle) -> list[tuple]:
+    """Middles of the four edges, counter-clockwise from the near one."""
+    c, s = F.cos(F.radians(angle)), F.sin(F.radians(angle))
+    return [(cx + s * l / 2, cy - c * l / 2), (cx + c * w / 2, cy + s * w / 2), (cx - s * l / 2, cy + c * l / 2), (cx - c * w / 2, cy - s * w / 2)]
+
+
+def line_side(berths: DataFrame, lines: DataFrame, near: float = 2.0, clear: float = 0.2) -> DataFrame:
+    """berths (key, cx, cy, w, l, angle, kind), lines (key, x1, y1, x2, y2) -> lines with ``side``: where most U-shaped berths near it lie (1 left, -1 right, 0 undecided)."""
+    df = berths.filter("kind = 1").join(lines, "key")
+    line = tuple(F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    gap = F.least(*[F.abs(_from_line(x, y, line)) for x, y in _middles(*[F.col(c) for c in ("cx", "cy", "w", "l", "angle")])])
+    d = _from_line(F.col("cx"), F.col("cy"), line)
+    votes = df.filter(gap <= near).groupBy("key").agg((F.count_if(d > clear) - F.count_if(d < -clear)).alias("_votes"))
+    return lines.join(votes, "key", "left").withColumn("side", F.coalesce(F.signum("_votes"), F.lit(0.0)).cast("int")).drop("_votes")
+
+
+def aligned_berths(berths: DataFrame, lines: DataFrame, most: float = 5.0, clear: float = 0.2) -> DataFrame:
+    """U-shaped berths (kind 1) laid along the line of their key, and mirrored to its expected side; the others as they are.
+
+    The edge whose middle is nearest to the line, within ``most``, comes to lie on it.  lines: key, x1, y1, x2, y2, side.
+    """
+    line = tuple(F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    df = berths.join(lines, "key", "left")
+    gaps = F.array(*[F.abs(_from_line(x, y, line)) for x, y in _middles(*[F.col(c) for c in ("cx", "cy", "w", "l", "angle")])])
+    df = df.withColumn("_gaps", gaps).withColumn("_edge", F.array_position("_gaps", F.array_min("_gaps")).cast("int") - 1)
+    fits = (F.col("kind") == 1) & (F.col("w") > 1e-3) & (F.col("l") > 1e-3) & (F.array_min("_gaps") <= most)
+    df = df.withColumn("aligned", F.coalesce(fits, F.lit(False)))
+    along = F.degrees(F.atan2(line[3] - line[1], line[2] - line[0]))
+    df = df.withColumn("_angle", geo.angle_180(along - F.when(F.col("_edge") % 2 == 0, 0.0).otherwise(90.0)))
+    turned = _middles(F.col("cx"), F.col("cy"), F.col("w"), F.col("l"), F.col("_angle"))
+    pick = lambda k: F.get(F.array(*[m[k] for m in turned]), F.col("_edge"))
+    n = F.sqrt((line[2] - line[0]) * (line[2] - line[0]) + (line[3] - line[1]) * (line[3] - line[1]))
+    nx, ny = (line[1] - line[3]) / n, (line[2] - line[0]) / n
+    df = df.withColumn("_off", _from_line(pick(0), pick(1), line)).withColumn("_x", F.col("cx") - F.col("_off") * nx).withColumn("_y", F.col("cy") - F.col("_off") * ny)
+    d = _from_line(F.col("_x"), F.col("_y"), line)
+    wrong = (F.col("side") != 0) & (F.abs(d) > clear) & (F.signum(d).cast("int") != F.col("side"))
+    df = df.withColumn("_wrong", F.coalesce(wrong, F.lit(False))).withColumn("_d", F.when(F.col("_wrong"), 2 * d).otherwise(0.0))
+    known = F.when(F.col("opening_edge").between(0, 3), F.col("opening_edge")).otherwise(F.col("_edge"))
+    new = {"cx": F.col("_x") - F.col("_d") * nx, "cy": F.col("_y") - F.col("_d") * ny, "angle": F.col("_angle"), "opening_edge": F.when(F.col("_wrong"), geo.opposite_edge(known)).otherwise(known)}
+    out = [F.when(F.col("aligned"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in berths.columns]
+    return df.select(*out, "aligned")

@@ -249,3 +249,48 @@ def merge_step(**options):
 def merged_berths(rows: DataFrame, **options) -> DataFrame:
     """rows (key, seq, id, kind, cx, cy, w, l, angle, n) -> the merged berths of each key."""
     return fold(rows, ["key"], ["seq"], merge_step(**options), "key string, id long, kind int, cx double, cy double, w double, l double, angle double, n long")
+
+
+class WorldLine:
+    """A line of the world that holds once it was seen ``confirm`` times alike, and for good after ``lock`` times."""
+
+    def __init__(self, confirm: int = 3, lock: int = 6, angle_gate: float = 8.0, offset_gate: float = 1.0):
+        self.confirm, self.lock, self.angle_gate, self.offset_gate = confirm, lock, angle_gate, offset_gate
+        self.line, self.seen, self.locked = None, 0, False
+        self.other, self.others = None, 0  # a line that may take its place
+
+    def _alike(self, a: tuple, b: tuple) -> bool:
+        dx, dy = b[2] - b[0], b[3] - b[1]
+        turn = axis_gap(math.degrees(math.atan2(a[3] - a[1], a[2] - a[0])), math.degrees(math.atan2(dy, dx)))
+        off = (dx * ((a[1] + a[3]) / 2 - b[1]) - dy * ((a[0] + a[2]) / 2 - b[0])) / math.hypot(dx, dy)
+        return turn <= self.angle_gate and abs(off) <= self.offset_gate
+
+    def observe(self, line: tuple) -> None:
+        if self.locked:
+            return
+        if not all(map(math.isfinite, line)) or math.hypot(line[2] - line[0], line[3] - line[1]) <= 1e-3:
+            self.other, self.others, self.seen = None, 0, 0
+        elif self.line is not None and self._alike(line, self.line):
+            self.other, self.others, self.seen = None, 0, self.seen + 1
+            self.locked = self.seen >= self.lock
+        else:
+            self.seen = 0
+            again = self.other is not None and self._alike(line, self.other)
+            self.other, self.others = (self.other, self.others + 1) if again else (line, 1)
+            if self.others >= self.confirm:
+                self.line, self.seen, self.other, self.others = self.other, self.confirm, None, 0
+
+
+def line_step(**options):
+    def step(rows, state):
+        world = WorldLine(**options)
+        for r in rows:
+            world.observe((r.x1, r.y1, r.x2, r.y2))
+            yield (r.key, r.seq, *(world.line or (None,) * 4), world.locked)
+
+    return step
+
+
+def world_lines(rows: DataFrame, **options) -> DataFrame:
+    """rows (key, seq, x1, y1, x2, y2) -> the line that holds after each row, and whether it is locked."""
+    return fold(rows, ["key"], ["seq"], line_step(**options), "key string, seq long, x1 double, y1 double, x2 double, y2 double, locked boolean")

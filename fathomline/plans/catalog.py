@@ -355,8 +355,8 @@ def join18(spark, d):
     return f.filter("sensor = 'click'").join(F.broadcast(end), F.col("ts") > F.col("cut")).select("seq")
 
 
-@query("join19_source_ranges", "SELECT k.kf, coalesce(r.s_nationkey, 90) AS intensity FROM kfs k LEFT JOIN supplier r ON r.s_suppkey % 2 = 0 AND k.kf >= r.s_suppkey AND k.kf < r.s_suppkey + 2")
+@query("join19_source_ranges", "SELECT k.kf, coalesce(r.s_nationkey, 90) AS intensity FROM kfs k LEFT JOIN supplier r ON k.kf >= 2 * r.s_suppkey AND k.kf < 2 * r.s_suppkey + 2")
 def join19(spark, d):
-    r = view(spark, d, "supplier").filter("s_suppkey % 2 = 0")
-    each = r.select(F.explode(F.sequence("s_suppkey", F.col("s_suppkey") + 1)).alias("kf"), "s_nationkey")
+    r = view(spark, d, "supplier").withColumn("first", 2 * F.col("s_suppkey"))
+    each = r.select(F.explode(F.sequence("first", F.col("first") + 1)).alias("kf"), "s_nationkey")
     return view(spark, d, "kfs").join(each, "kf", "left").select("kf", F.coalesce("s_nationkey", F.lit(90)).alias("intensity"))

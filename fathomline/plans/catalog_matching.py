@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import digest, geo
-from fathomline.operators import berths, registration, spatial, tracking
+from fathomline.operators import berths, dynamics, registration, spatial, tracking
 from fathomline.plans.catalog import r6
 from fathomline.plans.catalog_aggregates import AROUND, GRID, bev, spread
 from fathomline.plans.views import view, with_views
@@ -159,3 +159,21 @@ def ker03(spark, d):
     cells = p.select(F.col("kf").alias("key"), geo.floor_int(F.col("x") / 2).alias("u"), geo.floor_int(F.col("y") / 2).alias("v")).distinct()
     found = berths.raster_candidates(cells, 2.0, 0.0, 0.0)
     return found.select("key", "rank", *[F.round(c, 4).alias(c) for c in ("cx", "cy", "w", "l")], F.round("angle", 2).alias("angle"), "cells")
+
+
+@query("join14_dynamic_clusters")
+def join14(spark, d):
+    """Strips of a keyframe's points as its clusters, fifty keyframes a session."""
+    p = view(spark, d, "pts")
+    parts = p.select(F.floor(F.col("kf") / 50).alias("key"), F.col("kf").alias("frame"), (F.col("kf") * 0.1).alias("ts"), F.floor(F.col("x") / 50).alias("cluster"), "x", "y", "z")
+    return dynamics.dynamic_clusters(parts)
+
+
+@query("str10_berths_along_a_line", """WITH m AS (SELECT session, avg(cy) AS m FROM berths GROUP BY session), b AS (SELECT b.*, m.m, abs(cy - cos(radians(angle)) * l / 2e0 - m.m) AS g0, abs(cy + sin(radians(angle)) * w / 2e0 - m.m) AS g1, abs(cy + cos(radians(angle)) * l / 2e0 - m.m) AS g2, abs(cy - sin(radians(angle)) * w / 2e0 - m.m) AS g3 FROM berths b JOIN m ON m.session = b.session),
+ e AS (SELECT *, CASE least(g0, g1, g2, g3) WHEN g0 THEN 0 WHEN g1 THEN 1 WHEN g2 THEN 2 ELSE 3 END AS edge, kind = 1 AND least(g0, g1, g2, g3) <= 20e0 AS ok FROM b)
+ SELECT id, ok AS aligned, round(CASE WHEN NOT ok THEN cy WHEN edge = 0 THEN m + l / 2e0 WHEN edge = 1 THEN m - w / 2e0 WHEN edge = 2 THEN m - l / 2e0 ELSE m + w / 2e0 END, 4) AS cy, CASE WHEN NOT ok THEN angle WHEN edge % 2 = 0 THEN 0e0 ELSE 90e0 END AS angle FROM e""")
+def str10(spark, d):
+    b = view(spark, d, "berths").withColumnRenamed("session", "key")
+    ends = {"x1": F.lit(-200.0), "y1": F.col("m"), "x2": F.lit(200.0), "y2": F.col("m"), "side": F.lit(0)}
+    lines = b.groupBy("key").agg(F.avg("cy").alias("m")).withColumns(ends).drop("m")
+    return berths.aligned_berths(b, lines, most=20.0).select("id", "aligned", F.round("cy", 4).alias("cy"), "angle")

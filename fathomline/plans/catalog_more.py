@@ -68,12 +68,12 @@ def agg12(spark, d):
     return labels.groupBy("component").agg(F.count("*").alias("size")).withColumn("small", F.col("size") < 3)
 
 
-@query("win04_clamped_interpolation", """WITH k AS (SELECT kf, map, ts, tx FROM kfs WHERE kf % 5 = 0), u AS (SELECT kf, map, ts, NULL AS s, 1 AS ask FROM kfs UNION ALL SELECT NULL, map, ts, struct_pack(t := ts, v := tx), 0 FROM k),
+@query("win04_clamped_interpolation", """WITH k AS (SELECT kf, map, ts, tx FROM kfs WHERE tx > 0), u AS (SELECT kf, map, ts, NULL AS s, 1 AS ask FROM kfs UNION ALL SELECT NULL, map, ts, struct_pack(t := ts, v := tx), 0 FROM k),
  w AS (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY map ORDER BY ts, ask ROWS UNBOUNDED PRECEDING) AS p, last_value(s IGNORE NULLS) OVER (PARTITION BY map ORDER BY ts DESC, ask ROWS UNBOUNDED PRECEDING) AS q FROM u), e AS (SELECT kf, ts, coalesce(p, q) AS p, coalesce(q, p) AS q FROM w WHERE ask = 1)
  SELECT kf, round(p.v + (q.v - p.v) * CASE WHEN q.t > p.t THEN (ts - p.t) / (q.t - p.t) ELSE 0e0 END, 4) AS tx FROM e""")
 def win04(spark, d):
     k = view(spark, d, "kfs")
-    return temporal.bracket(k.select("map", "kf", "ts"), k.filter("kf % 5 = 0"), ["map"], ["tx"], "kf").select("kf", F.round("tx", 4).alias("tx"))
+    return temporal.bracket(k.select("map", "kf", "ts"), k.filter("tx > 0"), ["map"], ["tx"], "kf").select("kf", F.round("tx", 4).alias("tx"))
 
 
 @query("srt02_region_order", "SELECT session, CAST(row_number() OVER (ORDER BY count(*) DESC, sum(hits) DESC, session) AS BIGINT) AS rank FROM berths GROUP BY session")

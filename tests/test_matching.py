@@ -244,3 +244,69 @@ def test_fragments_that_lack_one_are_left_out(spark):
     rows = [("a", 1, 0, False, b"xy"), ("a", 1, 2, True, b"z"), ("a", 1, 2, True, b"z"), ("a", 2, 0, False, b"xy"), ("a", 2, 3, True, b"z"), ("b", 1, 0, False, b"q"), ("b", 3, 0, True, b"w")]
     df = spark.createDataFrame([(s, i, o, last, bytearray(p)) for s, i, o, last, p in rows], "source string, ident long, offset long, last boolean, payload binary")
     assert sorted((r.source, r.ident, bytes(r.payload)) for r in datasources.reassembled(df).collect()) == [("a", 1, b"xyz"), ("b", 3, b"w")]
+
+
+def test_moving_things_are_confirmed_and_removed(spark):
+    from fathomline.operators import dynamics
+
+    rng = np.random.default_rng(12)
+    boat, wall = rng.uniform(0, 2, (40, 3)), rng.uniform(0, 3, (60, 3)) + (30, 0, 0)
+    tracker, seen = dynamics.DynamicTracker(), []
+    for k in range(10):
+        seen.append(tracker.advance([(7, boat + (0.4 * k, 0, 0)), (8, wall + rng.normal(0, 0.01, wall.shape))], 0.2))
+    assert {(c, t) for frame in seen for c, t, _, _ in frame} == {(7, 0), (8, 1)}
+    assert [frame[0][3] for frame in seen].index(True) <= 6 and not any(frame[1][3] for frame in seen)
+    assert tracker.tracks[0].velocity == pytest.approx((2.0, 0, 0), abs=0.4)
+    assert tracker.advance([(7, boat + (4.0, 0, 0))], 0.2)[0][3]  # confirmed for good, and the wall may be missed
+    for _ in range(7):
+        tracker.advance([(9, boat + (100.0, 0, 0))], 0.2)
+    assert set(tracker.tracks) == {2}
+    rows = [(1, k, 0.2 * k, c, *map(float, p)) for k in range(10) for c, cloud in ((7, boat + (0.4 * k, 0, 0)), (8, wall)) for p in cloud]
+    df = spark.createDataFrame(rows, "key long, frame long, ts double, cluster long, x double, y double, z double")
+    left = {(r.frame, r.cluster) for r in dynamics.without_moving(df).select("frame", "cluster").distinct().collect()}
+    assert {(k, 8) for k in range(10)} <= left and (9, 7) not in left and (0, 7) in left
+
+
+def test_box_gaps():
+    from fathomline.operators import dynamics
+
+    a = np.array([(0.0, 0, 0), (1, 1, 1)])
+    assert dynamics.box_gap(a, a + 0.5) == 0 and dynamics.box_gap(a, a + (4, 5, 0)) == 5.0
+    assert dynamics.offset_between(np.zeros((7, 3)), np.zeros((7, 3))) is None
+
+
+def test_world_lines_confirm_lock_and_wait():
+    from fathomline.operators import folds
+
+    a, b = (0.0, 0.0, 10.0, 0.0), (0.0, 5.0, 10.0, 5.0)
+    world, held = folds.WorldLine(), []
+    for line in [a, a, (float("nan"),) * 4, a, a, a]:
+        world.observe(line)
+        held.append(world.line)
+    assert held == [None] * 5 + [a] and not world.locked  # a lost frame begins anew
+    for line in (b, a, b, b, b):
+        world.observe(line)
+    assert world.line == b and not world.locked
+    for _ in range(3):
+        world.observe((0.0, 5.2, 10.0, 5.4))
+    assert world.locked and world.line == b
+    for _ in range(5):
+        world.observe(a)
+    assert world.line == b
+
+
+def test_berths_lie_along_a_turned_line_on_its_side(spark):
+    from fathomline.operators import berths
+
+    c, s = math.cos(math.radians(30)), math.sin(math.radians(30))
+    place = lambda u, v: (u * c - v * s, u * s + v * c)
+    rows = [("a", 1, *place(10, 5.5), 8.0, 12.0, 27.0, 1, 0), ("a", 2, *place(30, -5.0), 8.0, 12.0, 33.0, 1, 2), ("a", 3, *place(50, 6.2), 8.0, 12.0, 30.0, 1, 7), ("a", 4, *place(70, 30), 8.0, 12.0, 30.0, 1, 0), ("a", 5, *place(90, 6), 8.0, 12.0, 30.0, 2, 0)]
+    b = spark.createDataFrame(rows, "key string, id long, cx double, cy double, w double, l double, angle double, kind int, opening_edge int")
+    lines = spark.createDataFrame([("a", 0.0, 0.0, 10 * c, 10 * s)], "key string, x1 double, y1 double, x2 double, y2 double")
+    lines = berths.line_side(b, lines)
+    assert lines.first().side == 1
+    got = {r.id: r for r in berths.aligned_berths(b, lines).collect()}
+    assert [got[k].aligned for k in range(1, 6)] == [True, True, True, False, False]
+    for k, u in ((1, 10), (2, 30), (3, 50)):
+        assert (got[k].cx, got[k].cy) == pytest.approx(place(u, 6.0)) and got[k].angle == pytest.approx(30.0)
+    assert [got[k].opening_edge for k in range(1, 4)] == [0, 0, 0]
