@@ -44,7 +44,14 @@ def agg13b(spark, d):
     return kernels.remove_water(p, clearance=0.005, neighbours=0, least=50).groupBy("frame").agg(F.count("*").alias("kept"))
 
 
-@query("agg19b_ordered_merge")
+@query("agg19b_ordered_merge", """WITH RECURSIVE p AS (SELECT session AS key, id, kind, cx, cy, CAST(w AS DOUBLE) AS w, CAST(l AS DOUBLE) AS l, angle, CAST(hits AS BIGINT) AS n, row_number() OVER (PARTITION BY session ORDER BY id) AS r FROM berths),
+ s AS (SELECT key, r, [struct_pack(id := id, kind := kind, x := cx, y := cy, w := w, l := l, angle := angle, n := n)] AS known FROM p WHERE r = 1 UNION ALL
+  SELECT key, r, CASE WHEN best IS NULL THEN list_append(known, struct_pack(id := id, kind := kind, x := cx, y := cy, w := w, l := l, angle := angle, n := n)) ELSE list_transform(known, lambda b, i: CASE WHEN i <> best THEN b ELSE
+    struct_pack(id := b.id, kind := b.kind, x := b.x + (cx - b.x) * (n / (b.n + n)), y := b.y + (cy - b.y) * (n / (b.n + n)), w := b.w + (w - b.w) * (n / (b.n + n)), l := b.l + (l - b.l) * (n / (b.n + n)),
+     angle := (b.angle + ((angle - b.angle + 270e0) % 180e0 - 90e0) * (n / (b.n + n)) + 180e0) % 180e0, n := b.n + n) END) END FROM
+   (SELECT *, list_min(list_filter(list_transform(known, lambda b, i: struct_pack(d := sqrt((cx - b.x) * (cx - b.x) + (cy - b.y) * (cy - b.y)), i := i, ok := b.kind = kind AND abs(w - b.w) <= 0.35e0 * b.w AND abs(l - b.l) <= 0.35e0 * b.l
+      AND least((angle - b.angle + 180e0) % 180e0, 180e0 - (angle - b.angle + 180e0) % 180e0) <= 60e0)), lambda c: c.ok AND c.d <= 30e0)).i AS best FROM (SELECT p.*, s.known FROM s JOIN p ON p.key = s.key AND p.r = s.r + 1)))
+ SELECT key, b.id AS id, b.kind AS kind, round(b.x, 4) AS cx, round(b.y, 4) AS cy, b.n AS n FROM (SELECT key, unnest(known) AS b FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY r DESC) AS last FROM s) WHERE last = 1)""")
 def agg19b(spark, d):
     b = view(spark, d, "berths").select(F.col("session").alias("key"), F.col("id").alias("seq"), "id", "kind", "cx", "cy", F.col("w").cast("double").alias("w"), F.col("l").cast("double").alias("l"), "angle", F.col("hits").cast("long").alias("n"))
     return folds.merged_berths(b, gate=30.0, angle_gate=60.0).select("key", "id", "kind", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"), "n")
@@ -92,7 +99,12 @@ def str12(spark, d):
     return folds.schedule_detection(n, 3, 3)
 
 
-@query("str17_lru_cache")
+@query("str17_lru_cache", """WITH RECURSIVE p AS (SELECT CAST(unit AS VARCHAR) AS key, seq, 't' || (port % 9) AS tile, row_number() OVER (PARTITION BY unit ORDER BY seq) AS r FROM frames),
+ s AS (SELECT key, r, seq, tile, false AS hit, '' AS evicted, [tile] AS held FROM p WHERE r = 1 UNION ALL
+  SELECT key, r, seq, tile, hit, coalesce(victim, ''), CASE WHEN victim IS NULL THEN held ELSE list_filter(held, lambda x: x <> victim) END FROM
+   (SELECT *, CASE WHEN len(held) > 5 THEN list_filter(held, lambda x: x <> tile AND x <> 't0')[1] END AS victim FROM
+    (SELECT p.key, p.r, p.seq, p.tile, list_contains(s.held, p.tile) AS hit, list_append(list_filter(s.held, lambda x: x <> p.tile), p.tile) AS held FROM s JOIN p ON p.key = s.key AND p.r = s.r + 1)))
+ SELECT key, seq, tile, hit, evicted, array_to_string(held, ',') AS resident FROM s""")
 def str17(spark, d):
     f = view(spark, d, "frames").select(F.col("unit").cast("string").alias("key"), "seq", F.concat(F.lit("t"), F.col("port") % 9).alias("tile"), F.lit(100).cast("long").alias("size"), F.lit("t0").alias("pinned"))
     return folds.lru_trace(f, 500)
