@@ -119,7 +119,7 @@ WITH p AS MATERIALIZED (SELECT row_number() OVER () AS rid, page_id, html, trans
 f(rh, rp, rule, says) AS (VALUES {_FITS}),
 best AS (SELECT rid, arg_max(rule, length(rule)) AS rule, arg_max(says, length(rule)) AS says FROM p JOIN f ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY rid),
 d AS MATERIALIZED (SELECT p.*, rule, says FROM p LEFT JOIN best USING (rid)),
-l AS (SELECT host AS a, translate(coalesce(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS b FROM (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\s*=\s*["'']?\s*([a-z][a-z0-9+.-]*://[^"''\s>]*)', 1)) AS u FROM p)),
+l AS (SELECT host AS a, translate(coalesce(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS b FROM (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '(?i)\bhref\s*=\s*["'']?\s*([a-z][a-z0-9+.-]*://[^"''\s>]*)', 1)) AS u FROM p)),
 e AS MATERIALIZED (SELECT a, b, count(*) * 1e0 AS links FROM l WHERE a <> '' AND b <> '' AND a <> b GROUP BY a, b),
 r AS MATERIALIZED (SELECT b AS a, a AS b, links FROM e),
 h AS MATERIALIZED (SELECT host, count(*) FILTER (WHERE says = 'allow') / count(*) AS good, count(*) FILTER (WHERE says = 'block') / count(*) AS bad FROM d WHERE host <> '' GROUP BY host),
