@@ -20,6 +20,8 @@ their own; an empty table gives an empty result; extra columns are dropped.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ from .common import stored, table
 
 SHARDS = 24
 BUCKETS = 256
+#: Room above an even share of the linked rows, in which groups move; at last it is evened out.
+SLACK = 0.25
 #: Rows of a part under one salt.
 SALT_ROWS = 50_000
 
@@ -69,7 +73,8 @@ def propagate(nodes: DataFrame, total: int, shards: int = SHARDS, rounds: int =
     df = stored(df.withColumn("salt", F.pmod(F.xxhash64("rid", F.lit(13)), F.col("salts"))).withColumn("shard", start), "shard-start")
     single = df.filter("chunk is null").withColumn("linked", F.lit(False))
     linked = df.filter("chunk is not null")
-    capacity = total // shards
+    # rows without a link make room; where there are too few of them, groups need some slack to move at all
+    capacity = max(total // shards, math.ceil((1 + SLACK) * linked.count() / shards))
     closed = [False] * shards
     for k in range(rounds):
         cells = linked.groupBy("hub", "chunk", "shard").agg(F.count("*").alias("n"), F.max("salts").alias("salts"))

@@ -4,6 +4,7 @@ import collections
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_text_operators import brute_components, brute_leaks, check_tokens, rows, tokens, words
@@ -31,8 +32,9 @@ def check_stages(spark, docs, sf, tmp):
     for _, _, after in (quality, near, clean, mixed):
         assert after.columns == docs.columns
     duck = duckdb.connect()
-    duck.register("documents", docs.select("doc_id", "text").toArrow())
-    kept = collections.Counter(str(r[0]) for r in duck.execute(f"SELECT doc_id FROM ({QUALITY}) WHERE kept").fetchall())
+    all_rows = rows(docs.select("doc_id", "text"))  # numbered for the SQL, which takes a doc_id as one row
+    duck.register("documents", pa.table({"doc_id": list(range(len(all_rows))), "text": pa.array([r["text"] for r in all_rows], pa.string())}))
+    kept = collections.Counter(str(all_rows[r[0]]["doc_id"]) for r in duck.execute(f"SELECT doc_id FROM ({QUALITY}) WHERE kept").fetchall())
     assert collections.Counter(str(r["doc_id"]) for r in rows(quality[2])) == kept
     before = [r for r in rows(near[1])]
     first = {i for i, _, c in brute_components(before, 5) if c == i} | {"None"}
