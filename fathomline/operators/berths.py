@@ -136,10 +136,10 @@ def raster_candidates(cells: DataFrame, size: float, x0: float, y0: float, most:
 
 # --- berths along a line in the world -----------------------------------------------------------
 def _from_line(x, y, line: tuple):
-    """Distance to the left of a line (x1, y1, x2, y2)."""
+    """Distance to the left of a line (x1, y1, x2, y2); exact where the line lies along an axis, so that equal distances stay equal."""
     x1, y1, x2, y2 = line
     n = F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
-    return ((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)) / n
+    return (x2 - x1) / n * (y - y1) - (y2 - y1) / n * (x - x1)
 
 
 def _middles(cx, cy, w, l, angle) -> list[tuple]:
