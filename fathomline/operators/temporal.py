@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,3 +111,25 @@ def seek_with_preroll(df: DataFrame, target: float, preroll: float, ts: str = "t
     """Rows from target - preroll on; ``phase`` is warm before the target and play from it."""
     kept = df.filter(F.col(ts) + eps >= target - preroll)
     return kept.withColumn("phase", F.when(F.col(ts) + eps >= target, "play").otherwise("warm"))
+
+
+def last_apart(pairs: DataFrame, own: str, other: str, when: str, dx: Column, dy: Column, least: float) -> DataFrame:
+    """The last ``other`` by ``own`` whose dx² + dy² reaches ``least``.
+
+    Squares are those of the C library's pow, as in the SQL; it and a product differ in the last place, so pairs at the
+    limit are collected and decided by it.
+    """
+    product, edge = dx * dx + dy * dy, least * 1e-9
+
+    @F.udf(f"struct<t:double,o:{pairs.schema[other].dataType.simpleString()}>")
+    def decided(at_limit):
+        return max(((p.t, p.o) for p in at_limit if math.pow(p.dx, 2.0) + math.pow(p.dy, 2.0) >= least), default=None)
+
+    near = pairs.withColumns({"_dx": dx, "_dy": dy, "_d2": product}).filter(F.col("_d2") >= least - edge)
+    sure = F.col("_d2") > least + edge
+    found = near.groupBy(own).agg(
+        F.max(F.when(sure, F.struct(F.col(when).alias("t"), F.col(other).alias("o")))).alias("_sure"),
+        F.collect_list(F.when(~sure, F.struct(F.col(when).alias("t"), F.col(other).alias("o"), F.col("_dx").alias("dx"), F.col("_dy").alias("dy")))).alias("_edge"),
+    )
+    last = F.greatest("_sure", decided("_edge"))
+    return found.withColumn("_last", last).filter(F.col("_last").isNotNull()).select(own, F.col("_last.o").alias(other))
