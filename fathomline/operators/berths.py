@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,24 +69,37 @@ def suppressed(rects: DataFrame, iou: float = 0.35, centre: float = 1.0, most: i
     return shipped(rects).groupBy("key").applyInPandas(run, T.StructType([rects.schema["key"], rects.schema["id"], T.StructField("rank", T.LongType())]))
 
 
+#: Points of a key in a batch from which its hull is made there.
+PART = 256
+
+
+def part_hulls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Points of a key by their hull, where a batch has ``PART`` of them; the others in one table."""
+    for p in batches:
+        n = p.groupby("key")["key"].transform("size")
+        yield p[n < PART]
+        for key, g in p[n >= PART].groupby("key"):
+            h = kernels.convex_hull(g[["x", "y"]].to_numpy(float))
+            yield pd.DataFrame({"key": key, "x": h[:, 0], "y": h[:, 1]})
+
+
 def hulls(points: DataFrame) -> DataFrame:
     """points (key, x, y) -> corners and area of each key's convex hull.
 
-    Each task first reduces what it has of a key to that part's hull: a hull of hulls is the hull.
+    Each task first reduces what it has of a key to that part's hull, where it has ``PART`` points of it: a hull of hulls is the
+    hull.  The others go on as they are.
     """
 
-    def reduce(batches):
-        for p in batches:
-            for key, g in p.groupby("key"):
-                h = kernels.convex_hull(g[["x", "y"]].to_numpy(float))
-                yield pd.DataFrame({"key": key, "x": h[:, 0], "y": h[:, 1]})
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = kernels.convex_hull(pdf[["x", "y"]].to_numpy(float))
-        return pd.DataFrame([{"key": pdf.key.iloc[0], "corners": len(h), "area": kernels.area(h) if len(h) > 2 else 0.0}])
+    def run(batches):
+        for b in batches:
+            lists = b.column("p")
+            ends, flat = lists.offsets.to_numpy(), lists.values
+            xy = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in "xy"], axis=1)
+            found = [kernels.convex_hull(xy[i:j]) for i, j in itertools.pairwise(ends)]
+            yield pa.RecordBatch.from_pydict({"key": b.column("key"), "corners": pa.array([len(h) for h in found], pa.int64()), "area": pa.array([kernels.area(h) if len(h) > 2 else 0.0 for h in found], pa.float64())})
 
-    part = shipped(points).mapInPandas(reduce, "key long, x double, y double")
-    return part.groupBy("key").applyInPandas(run, "key long, corners long, area double")
+    part = shipped(points.select("key", "x", "y")).mapInPandas(part_hulls, "key long, x double, y double")
+    return part.groupBy("key").agg(F.collect_list(F.struct("x", "y")).alias("p")).mapInArrow(run, "key long, corners long, area double")
 
 
 def merged_intervals(intervals: DataFrame, group: list[str], gap: float) -> DataFrame:

@@ -103,7 +103,8 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
             out.append(p)
         return out[:-1]
 
-    return np.array(half(pts) + half(pts[::-1]))
+    rows = pts.tolist()
+    return np.array(half(rows) + half(rows[::-1]))
 
 
 def smallest_rect(points: np.ndarray) -> tuple[float, float, float, float, float]:
