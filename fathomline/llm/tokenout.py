@@ -23,7 +23,7 @@ empty table gives no file and an empty result.
 
 from __future__ import annotations
 
-import re
+import itertools
 import struct
 import uuid
 from array import array
@@ -50,6 +50,8 @@ FILE_IDS = 16 << 20
 RANGE_CHARS = 24
 #: Words whose ids a worker remembers.
 MEMORY_WORDS = 300_000
+#: New words that go through the tokenizer at once, which holds some hundred bytes a character meanwhile.
+ABREAST = 2_048
 
 
 class EliasFano:
@@ -142,7 +144,7 @@ class TextEncoder:
     """Ids of whole texts from a tokenizer that drops white space between words.
 
     Such a tokenizer maps each word on its own, so a worker encodes each word once and
-    remembers it.  Plain lower-case words go straight to the tokenizer's model (``quick``);
+    remembers it.  Plain lower-case words go straight to the tokenizer's model, all new ones of a slice as one text;
     all others, and all words of tokenizers of another kind, take its full path.
     """
 
@@ -154,7 +156,7 @@ class TextEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "H" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "I"
@@ -163,35 +165,65 @@ class TextEncoder:
         steps = json.dumps([spec.get("normalizer"), spec.get("pre_tokenizer")])
         self.by_word = '"Lowercase"' in steps and '"Removed"' in steps and spec["model"].get("end_of_word_suffix") is not None and not any(x["lstrip"] or x["rstrip"] for x in spec["added_tokens"])
         self.marks = [x["content"].lower() for x in spec["added_tokens"]]
-        self.quick = re.compile(f"[a-z{self.LETTERS}]+")
-        shown = [chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))]
-        as_char = {ord(c): c for c in shown}
-        hidden = [b for b in range(256) if b not in as_char]
-        as_char |= {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.spelt = {ord(c): "".join(as_char[b] for b in c.encode()) for c in self.LETTERS}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.spelt = np.arange(256, dtype="<u4")  # the character by which the vocabulary writes a byte
+        hidden = np.setdiff1d(self.spelt, shown)
+        self.spelt[hidden] = 256 + np.arange(len(hidden))
+        self.spelt[32] = 32  # parts the words
+        tails = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"}
+        suffix, self.bare = spec["model"].get("end_of_word_suffix"), None
+        if self.by_word and suffix and all(len(x) == 1 for x in tails.values()):
+            self.tails = {c: x[0] for c, x in tails.items()}
+            self.is_end = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+            self.is_end[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith(suffix)]] = True
+            self.bare = Tokenizer(self.tokenizer.model)
+            self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.index: dict[str, int] = {}
         self.pool = array(self.kind, [end_id])
         self.starts = array("q", [0, 1])  # entry 0: the end
 
-    def _learn(self, words: list[str]) -> None:
-        plain, slow, slow_words = self.quick.fullmatch, {}, []
-        model = self.tokenizer.model
-        for w in words:
-            body, tail = (w[:-1], w[-1]) if w[-1:] in (".", ",") and plain(w[:-1]) else (w, "")
-            if not plain(body):
-                slow_words.append(w)
-        if slow_words:
-            slow = {w: e.ids for w, e in zip(slow_words, self.tokenizer.encode_batch_fast(slow_words, add_special_tokens=False), strict=True)}
-        ends = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"}
-        for w in words:
-            if (ids := slow.get(w)) is None:
-                body, tail = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
-                ids = [t.id for t in model.tokenize(body.translate(self.spelt))]
-                if tail:
-                    ids = ids + ends[tail]
-            self.index[w] = len(self.starts) - 1
-            self.pool.extend(ids)
-            self.starts.append(len(self.pool))
+    def _plain(self, bodies: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words that normalisation leaves alone, and where each word's end; None if the model does not mark every end."""
+        parts = []
+        for k in range(0, len(bodies), ABREAST):
+            joined = " ".join(bodies[k : k + ABREAST])
+            if not joined.isascii():
+                joined = self.spelt[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-32-le")
+            parts.append(np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.uint32))
+        ids = np.concatenate(parts)
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        return (ids, ends) if len(ends) == len(bodies) and (not len(ends) or ends[-1] == len(ids)) else None
+
+    def _learn(self, words: pa.Array) -> list[str]:
+        """Words that are not known yet; the plain ones go through the model as one text, whose words end with marked tokens."""
+        plain = pc.match_substring_regex(words, f"^[a-z{self.LETTERS}]+[.,]?$").to_numpy(zero_copy_only=False)
+        where = np.flatnonzero(plain)
+        names = words.to_numpy(zero_copy_only=False)
+        quick, slow, tails = names[where].tolist(), names[~plain].tolist(), []
+        if quick:
+            taken = words.take(pa.array(where))
+            bodies = pc.utf8_rtrim(taken, ".,").to_numpy(zero_copy_only=False).tolist()
+            found = self._plain(bodies) if self.bare else None
+            if found is None:
+                slow, quick = quick + slow, []
+            else:
+                ids, ends = found
+                tails = np.where(pc.ends_with(taken, ".").to_numpy(zero_copy_only=False), self.tails["."], np.where(pc.ends_with(taken, ",").to_numpy(zero_copy_only=False), self.tails[","], -1))
+                with_tail = tails >= 0
+                ids = np.insert(ids, ends[with_tail], tails[with_tail])
+                self._keep(quick, ids, ends + np.cumsum(with_tail))
+        if slow:
+            for k in range(0, len(slow), ABREAST):
+                some = slow[k : k + ABREAST]
+                parts = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                self._keep(some, np.fromiter(itertools.chain.from_iterable(parts), np.uint32), np.cumsum([len(x) for x in parts]))
+        return quick + slow
+
+    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        first, at = len(self.starts) - 1, len(self.pool)
+        self.index.update(zip(words, range(first, first + len(words)), strict=True))
+        self.pool.frombytes(ids.astype(self.pool.typecode).tobytes())
+        self.starts.frombytes((ends + at).astype(np.int64).tobytes())
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, the end id after each text, and their number by text."""
@@ -203,11 +235,12 @@ class TextEncoder:
         split = pc.ascii_split_whitespace(lowered)
         bounds = split.offsets.to_numpy()
         coded = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         had = len(self.starts)
-        new = [w for w in words if w not in self.index]
-        self._learn(new)
-        of = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+        of = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), dtype=np.int64, count=len(words))
+        unknown = np.flatnonzero(of < 0)
+        new = self._learn(coded.dictionary.take(pa.array(unknown)))
+        of[unknown] = np.fromiter(map(self.index.__getitem__, map(words.__getitem__, unknown.tolist())), dtype=np.int64, count=len(unknown))
         entry = of[coded.indices.to_numpy()]
         ends = bounds[1:] - bounds[0]
         entry = np.insert(entry, ends, 0)

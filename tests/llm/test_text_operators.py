@@ -391,3 +391,25 @@ def test_leaks(spark, sf, odd_docs, no_docs):
     assert rows(decontam.find_leaks(no_docs, bench)) == [] and rows(decontam.find_leaks(odd_docs, odd.limit(0))) == []
     kept = {r["text"] for r in rows(decontam.decontaminate(odd_docs, odd))}
     assert "word" not in kept and "another text under a used id" in kept and None in kept
+
+
+def test_op1_new_words_are_learnt_together():
+    import sys
+
+    import pyarrow as pa
+
+    from fathomline.llm.tokenout import TextEncoder, default_tokenizer
+
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzßéœÿà"))
+    words = ["".join(rng.choice(letters, n)) + tail for n, tail in zip(rng.integers(1, 14, 4000), rng.choice(["", "", ".", ","], 4000))]
+    texts = [" ".join(words[k : k + 40]) for k in range(0, 4000, 40)] + ["Ünder 3.5 a.b, .. x, あ  z", "", None]
+    encoder, calls = TextEncoder(default_tokenizer(), 2), []
+    sys.setprofile(lambda _, event, __: calls.append(1) if event == "c_call" else None)
+    try:
+        ids, counts = encoder.encode(pa.array(texts))
+    finally:
+        sys.setprofile(None)
+    want = [[*e.ids, 2] for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
+    assert len(calls) < 2000  # one by one: several calls a word
