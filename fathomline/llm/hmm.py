@@ -235,19 +235,20 @@ class Expected:
     def __init__(self, states: int):
         self.start, self.move, self.emit, self.log = np.zeros(states), np.zeros((states, states)), np.zeros((states, SYMBOLS)), 0.0
 
-    def add(self, model: Model, sequences: list[np.ndarray], words: list[np.ndarray] | None = None, distinct: int = 0) -> np.ndarray:
+    def add(self, model: Model, sequences: list[np.ndarray], words: list[np.ndarray] | None = None, distinct: int = 0, looked: np.ndarray | None = None) -> np.ndarray:
         """Forward-backward over sequences of symbols side by side, longest first.
 
-        Returns expected counts (distinct, states) by the numbers in ``words``, where they are given.
+        Returns expected counts (distinct, states) by the numbers in ``words``, where they are given; the lowest
+        numbers, as many as ``looked`` has rows, are added to it instead and the others count from there.
         """
         by_word = np.zeros((distinct, len(model.start)))
         order = sorted((j for j in range(len(sequences)) if len(sequences[j])), key=lambda j: -len(sequences[j]))
         for k in range(0, len(order), 256):
             mine = order[k : k + 256]
-            self._add(model, [sequences[j] for j in mine], [words[j] for j in mine] if words else None, by_word)
+            self._add(model, [sequences[j] for j in mine], [words[j] for j in mine] if words else None, by_word, looked)
         return by_word
 
-    def _add(self, model: Model, seqs: list[np.ndarray], words: list[np.ndarray] | None, by_word: np.ndarray) -> None:
+    def _add(self, model: Model, seqs: list[np.ndarray], words: list[np.ndarray] | None, by_word: np.ndarray, looked: np.ndarray | None = None) -> None:
         lengths = np.array([len(s) for s in seqs])
         steps, n, states = int(lengths[0]), len(seqs), len(model.start)
         live = n - np.searchsorted(lengths[::-1], np.arange(steps), side="right")
@@ -304,8 +305,12 @@ class Expected:
                 self.emit[k] += np.bincount(flat, weights=kept[:, k], minlength=SYMBOLS)
             if words is not None:
                 flat = padded(words, t0, t0 + len(alpha))[inside]
+                first = 0 if looked is None else len(looked)
+                low = flat < first
                 for k in range(states):
-                    by_word[:, k] += np.bincount(flat, weights=kept[:, k], minlength=len(by_word))
+                    if first:
+                        looked[:, k] += np.bincount(flat[low], weights=kept[low, k], minlength=first)
+                    by_word[:, k] += np.bincount(flat[~low] - first, weights=kept[~low, k], minlength=len(by_word))
         self.move += model.move * moved
 
     def model(self, unigram: np.ndarray) -> Model:
@@ -321,11 +326,12 @@ def _symbols(batch: pa.RecordBatch, symbol_of: np.ndarray) -> tuple[list[np.ndar
     lists = batch.column("rare")
     first = lists.offsets.to_numpy()
     rare = lists.values.slice(first[0], first[-1] - first[0])
-    table = np.concatenate([symbol_of, OWN_SYMBOLS + rare.field("k").to_numpy().astype(np.int64)])
+    table = np.concatenate([symbol_of, OWN_SYMBOLS + rare.field("k").to_numpy()]).astype(np.int32)
     codes, end = [], len(symbol_of) - 1
     for x, at in zip(batch.column("codes"), first - first[0], strict=False):
-        c = np.frombuffer(x.as_buffer(), "<u4").astype(np.int64)
-        codes.append(np.where(c > end, c + at, c))
+        c = np.frombuffer(x.as_buffer(), "<u4").astype(np.int32)
+        c[c > end] += np.int32(at)
+        codes.append(c)
     return codes, [table[c] for c in codes], rare
 
 
@@ -337,14 +343,14 @@ def _baum_welch_pass(encoded: DataFrame, model: Model, unigram: np.ndarray, v: V
     """One pass over all training texts: expected counts in tasks, sums by symbol (and by word) in a shuffle."""
     states = len(model.start)
     columns = [f"s{k}" for k in range(states)]
-    symbol_of = v.symbol_of_code()
+    symbol_of = v.symbol_of_code().astype(np.int32)
 
     def made(names, texts, kinds, rows):
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), texts, pa.array(kinds, pa.int32()), *[pa.array(rows[:, k]) for k in range(states)]], ["name", "word", "k", *columns])
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, looked, end = Expected(states), np.zeros((len(symbol_of), states)), len(symbol_of) - 1
-        waiting, tokens = [], 0
+        waiting, tokens, most = [], 0, WAITING_TOKENS // 2 if words else WAITING_TOKENS  # the rare words' counts take the other half
 
         def walk():
             batch = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
@@ -352,15 +358,14 @@ def _baum_welch_pass(encoded: DataFrame, model: Model, unigram: np.ndarray, v: V
             if not words:
                 found.add(model, symbols)
                 return None
-            sums = found.add(model, symbols, codes, len(symbol_of) + len(rare))
-            looked[:] += sums[: end + 1]
+            sums = found.add(model, symbols, codes, len(rare), looked)
             if not len(rare):
                 return None
             coded = rare.field("word").dictionary_encode()
             at, n = coded.indices.to_numpy(), len(coded.dictionary)
             kinds = np.zeros(n, np.int32)
             kinds[at] = rare.field("k").to_numpy()
-            rows = np.stack([np.bincount(at, weights=sums[end + 1 :, k], minlength=n) for k in range(states)], axis=1)
+            rows = np.stack([np.bincount(at, weights=sums[:, k], minlength=n) for k in range(states)], axis=1)
             return made(np.zeros(n, np.int32), coded.dictionary, kinds, rows)
 
         for batch in batches:
@@ -368,7 +373,7 @@ def _baum_welch_pass(encoded: DataFrame, model: Model, unigram: np.ndarray, v: V
                 part = batch.slice(k, 2_000)
                 waiting.append(part)
                 tokens += pc.sum(pc.binary_length(part.column("codes"))).as_py() // 4
-                if tokens >= WAITING_TOKENS:
+                if tokens >= most:
                     out = walk()
                     waiting, tokens = [], 0
                     if out is not None:

@@ -413,3 +413,27 @@ def test_op1_new_words_are_learnt_together():
     want = [[*e.ids, 2] for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
     assert len(calls) < 2000  # one by one: several calls a word
+
+
+def test_op2_counts_of_looked_up_words_are_added_in_place():
+    rng = np.random.default_rng(6)
+    states, looked = 3, 50_000
+    emit = rng.random((states, hmm.SYMBOLS))
+    model = hmm.Model(np.full(states, 1 / states), np.full((states, states), 1 / states), emit / emit.sum(axis=1, keepdims=True))
+    codes = [np.concatenate([rng.integers(0, looked, n), looked + rng.integers(0, 20, 5)]) for n in (1, 40, 300)]
+    symbols = [c % hmm.SYMBOLS for c in codes]
+    whole, apart, table = hmm.Expected(states), hmm.Expected(states), np.zeros((looked, states))
+    together = whole.add(model, symbols, codes, looked + 20)
+    rest = apart.add(model, symbols, codes, 20, table)
+    assert rest.shape == (20, states)
+    assert np.allclose(np.concatenate([table, rest]), together) and math.isclose(table.sum() + rest.sum(), sum(map(len, codes)))
+    assert np.allclose(whole.emit, apart.emit) and whole.log == apart.log
+
+
+def test_op2_symbols_of_a_batch_take_four_bytes():
+    rare = pa.array([[{"word": "qa", "n": 1, "k": 7}], [], [{"word": "qb", "n": 2, "k": 9}]])
+    codes = pa.array([np.array(x, "<u4").tobytes() for x in ([0, 3, 2], [1, 2], [3, 3, 2])], pa.binary())
+    got, symbols, _ = hmm._symbols(pa.RecordBatch.from_arrays([codes, rare], ["codes", "rare"]), np.array([0, 1, hmm.END]))
+    assert [c.tolist() for c in got] == [[0, 3, 2], [1, 2], [4, 4, 2]]
+    assert [x.tolist() for x in symbols] == [[0, hmm.OWN_SYMBOLS + 7, hmm.END], [1, hmm.END], [hmm.OWN_SYMBOLS + 9] * 2 + [hmm.END]]
+    assert {x.dtype for x in (*got, *symbols)} == {np.dtype(np.int32)}
