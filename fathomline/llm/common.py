@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +61,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what is run meanwhile: an executor holds each batch several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    had = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(had)) if int(had) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, had)
+
+
+def give_back() -> None:
+    """Free memory of this process goes back to the system, where the C library can do so."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _shipped: set[str] = set()
 
 

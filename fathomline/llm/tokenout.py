@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh_path, stored, table
+from .common import arrow_map, arrow_rows, fresh_path, give_back, stored, table
 
 MAGIC = b"FLTOKEN1"
 HEADER = struct.Struct("<8sBxxxIqqqqq")
@@ -44,10 +44,14 @@ END_ID = 2
 SHARD_BITS = 20
 #: Text given to the tokenizer at once, in bytes.
 SLICE_BYTES = 4 << 20
+#: Rows of a batch that Spark hands to a task.
+BATCH_ROWS = 1_000
 #: Ids after which a task closes its file and begins another: what it holds in memory.
 FILE_IDS = 16 << 20
 #: Characters of the text that part the rows of one doc id into ranges.
 RANGE_CHARS = 24
+#: Ids that a reader hands on at once.
+READ_IDS = 1 << 19
 #: Words whose ids a worker remembers.
 MEMORY_WORDS = 300_000
 #: New words that go through the tokenizer at once, which holds some hundred bytes a character meanwhile.
@@ -119,14 +123,22 @@ class EliasFano:
         return cls(n, universe, low_bits, *parts)
 
 
-def pack_shard(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """One file from doc ids in ascending order (nulls first), ids per document and all ids."""
+def shard_parts(doc_ids: list[int | None], counts: np.ndarray, ids: list[np.ndarray]) -> Iterator[bytes | memoryview]:
+    """The pieces of one file from doc ids in ascending order (nulls first), ids per document and the ids, which are not copied."""
     known = np.array([x for x in doc_ids if x is not None], dtype=np.int64)
     least = int(known[0]) if len(known) else 0
     docs = EliasFano.of(known.astype(np.uint64) - np.uint64(least % (1 << 64))).to_bytes()
     ends = EliasFano.of(np.cumsum(counts)).to_bytes()
-    head = HEADER.pack(MAGIC, ids.dtype.itemsize, len(doc_ids) - len(known), len(doc_ids), len(ids), least, len(docs), len(ends))
-    return b"".join((head, docs, ends, ids.astype(ids.dtype.newbyteorder("<")).tobytes()))
+    yield HEADER.pack(MAGIC, ids[0].dtype.itemsize, len(doc_ids) - len(known), len(doc_ids), sum(map(len, ids)), least, len(docs), len(ends))
+    yield docs
+    yield ends
+    for part in ids:
+        yield memoryview(np.ascontiguousarray(part, part.dtype.newbyteorder("<")).view(np.uint8))
+
+
+def pack_shard(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
+    """One file as bytes."""
+    return b"".join(shard_parts(doc_ids, counts, [ids]))
 
 
 def unpack_shard(data: bytes | memoryview) -> tuple[list[int | None], EliasFano, np.ndarray]:
@@ -265,6 +277,13 @@ class TextEncoder:
 _encoders: dict[tuple[str, int], TextEncoder] = {}
 
 
+def encoder_of(path: str, end_id: int) -> TextEncoder:
+    """The encoder of this process.  A task's function must come here for it: what it names itself is sent along, a new dictionary with each task."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = TextEncoder(path, end_id)
+    return _encoders[path, end_id]
+
+
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Rows in order, cut so that a slice holds about ``most`` bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -287,52 +306,57 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer_path: str, end_
         from pyarrow import fs
         from pyspark import TaskContext
 
-        key = (tokenizer_path, end_id)
-        if key not in _encoders:
-            _encoders[key] = TextEncoder(*key)
+        encoder = encoder_of(tokenizer_path, end_id)
         doc_ids, counts, parts, held, files = [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:
             shard = (TaskContext.get().partitionId() << SHARD_BITS) + files
             name = f"{shard:016d}-{uuid.uuid4().hex}.tok"
-            all_ids, all_counts = np.concatenate(parts), np.concatenate(counts)
             store, root = fs.FileSystem.from_uri(directory)
             store.create_dir(root, recursive=True)
             with store.open_output_stream(f"{root}/{name}") as out:
-                out.write(pack_shard(doc_ids, all_counts, all_ids))
-            return pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "n_docs": [len(doc_ids)], "n_tokens": [len(all_ids)]})
+                for piece in shard_parts(doc_ids, np.concatenate(counts), parts):
+                    out.write(piece)
+            return pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "n_docs": [len(doc_ids)], "n_tokens": [held]})
 
         for batch in batches:
             for rows in text_slices(batch, "text"):
-                ids, n = _encoders[key].encode(rows.column("text"))
+                ids, n = encoder.encode(rows.column("text"))
                 parts.append(ids)
                 counts.append(n)
                 doc_ids += rows.column("doc_id").to_pylist()
                 held += len(ids)
-                pa.default_memory_pool().release_unused()
+                give_back()
                 if held >= FILE_IDS:
                     yield close()
                     doc_ids, counts, parts, held, files = [], [], [], 0, files + 1
         if doc_ids:
             yield close()
+            doc_ids, counts, parts = [], [], []
+            give_back()
 
     first = F.col("doc_id").asc_nulls_first()
     dealt = docs.repartitionByRange(shards, first, F.substring("text", 1, RANGE_CHARS).asc_nulls_first()).sortWithinPartitions(first, F.col("text").asc_nulls_first())
-    return stored(arrow_map(dealt, write, "shard long, name string, n_docs long, n_tokens long"), "token-manifest")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return stored(arrow_map(dealt, write, "shard long, name string, n_docs long, n_tokens long"), "token-manifest")
 
 
 def read_token_files(spark: SparkSession, directory: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids before the document in all files), n_tokens, ids (unsigned 32-bit, little-endian)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(directory)
         for batch in batches:
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
-                doc_ids, boundary, ids = unpack_shard(content.as_buffer())
+            for name in batch.column("name").to_pylist():
+                with store.open_input_file(f"{root}/{name}") as file:
+                    doc_ids, boundary, ids = unpack_shard(file.read_buffer())
                 ends = boundary.decode().astype(np.int64)
                 at = 0
-                while at < len(ends):  # some megabytes of ids at a time
+                while at < len(ends):
                     base = int(ends[at - 1]) if at else 0
-                    to = max(at + 1, int(np.searchsorted(ends, base + (4 << 20), side="right")))
+                    to = max(at + 1, int(np.searchsorted(ends, base + READ_IDS, side="right")))
                     own = ends[at:to]
                     starts = np.concatenate(([base], own[:-1]))
                     data = ids[base : own[-1]].astype("<u4")
@@ -343,9 +367,11 @@ def read_token_files(spark: SparkSession, directory: str, manifest: DataFrame) -
                         ["name", "doc_id", "local_start", "n_tokens", "ids"],
                     )
                     at = to
+                del doc_ids, boundary, ids
+                give_back()
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(directory)
-    named = files.select(F.substring_index("path", "/", -1).alias("name"), "content")
+    named = files.select(F.substring_index("path", "/", -1).alias("name"))  # dealt to tasks by size; their content stays out of the JVM
     found = arrow_map(named, read, "name string, doc_id long, local_start long, n_tokens long, ids binary")
     # prefix sums over shards in two levels, so that no task holds more than a block of them
     block = Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

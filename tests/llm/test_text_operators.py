@@ -437,3 +437,53 @@ def test_op2_symbols_of_a_batch_take_four_bytes():
     assert [c.tolist() for c in got] == [[0, 3, 2], [1, 2], [4, 4, 2]]
     assert [x.tolist() for x in symbols] == [[0, hmm.OWN_SYMBOLS + 7, hmm.END], [1, hmm.END], [hmm.OWN_SYMBOLS + 9] * 2 + [hmm.END]]
     assert {x.dtype for x in (*got, *symbols)} == {np.dtype(np.int32)}
+
+
+def test_op1_a_file_is_written_from_its_parts():
+    import tracemalloc
+
+    parts = [np.full(1 << 20, k, np.uint16) for k in range(8)]
+    counts = np.full(8, 1 << 20)
+    tracemalloc.start()
+    sizes = [len(x) for x in tokenout.shard_parts(list(range(8)), counts, parts)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 20  # three copies before: 48 MB
+    whole = tokenout.pack_shard(list(range(8)), counts, np.concatenate(parts))
+    assert sum(sizes) == len(whole) and whole == b"".join(tokenout.shard_parts(list(range(8)), counts, parts))
+    docs, ends, ids = tokenout.unpack_shard(whole)
+    assert docs == list(range(8)) and ends.decode().tolist() == np.cumsum(counts).tolist() and ids.tolist() == np.concatenate(parts).tolist()
+
+
+def test_op1_batches_of_bounded_rows(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    had, kept = spark.conf.get(key), tokenout.stored
+    monkeypatch.setattr(tokenout, "stored", lambda df, label: seen.append(int(spark.conf.get(key))) or kept(df, label))
+    docs = spark.range(2500).selectExpr("id AS doc_id", "repeat('ab ', 3) AS text")
+    got = rows(tokenout.token_output(docs, tokenout.default_tokenizer()).drop("ids"))
+    assert len(got) == 2500 and seen == [tokenout.BATCH_ROWS] and spark.conf.get(key) == had
+
+
+def test_op1_an_encoder_outlives_its_task(spark):
+    docs = spark.range(64).selectExpr("id AS doc_id", "'some words' AS text").repartition(8)
+    built = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        from fathomline.llm import tokenout as inside
+
+        kept = inside.TextEncoder.__init__
+        inside.TextEncoder.__init__ = lambda self, *a: (built.add(1), kept(self, *a))[1]
+        try:
+            yield from inner(batches)
+        finally:
+            inside.TextEncoder.__init__ = kept
+
+    from fathomline.llm import common
+
+    with pytest.MonkeyPatch.context() as patch:
+        wrapped = []
+        patch.setattr(tokenout, "arrow_map", lambda df, fn, schema: wrapped.append(fn) or common.arrow_map(df, count, schema))
+        inner = lambda batches: wrapped[0](batches)
+        manifest = tokenout.write_token_files(docs, tokenout.fresh_path(spark, "tokens"), tokenout.default_tokenizer(), 2, shards=48)
+    assert sum(r.n_docs for r in manifest.collect()) == 64
+    assert built.value <= 16  # one a task before, now one a worker
