@@ -73,6 +73,18 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, had)
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run meanwhile go when it ends; for results that are stored."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    had = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, had)
+
+
 def give_back() -> None:
     """Free memory of this process goes back to the system, where the C library can do so."""
     import pyarrow as pa

@@ -41,8 +41,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stored, table
-from .tokenout import text_slices
+from .common import arrow_map, arrow_rows, fresh_path, shuffles_dropped, stored, table
+from .tokenout import BATCH_ROWS, text_slices
 from .words import coded_words
 
 STATES = 8
@@ -54,10 +54,17 @@ LOOKUP_BYTES = 64
 SETTLING = 4
 PASSES = 3
 #: Steps times sequences of a block, and tokens walked side by side.
-BLOCK_TOKENS = 1 << 17
-WAITING_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 15
+#: Sequences walked side by side, and steps after which vectors are scaled.
+ABREAST = 512
+SCALED = 8
+WAITING_TOKENS = 1 << 22
+#: Looked-up words whose counts travel as one row.
+LOOKED_ROWS = 1_024
 #: Tasks of a pass over the corpus, at most: each emits up to SYMBOLS rows.
 TASKS = 2_048
+#: Rows of an encoding task, as a power of two.
+PART_BITS = 40
 #: Pseudo-counts of an emission row, shared out by the symbols' frequency.
 PRIOR = 20.0
 ADD = 0.1
@@ -178,7 +185,7 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row = TaskContext.get().partitionId() << 40
+        row = TaskContext.get().partitionId() << PART_BITS
         known_log = np.log10(v.counts + ADD)
         own, end = v.own, len(v.words)
         for batch in batches:
@@ -239,78 +246,106 @@ class Expected:
         """Forward-backward over sequences of symbols side by side, longest first.
 
         Returns expected counts (distinct, states) by the numbers in ``words``, where they are given; the lowest
-        numbers, as many as ``looked`` has rows, are added to it instead and the others count from there.
+        numbers, as many as ``looked`` has rows, are added to it instead and the others count from there; -1 is not counted.
         """
         by_word = np.zeros((distinct, len(model.start)))
         order = sorted((j for j in range(len(sequences)) if len(sequences[j])), key=lambda j: -len(sequences[j]))
-        for k in range(0, len(order), 256):
-            mine = order[k : k + 256]
-            self._add(model, [sequences[j] for j in mine], [words[j] for j in mine] if words else None, by_word, looked)
+        peak = model.emit.max(axis=0)
+        table = np.ones((SYMBOLS + 1, len(model.start)))  # beyond a text's end everything fits: states move on and change nothing
+        np.divide(model.emit.T, peak[:, None], out=table[:-1], where=peak[:, None] > 0)
+        seen, counted = np.zeros(SYMBOLS + 1, np.int64), []
+        for k in range(0, len(order), ABREAST):
+            mine = order[k : k + ABREAST]
+            self._add(model, table, [sequences[j] for j in mine], [words[j] for j in mine] if words else None, seen, counted)
+        at = np.flatnonzero(seen[:-1])
+        self.log += float(seen[at] @ np.log(peak[at]))
+        if counted:
+            numbers, first = np.concatenate([x for x, _ in counted]), 0 if looked is None else len(looked)
+            low = numbers < first
+            for k in range(len(model.start)):
+                weights = np.concatenate([x[k] for _, x in counted])
+                if first:
+                    looked[:, k] += np.bincount(numbers[low], weights=weights[low], minlength=first)
+                by_word[:, k] += np.bincount(numbers[~low] - first, weights=weights[~low], minlength=distinct)
         return by_word
 
-    def _add(self, model: Model, seqs: list[np.ndarray], words: list[np.ndarray] | None, by_word: np.ndarray, looked: np.ndarray | None = None) -> None:
+    def _add(self, model: Model, table: np.ndarray, seqs: list[np.ndarray], words: list[np.ndarray] | None, seen: np.ndarray, counted: list) -> None:
+        """Vectors are scaled every ``SCALED`` steps; in between no emission (1 at most) and no move can bring them near zero."""
         lengths = np.array([len(s) for s in seqs])
         steps, n, states = int(lengths[0]), len(seqs), len(model.start)
         live = n - np.searchsorted(lengths[::-1], np.arange(steps), side="right")
-        by_symbol, back = np.ascontiguousarray(model.emit.T), model.move.T.copy()
+        move, back = np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.move)
         size = max(1, BLOCK_TOKENS // n)
         begins = list(range(0, steps, size))
 
-        def padded(arrays: list[np.ndarray], t0: int, t1: int) -> np.ndarray:
-            out = np.zeros((t1 - t0, n), np.int64)
+        def padded(arrays: list[np.ndarray], t0: int, t1: int, none: int) -> np.ndarray:
+            out = np.full((live[t0], t1 - t0), none, np.int64)
             for j in range(live[t0]):
                 part = arrays[j][t0:t1]
-                out[: len(part), j] = part
-            return out
+                out[j, : len(part)] = part
+            return np.ascontiguousarray(out.T)
 
         def forward(t0: int, before: np.ndarray | None):
             t1 = min(t0 + size, steps)
-            sym = padded(seqs, t0, t1)
-            emitted = by_symbol[sym]
-            alpha, scale = np.zeros((t1 - t0, n, states)), np.ones((t1 - t0, n))
-            a = before
-            for t in range(t0, t1):
-                m = live[t]
-                a = (model.start if a is None else a[:m] @ model.move) * emitted[t - t0, :m]
-                c = a.sum(axis=1)
-                a = a / c[:, None]
-                alpha[t - t0, :m] = a
-                scale[t - t0, :m] = c
-            return sym, emitted, alpha, scale, a
+            sym = padded(seqs, t0, t1, SYMBOLS)
+            emitted = np.ascontiguousarray(table.take(sym, axis=0).transpose(0, 2, 1))
+            alpha, log, a = np.empty_like(emitted), 0.0, before
+            for t in range(t1 - t0):
+                if a is None:
+                    np.multiply(model.start[:, None], emitted[t], out=alpha[t])
+                else:
+                    np.matmul(move, a[:, : sym.shape[1]], out=alpha[t])
+                    alpha[t] *= emitted[t]
+                a = alpha[t]
+                if (t0 + t) % SCALED == SCALED - 1 or t0 + t == steps - 1 or t == t1 - t0 - 1:
+                    c = a.sum(axis=0)
+                    a /= c
+                    log += float(np.log(c).sum())
+            return sym, emitted, alpha, log, a.copy()
 
         edges: list[np.ndarray | None] = [None]
         for t0 in begins:
             last = forward(t0, edges[-1])
-            self.log += float(np.log(last[3]).sum())
+            self.log += last[3]
             edges.append(last[4])
         moved = np.zeros((states, states))
-        after = None  # beta times emission over scale of the first step beyond the block
+        after = None  # beta times emission of the first step beyond the block
         for b in range(len(begins) - 1, -1, -1):
             t0 = begins[b]
-            sym, emitted, alpha, scale, _ = last if b == len(begins) - 1 else forward(t0, edges[b])
+            sym, emitted, alpha, _, _ = last if b == len(begins) - 1 else forward(t0, edges[b])
+            wide = sym.shape[1]
             beta = np.ones_like(alpha)
+            follow = emitted  # becomes beta times emission in place
             for t in range(len(alpha) - 1, -1, -1):
                 if after is not None:
-                    m = len(after)
-                    beta[t, :m] = after @ back
-                    moved += alpha[t, :m].T @ after
-                m = live[t0 + t]
-                after = emitted[t, :m] * beta[t, :m] / scale[t, :m, None]
-            gamma = alpha * beta
+                    np.matmul(back, after, out=beta[t, :, : after.shape[1]])
+                if (t0 + t) % SCALED == 0:
+                    scaled = beta[t] / beta[t].sum(axis=0)
+                    follow[t] *= scaled
+                else:
+                    follow[t] *= beta[t]
+                if t == len(alpha) - 1:
+                    beyond = after
+                after = follow[t]
+            beta *= alpha
+            z = 1.0 / beta.sum(axis=1)
+            beta *= z[:, None, :]  # the chance of each state
+            z *= t0 + 1 + np.arange(len(alpha))[:, None] < lengths[None, :wide]  # a text's last step moves nowhere
+            alpha *= z[:, None, :]
+            moved += np.matmul(alpha[:-1], follow[1:].transpose(0, 2, 1)).sum(axis=0)
+            if beyond is not None:
+                moved += alpha[-1, :, : beyond.shape[1]] @ beyond.T
             if b == 0:
-                self.start += gamma[0].sum(axis=0)
-            inside = t0 + np.arange(len(alpha))[:, None] < lengths[None, :]
-            flat, kept = sym[inside], gamma[inside]
+                self.start += beta[0].sum(axis=1)
+            flat = sym.ravel()
+            seen += np.bincount(flat, minlength=SYMBOLS + 1)
             for k in range(states):
-                self.emit[k] += np.bincount(flat, weights=kept[:, k], minlength=SYMBOLS)
+                self.emit[k] += np.bincount(flat, weights=beta[:, k].ravel(), minlength=SYMBOLS + 1)[:-1]
             if words is not None:
-                flat = padded(words, t0, t0 + len(alpha))[inside]
-                first = 0 if looked is None else len(looked)
-                low = flat < first
-                for k in range(states):
-                    if first:
-                        looked[:, k] += np.bincount(flat[low], weights=kept[low, k], minlength=first)
-                    by_word[:, k] += np.bincount(flat[~low] - first, weights=kept[~low, k], minlength=len(by_word))
+                numbers = padded(words, t0, t0 + len(alpha), -1)
+                kept = numbers >= 0
+                counted.append((numbers[kept], [beta[:, k][kept] for k in range(states)]))
+            after = after.copy()
         self.move += model.move * moved
 
     def model(self, unigram: np.ndarray) -> Model:
@@ -335,6 +370,51 @@ def _symbols(batch: pa.RecordBatch, symbol_of: np.ndarray) -> tuple[list[np.ndar
     return codes, [table[c] for c in codes], rare
 
 
+def _kind(e: bytes, states: int) -> str:
+    return "<f8" if len(e) == 8 * states else "<f4"
+
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    """Each row's numbers as bytes."""
+    offsets = (np.arange(len(rows) + 1) * rows.shape[1] * rows.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _unpacked(blobs: pa.Array, kind: str = "<f4") -> np.ndarray:
+    """Rows of numbers from bytes of one length."""
+    offsets = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+    flat = np.frombuffer(blobs.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)
+    return flat.reshape(len(blobs), -1)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by word and name of rows that come sorted by them: symbols first, eight bytes a state, then looked-up words and others, four."""
+    held = None
+    for batch in batches:
+        for few in (batch.filter(pc.equal(pc.binary_length(batch.column("e")), size)) for size in pc.unique(pc.binary_length(batch.column("e"))).to_pylist()):
+            kind = "<f8" if pc.less(few.column("name"), SYMBOLS)[0].as_py() and not few.column("word")[0].is_valid else "<f4"
+            word, name = few.column("word"), few.column("name").to_numpy()
+            rows = _unpacked(few.column("e"), kind).astype(np.float64)
+            same = pc.fill_null(pc.equal(word.slice(1), word.slice(0, len(word) - 1)), False).to_numpy(zero_copy_only=False)
+            nulls = word.is_null().to_numpy(zero_copy_only=False)
+            same = (same | (nulls[1:] & nulls[:-1])) & (name[1:] == name[:-1])
+            at = np.concatenate([[0], 1 + np.flatnonzero(~same)])
+            keys, sums = few.select(["name", "word", "k"]).take(pa.array(at)), np.add.reduceat(rows, at, axis=0)
+            if held is not None and held[0].to_pylist()[0] == keys.slice(0, 1).to_pylist()[0]:
+                sums[0] += held[1][0]
+            elif held is not None:
+                yield _sums_of(*held)
+            if len(at) > 1:
+                yield _sums_of(keys.slice(0, len(at) - 1), sums[:-1], kind)
+            held = keys.slice(len(at) - 1), sums[-1:], kind
+    if held is not None:
+        yield _sums_of(*held)
+
+
+def _sums_of(keys: pa.RecordBatch, sums: np.ndarray, kind: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*keys.columns, _packed(sums.astype(kind))], ["name", "word", "k", "e"])
+
+
 def _merged(df: DataFrame) -> DataFrame:
     return df.coalesce(TASKS) if df.rdd.getNumPartitions() > TASKS else df
 
@@ -342,11 +422,12 @@ def _merged(df: DataFrame) -> DataFrame:
 def _baum_welch_pass(encoded: DataFrame, model: Model, unigram: np.ndarray, v: Vocabulary, words: bool = False) -> tuple[Model, Expected, DataFrame]:
     """One pass over all training texts: expected counts in tasks, sums by symbol (and by word) in a shuffle."""
     states = len(model.start)
-    columns = [f"s{k}" for k in range(states)]
     symbol_of = v.symbol_of_code().astype(np.int32)
+    counted = np.where(np.arange(len(symbol_of)) < v.own, -1, np.arange(len(symbol_of)))  # symbols of their own are counted as such
+    counted[-1] = -1
 
     def made(names, texts, kinds, rows):
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), texts, pa.array(kinds, pa.int32()), *[pa.array(rows[:, k]) for k in range(states)]], ["name", "word", "k", *columns])
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), texts, pa.array(kinds, pa.int32()), _packed(rows)], ["name", "word", "k", "e"])
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, looked, end = Expected(states), np.zeros((len(symbol_of), states)), len(symbol_of) - 1
@@ -358,6 +439,7 @@ def _baum_welch_pass(encoded: DataFrame, model: Model, unigram: np.ndarray, v: V
             if not words:
                 found.add(model, symbols)
                 return None
+            codes = [np.where(c < len(counted), counted[np.minimum(c, end)], c) for c in codes]
             sums = found.add(model, symbols, codes, len(rare), looked)
             if not len(rare):
                 return None
@@ -366,7 +448,7 @@ def _baum_welch_pass(encoded: DataFrame, model: Model, unigram: np.ndarray, v: V
             kinds = np.zeros(n, np.int32)
             kinds[at] = rare.field("k").to_numpy()
             rows = np.stack([np.bincount(at, weights=sums[:, k], minlength=n) for k in range(states)], axis=1)
-            return made(np.zeros(n, np.int32), coded.dictionary, kinds, rows)
+            return made(np.zeros(n, np.int32), coded.dictionary, kinds, rows.astype(np.float32))
 
         for batch in batches:
             for k in range(0, batch.num_rows, 2_000):
@@ -382,20 +464,27 @@ def _baum_welch_pass(encoded: DataFrame, model: Model, unigram: np.ndarray, v: V
             out = walk()
             if out is not None:
                 yield out
-        rows = np.concatenate([found.emit.T, found.move, found.start[None, :], looked[OWN_SYMBOLS:end] if words else np.zeros((0, states))])
-        names = np.concatenate([np.arange(SYMBOLS), -1 - np.arange(states), [-1 - states], SYMBOLS + np.arange(len(rows) - SYMBOLS - states - 1)]).astype(np.int32)
+        rows = np.concatenate([found.emit.T, found.move, found.start[None, :]])
+        names = np.concatenate([np.arange(SYMBOLS), -1 - np.arange(states), [-1 - states]]).astype(np.int32)
         seen = rows.any(axis=1)
         yield made(names[seen], pa.nulls(int(seen.sum()), pa.string()), np.zeros(int(seen.sum()), np.int32), rows[seen])
+        if words and end > OWN_SYMBOLS:
+            rows = np.zeros((-(-(end - OWN_SYMBOLS) // LOOKED_ROWS), LOOKED_ROWS * states), np.float32)
+            rows.reshape(-1, states)[: end - OWN_SYMBOLS] = looked[OWN_SYMBOLS:end]
+            seen = np.flatnonzero(rows.any(axis=1))
+            yield made(SYMBOLS + seen, pa.nulls(len(seen), pa.string()), np.zeros(len(seen), np.int32), rows[seen])
 
     learnt = _merged(encoded.filter(~F.col("held_out")).select("codes", "rare"))
-    sums = arrow_map(learnt, expect, ", ".join(["name int, word string, k int", *[f"{c} double" for c in columns]]))
-    sums = stored(sums.groupBy("name", "word", "k").agg(*[F.sum(c).alias(c) for c in columns]), "lm-expected")
+    sums = arrow_map(learnt, expect, "name int, word string, k int, e binary").repartition("name", "word").sortWithinPartitions("word", "name")
+    with shuffles_dropped(encoded.sparkSession), arrow_rows(encoded.sparkSession, BATCH_ROWS):
+        sums = stored(arrow_map(sums, _summed, "name int, word string, k int, e binary"), "lm-expected")
     total, looked = Expected(states), np.zeros((max(0, len(v.words) - OWN_SYMBOLS), states))
     top = sums.filter("word is null").toArrow()  # SYMBOLS + states + 1 + LOOKUP rows at most
-    rows = np.stack([top[c].to_numpy() for c in columns], axis=1) if top.num_rows else np.zeros((0, states))
-    for name, row in zip(top["name"].to_pylist(), rows, strict=True):
+    for name, e in zip(top["name"].to_pylist(), top["e"].to_pylist(), strict=True):
+        row = np.frombuffer(e, _kind(e, states))
         if name >= SYMBOLS:
-            looked[name - SYMBOLS] = row
+            at = (name - SYMBOLS) * LOOKED_ROWS
+            looked[at : at + LOOKED_ROWS] = row.reshape(-1, states)[: len(looked) - at]
         elif name >= 0:
             total.emit[:, name] = row
         elif name >= -states:
@@ -439,9 +528,21 @@ class Emissions:
         got, plain = np.zeros((CLASSES, states)), np.zeros(CLASSES)
         np.add.at(got, classes, weight[:, None] * found.looked)
         np.add.at(plain, classes, weight)
-        count = F.round(sum(F.col(f"s{k}") for k in range(states)))
-        w = (count + ADD) / (count + ALPHA)
-        for r in rare.groupBy("k").agg(F.sum(w).alias("plain"), *[F.sum(w * F.col(f"s{k}")).alias(f"s{k}") for k in range(states)]).collect():  # CLASSES rows at most
+
+        def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((CLASSES, 1 + states))
+            for batch in batches:
+                kinds, e = batch.column("k").to_numpy(), _unpacked(batch.column("e")).astype(np.float64)
+                count = e.sum(axis=1).round()
+                w = (count + ADD) / (count + ALPHA)
+                for s, x in enumerate([w, *(w[:, None] * e).T]):
+                    sums[:, s] += np.bincount(kinds, weights=x, minlength=CLASSES)
+            at = np.flatnonzero(sums[:, 0])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(sums[at, s]) for s in range(1 + states)]], ["k", "plain", *[f"s{k}" for k in range(states)]])
+
+        columns = ["plain", *[f"s{k}" for k in range(states)]]
+        by_k = arrow_map(rare.select("k", "e"), by_class, ", ".join(["k int", *[f"{c} double" for c in columns]]))
+        for r in by_k.groupBy("k").agg(*[F.sum(c).alias(c) for c in columns]).collect():  # CLASSES rows at most
             got[r["k"]] += np.array(r[2:])
             plain[r["k"]] += r["plain"]
         z = (got + (ALPHA * plain[:, None] + ADD) * self.share) / v.whole[:, None]
@@ -487,24 +588,40 @@ def forward_log10(model: Model, texts: list[np.ndarray], by_code: np.ndarray | N
     return out
 
 
-def _forward_scores(encoded: DataFrame, model: Model, emissions: Emissions, v: Vocabulary) -> DataFrame:
-    """encoded with ``learnt`` (place in rare, expected counts) -> the texts' parts of both scores."""
+def _forward_scores(encoded: DataFrame, model: Model, emissions: Emissions, v: Vocabulary, learnt: str) -> DataFrame:
+    """encoded, and the folder of expected counts (row_id, place in rare, counts) by part -> the texts' parts of both scores."""
     states = len(model.start)
     symbol_of, whole = v.symbol_of_code(), v.whole
 
+    def counts_of(part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(learnt)
+        files = sorted(x.path for x in store.get_file_info(fs.FileSelector(f"{root}/part={part}", allow_not_found=True)) if x.path.endswith(".parquet"))
+        tables = [pq.ParquetFile(x, filesystem=store).read(columns=["row_id", "j", "e"]) for x in files]
+        if not tables:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, states), np.float32)
+        found = pa.concat_tables(tables).sort_by("row_id") if len(tables) > 1 else tables[0]
+        e = np.concatenate([_unpacked(x.cast(pa.binary())) for x in found["e"].chunks])
+        return found["row_id"].to_numpy(), found["j"].to_numpy(), e
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, part = None, -1
         for whole_batch in batches:
-            for k in range(0, whole_batch.num_rows, 2_000):
-                batch = whole_batch.slice(k, 2_000)
+            parts = whole_batch.column("row_id").to_numpy() >> PART_BITS
+            cuts = sorted({*range(0, len(parts), 2_000), *(1 + np.flatnonzero(np.diff(parts))).tolist(), len(parts)})
+            for k, to in zip(cuts[:-1], cuts[1:], strict=True):
+                batch = whole_batch.slice(k, to - k)
+                if parts[k] != part:
+                    held, part = counts_of(int(parts[k])), parts[k]
                 codes, _, rare = _symbols(batch, symbol_of)
-                lists, learnt = batch.column("rare"), batch.column("learnt")
+                lists, ids = batch.column("rare"), batch.column("row_id").to_numpy()
                 first = lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]
-                texts = np.repeat(np.arange(batch.num_rows), pc.list_value_length(learnt).to_numpy())
-                known = learnt.flatten()
-                place = first[texts] + known.field("j").to_numpy()
+                lo, hi = np.searchsorted(held[0], ids[0]), np.searchsorted(held[0], ids[-1], side="right")
+                place = first[np.searchsorted(ids, held[0][lo:hi])] + held[1][lo:hi]
                 expected = np.zeros((len(rare), states))
-                for s in range(states):
-                    expected[place, s] = known.field(f"s{s}").to_numpy()
+                expected[place] = held[2][lo:hi]
                 classes, times = rare.field("k").to_numpy(), rare.field("n").to_numpy()
                 counts = expected.sum(axis=1).round()
                 table = np.concatenate([emissions.by_code, emissions.rare(classes, expected, counts).astype(np.float32)])
@@ -525,17 +642,20 @@ def score_texts(docs: DataFrame, states: int = STATES, passes: int = PASSES) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
     learn = docs.filter(~F.col("held_out"))
     texts = learn.select("doc_id").count()
-    counts = stored(count_words(learn), "lm-counts")
+    with shuffles_dropped(docs.sparkSession):
+        counts = stored(count_words(learn), "lm-counts")
     v = vocabulary(counts, texts)
-    encoded = stored(encode(docs, v), "lm-encoded")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        encoded = stored(encode(docs, v), "lm-encoded")
     model, found, rare = train(encoded, v, texts, states, passes)
-    # words beyond the looked-up ones: what was learnt of them by a join, nothing where training has none
-    columns = [f"s{k}" for k in range(states)]
-    places = encoded.select("row_id", F.posexplode("rare").alias("j", "r")).select("row_id", "j", "r.word").join(rare.select("word", *columns), "word")
-    learnt = places.groupBy("row_id").agg(F.collect_list(F.struct("j", *columns)).alias("learnt"))  # a text's own words
-    none = F.array().cast(learnt.schema["learnt"].dataType)
-    df = encoded.join(learnt, "row_id", "left").withColumn("learnt", F.coalesce("learnt", none))
-    df = _forward_scores(df, model, Emissions(model, found, v, rare), v)
+    # words beyond the looked-up ones: what was learnt of them by a join, nothing where training has none; by the task that encoded a text,
+    # so that the texts themselves need no shuffle
+    places = encoded.select("row_id", F.posexplode("rare").alias("j", "r")).select("row_id", "j", "r.word").join(rare.select("word", "e"), "word")
+    part = F.shiftright("row_id", PART_BITS).cast("int").alias("part")
+    learnt = fresh_path(docs.sparkSession, "lm-learnt")
+    with shuffles_dropped(docs.sparkSession):
+        places.select("row_id", "j", "e", part).repartition("part").sortWithinPartitions("part", "row_id").write.partitionBy("part").parquet(learnt)
+    df = _forward_scores(encoded, model, Emissions(model, found, v, rare), v, learnt)
     share = math.log10(v.tokens + ADD * (v.distinct + 1))
     base = F.col("base_log") + math.log10(texts + ADD) - F.col("n_tokens") * share
     known = F.col("n_known") + (1 if texts else 0)
