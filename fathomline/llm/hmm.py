@@ -55,6 +55,8 @@ SETTLING = 4
 PASSES = 3
 #: Steps times sequences of a block, and tokens walked side by side.
 BLOCK_TOKENS = 1 << 15
+#: Steps times sequences whose vectors are kept for the way back, from the beginning on; those of all others are made again.
+HELD_TOKENS = 1 << 18
 #: Sequences walked side by side, and steps after which vectors are scaled.
 ABREAST = 512
 SCALED = 8
@@ -303,20 +305,24 @@ class Expected:
                     log += float(np.log(c).sum())
             return sym, emitted, alpha, log, a.copy()
 
-        edges: list[np.ndarray | None] = [None]
-        for t0 in begins:
+        edges, held = [None], {}
+        for b, t0 in enumerate(begins):
             last = forward(t0, edges[-1])
             self.log += last[3]
             edges.append(last[4])
+            if (t0 + size) * n <= HELD_TOKENS:
+                held[b] = last
         moved = np.zeros((states, states))
         after = None  # beta times emission of the first step beyond the block
         for b in range(len(begins) - 1, -1, -1):
             t0 = begins[b]
-            sym, emitted, alpha, _, _ = last if b == len(begins) - 1 else forward(t0, edges[b])
+            sym, emitted, alpha, _, _ = last if b == len(begins) - 1 else held.pop(b, None) or forward(t0, edges[b])
             wide = sym.shape[1]
-            beta = np.ones_like(alpha)
+            beta = np.empty_like(alpha)
             follow = emitted  # becomes beta times emission in place
             for t in range(len(alpha) - 1, -1, -1):
+                if after is None or after.shape[1] < wide:
+                    beta[t] = 1.0
                 if after is not None:
                     np.matmul(back, after, out=beta[t, :, : after.shape[1]])
                 if (t0 + t) % SCALED == 0:
@@ -343,8 +349,9 @@ class Expected:
                 self.emit[k] += np.bincount(flat, weights=beta[:, k].ravel(), minlength=SYMBOLS + 1)[:-1]
             if words is not None:
                 numbers = padded(words, t0, t0 + len(alpha), -1)
-                kept = numbers >= 0
-                counted.append((numbers[kept], [beta[:, k][kept] for k in range(states)]))
+                kept = np.flatnonzero(numbers >= 0)
+                at = kept + kept // wide * (wide * (states - 1))
+                counted.append((numbers.ravel()[kept], [beta.ravel()[at + k * wide] for k in range(states)]))
             after = after.copy()
         self.move += model.move * moved
 
@@ -356,12 +363,13 @@ class Expected:
         return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
 
-def _symbols(batch: pa.RecordBatch, symbol_of: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], pa.StructArray]:
-    """Codes and symbols of a batch's texts, and its rare words; the places of rare words count on through the batch."""
+def _symbols(batch: pa.RecordBatch, symbol_of: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], pa.Array]:
+    """Codes and symbols of a batch's texts, and its rare words or only their classes; the places of rare words count on through the batch."""
     lists = batch.column("rare")
     first = lists.offsets.to_numpy()
     rare = lists.values.slice(first[0], first[-1] - first[0])
-    table = np.concatenate([symbol_of, OWN_SYMBOLS + rare.field("k").to_numpy()]).astype(np.int32)
+    kinds = rare.field("k") if pa.types.is_struct(rare.type) else rare
+    table = np.concatenate([symbol_of, OWN_SYMBOLS + kinds.to_numpy()]).astype(np.int32)
     codes, end = [], len(symbol_of) - 1
     for x, at in zip(batch.column("codes"), first - first[0], strict=False):
         c = np.frombuffer(x.as_buffer(), "<u4").astype(np.int32)
@@ -439,7 +447,8 @@ def _baum_welch_pass(encoded: DataFrame, model: Model, unigram: np.ndarray, v: V
             if not words:
                 found.add(model, symbols)
                 return None
-            codes = [np.where(c < len(counted), counted[np.minimum(c, end)], c) for c in codes]
+            numbers = np.concatenate([counted, len(counted) + np.arange(len(rare))]).astype(np.int32)
+            codes = [numbers[c] for c in codes]
             sums = found.add(model, symbols, codes, len(rare), looked)
             if not len(rare):
                 return None
@@ -474,7 +483,7 @@ def _baum_welch_pass(encoded: DataFrame, model: Model, unigram: np.ndarray, v: V
             seen = np.flatnonzero(rows.any(axis=1))
             yield made(SYMBOLS + seen, pa.nulls(len(seen), pa.string()), np.zeros(len(seen), np.int32), rows[seen])
 
-    learnt = _merged(encoded.filter(~F.col("held_out")).select("codes", "rare"))
+    learnt = _merged(encoded.filter(~F.col("held_out")).select("codes", "rare" if words else F.col("rare.k").alias("rare")))
     sums = arrow_map(learnt, expect, "name int, word string, k int, e binary").repartition("name", "word").sortWithinPartitions("word", "name")
     with shuffles_dropped(encoded.sparkSession), arrow_rows(encoded.sparkSession, BATCH_ROWS):
         sums = stored(arrow_map(sums, _summed, "name int, word string, k int, e binary"), "lm-expected")
@@ -557,6 +566,8 @@ class Emissions:
 def forward_log10(model: Model, texts: list[np.ndarray], by_code: np.ndarray | None = None) -> np.ndarray:
     """log10 probability of each whole sequence by the scaled forward recursion."""
     by_code = np.ascontiguousarray(model.emit.T) if by_code is None else by_code
+    beyond = len(by_code)
+    by_code = np.concatenate([by_code, np.ones((1, len(model.start)), by_code.dtype)])  # beyond a text's end nothing changes
     out = np.zeros(len(texts))
     order = sorted(range(len(texts)), key=lambda j: -len(texts[j]))
     at = 0
@@ -567,23 +578,21 @@ def forward_log10(model: Model, texts: list[np.ndarray], by_code: np.ndarray | N
         at += take
         lengths = np.array([len(texts[j]) for j in mine])
         live = len(mine) - np.searchsorted(lengths[::-1], np.arange(longest), side="right")
-        a = np.broadcast_to(model.start, (len(mine), len(model.start)))
+        a, move = None, np.ascontiguousarray(model.move.T)
         total = np.zeros(len(mine))
-        for t0 in range(0, longest, 256):
-            block = np.zeros((min(256, longest - t0), live[t0]), np.int64)
-            for j in range(live[t0]):
-                part = texts[mine[j]][t0 : t0 + 256]
-                block[: len(part), j] = part
-            scale = np.ones(block.shape)
-            for i in range(len(block)):
-                m = live[t0 + i]
-                if m < len(a):
-                    a = a[:m]
-                a = (a @ model.move if t0 + i else a) * by_code[block[i, :m]]
-                c = a.sum(axis=1)
-                a /= c[:, None]
-                scale[i, :m] = c
-            total[: block.shape[1]] += np.log10(scale).sum(axis=0)
+        for t0 in range(0, longest, 64):
+            steps, wide = min(64, longest - t0), live[t0]
+            block = np.full((wide, steps), beyond, np.int64)
+            for j in range(wide):
+                part = texts[mine[j]][t0 : t0 + 64]
+                block[j, : len(part)] = part
+            emitted = np.ascontiguousarray(by_code.take(block.T, axis=0).transpose(0, 2, 1), dtype=np.float64)
+            for i in range(steps):
+                a = model.start[:, None] * emitted[i] if a is None else (move @ a[:, :wide]) * emitted[i]
+                if i % 4 == 3 or i == steps - 1:
+                    c = a.sum(axis=0)
+                    a /= c
+                    total[:wide] += np.log10(c)
         out[mine] = total
     return out
 
@@ -622,7 +631,7 @@ def _forward_scores(encoded: DataFrame, model: Model, emissions: Emissions, v: V
                 place = first[np.searchsorted(ids, held[0][lo:hi])] + held[1][lo:hi]
                 expected = np.zeros((len(rare), states))
                 expected[place] = held[2][lo:hi]
-                classes, times = rare.field("k").to_numpy(), rare.field("n").to_numpy()
+                classes, times = rare.to_numpy(), batch.column("times").flatten().to_numpy()
                 counts = expected.sum(axis=1).round()
                 table = np.concatenate([emissions.by_code, emissions.rare(classes, expected, counts).astype(np.float32)])
                 sums = [np.concatenate(([0.0], np.cumsum(times * x))) for x in (np.log10(counts + ADD), np.log10((counts + ADD) / whole[classes]), counts > 0)]
@@ -634,6 +643,7 @@ def _forward_scores(encoded: DataFrame, model: Model, emissions: Emissions, v: V
                     ["doc_id", "held_out", "n_tokens", "n_known", "base_log", "score"],
                 )
 
+    encoded = encoded.withColumns({"rare": F.col("rare.k"), "times": F.col("rare.n")})
     return arrow_map(encoded, score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, score double")
 
 

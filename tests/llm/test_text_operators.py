@@ -487,3 +487,46 @@ def test_op1_an_encoder_outlives_its_task(spark):
         manifest = tokenout.write_token_files(docs, tokenout.fresh_path(spark, "tokens"), tokenout.default_tokenizer(), 2, shards=48)
     assert sum(r.n_docs for r in manifest.collect()) == 64
     assert built.value <= 16  # one a task before, now one a worker
+
+
+def test_op2_texts_are_scored_without_a_shuffle(odd_docs):
+    df = hmm.score_texts(odd_docs, states=2, passes=1)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()  # encoded texts went through one
+
+
+def test_op2_texts_side_by_side_and_alone(monkeypatch):
+    rng = np.random.default_rng(5)
+    k = 3
+    model = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(hmm.SYMBOLS), k))
+    texts = [rng.integers(0, hmm.SYMBOLS, n) for n in (1, 2, 7, 8, 9, 31, 32, 33, 40, 5, 5)]
+    words = [np.where(t % 5 == 0, -1, t % 7) for t in texts]
+    alone = hmm.Expected(k)
+    rows = sum(alone.add(model, [t], [w], 7) for t, w in zip(texts, words, strict=True))
+    for block, held in ((1 << 15, 1 << 18), (11, 0), (88, 88), (33, 1 << 18)):
+        monkeypatch.setattr(hmm, "BLOCK_TOKENS", block)
+        monkeypatch.setattr(hmm, "HELD_TOKENS", held)
+        together = hmm.Expected(k)
+        got = together.add(model, texts, words, 7)
+        for name in ("start", "move", "emit", "log"):
+            assert np.allclose(getattr(together, name), getattr(alone, name), rtol=1e-9, atol=1e-12)
+        assert np.allclose(got, rows) and np.isclose(got.sum(), sum((w >= 0).sum() for w in words))
+    assert np.isclose(alone.log / np.log(10), hmm.forward_log10(model, texts).sum())
+
+
+def test_op2_sums_of_sorted_rows():
+    import pyarrow as pa
+
+    def batch(names, words, rows):
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(words, pa.string()), pa.array([0] * len(names), pa.int32()), pa.array(rows, pa.binary())], ["name", "word", "k", "e"])
+
+    wide = lambda *x: np.array(x, "<f8").tobytes()
+    slim = lambda *x: np.array(x, "<f4").tobytes()
+    block = slim(*range(8))
+    batches = [
+        batch([-1, 0, 0, hmm.SYMBOLS], [None] * 4, [wide(1, 2), wide(1, 0), wide(0.5, 1), block]),
+        batch([hmm.SYMBOLS, 0, 0], [None, "a", "a"], [block, slim(1, 0), slim(0, 1)]),
+        batch([0, 0], ["a", "b"], [slim(2, 2), slim(1, 1)]),
+    ]
+    out = pa.Table.from_batches(hmm._summed(iter(batches))).to_pylist()
+    got = [(r["name"], r["word"], np.frombuffer(r["e"], hmm._kind(r["e"], 2)).tolist()) for r in out]
+    assert got == [(-1, None, [1, 2]), (0, None, [1.5, 1]), (hmm.SYMBOLS, None, [2.0 * x for x in range(8)]), (0, "a", [3, 3]), (0, "b", [1, 1])]
