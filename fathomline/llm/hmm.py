@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_rows, fresh_path, shuffles_dropped, stored, table
+from .common import arrow_map, arrow_rows, fresh_path, give_back, shuffles_dropped, stored, table
 from .tokenout import BATCH_ROWS, text_slices
 from .words import coded_words
 
@@ -56,7 +56,7 @@ PASSES = 3
 #: Steps times sequences of a block, and tokens walked side by side.
 BLOCK_TOKENS = 1 << 15
 #: Steps times sequences whose vectors are kept for the way back, from the beginning on; those of all others are made again.
-HELD_TOKENS = 1 << 18
+HELD_TOKENS = 1 << 15
 #: Sequences walked side by side, and steps after which vectors are scaled.
 ABREAST = 512
 SCALED = 8
@@ -467,6 +467,7 @@ def _baum_welch_pass(encoded: DataFrame, model: Model, unigram: np.ndarray, v: V
                 if tokens >= most:
                     out = walk()
                     waiting, tokens = [], 0
+                    give_back()
                     if out is not None:
                         yield out
         if waiting:
@@ -618,6 +619,7 @@ def _forward_scores(encoded: DataFrame, model: Model, emissions: Emissions, v: V
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, part = None, -1
         for whole_batch in batches:
+            give_back()
             parts = whole_batch.column("row_id").to_numpy() >> PART_BITS
             cuts = sorted({*range(0, len(parts), 2_000), *(1 + np.flatnonzero(np.diff(parts))).tolist(), len(parts)})
             for k, to in zip(cuts[:-1], cuts[1:], strict=True):
